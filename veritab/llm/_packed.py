@@ -183,10 +183,10 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shares(spark: SparkSession) -> tuple[int, int]:
+def shares(spark: SparkSession, times: int = 4) -> tuple[int, int]:
     """Numbers of chunks and buckets: they follow the cluster's own number of shuffle partitions."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 4 * n, n
+    return times * n, n
 
 
 def chunked(docs: DataFrame, chunks: int, *columns: str) -> DataFrame:
