@@ -10,12 +10,12 @@ from veritab.llm.bpe import encode_decode
 from veritab.llm.jaccard import similar_sets
 from veritab.llm.mixing import mix_sources, take
 from veritab.llm.pii import find_personal_data, sanitised
-from veritab.llm.quality import quality_rules
+from veritab.llm.quality import good_texts
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(docs.columns)
+    return good_texts(docs)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

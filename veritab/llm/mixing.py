@@ -2,12 +2,11 @@
 
 Each document of a source should be taken target / source_size times. The
 whole part is taken outright; the fraction is rounded dependently: two
-documents meet, a random amount of words moves from one's fraction to the
-other's so that one becomes integral, and the other meets the next. Words are
-neither made nor lost, each fraction keeps its expectation, and only the last
-document of a source is rounded freely. Documents meet in groups by size,
-largest first; what is left of each group meets in the levels of a reduction
-tree.
+sides meet, a random amount of words moves from one's fraction to the other's
+so that one becomes integral, and the other meets the next. Words are neither
+made nor lost, each fraction keeps its expectation, and only the last document
+of a source is rounded by itself. Documents meet in groups by hash, largest first;
+what is left of each group meets in the levels of a reduction tree.
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ from pyspark.sql import functions as F
 
 from ._packed import WORD_PATTERN, written
 
-#: Expected documents of a source in a salt, and size bands; a node of the tree is a band of a salt.
+#: Expected documents of a group, and nodes that a node of the next level takes up.
 GROUP_ROWS = 4000
-BANDS = 32
 FAN = 256
 _M = (1 << 64) - 1
 
@@ -38,28 +36,61 @@ def _unit(*parts: int) -> float:
     return (x >> 11) / (1 << 53)
 
 
+def _pair(i: int, j: int, rows: list, out: list[float], seed: int) -> int:
+    """Moves words between the fractions of two documents until one is integral; the one that isn't, or -1."""
+    (a, v, _), (b, w, _) = rows[i], rows[j]
+    p, q = out[i], out[j]
+    up, down = (1 - p) * v, p * v
+    gain, loss = min(up, q * w), min(down, (1 - q) * w)
+    if _unit(seed, a, b) * (gain + loss) < loss:
+        out[i], out[j] = 1.0 if up <= q * w else p + gain / v, 0.0 if q * w <= up else q - gain / w
+    else:
+        out[i], out[j] = 0.0 if down <= (1 - q) * w else p - loss / v, 1.0 if (1 - q) * w <= down else q + loss / w
+    return next((k for k in (i, j) if 0.0 < out[k] < 1.0), -1)
+
+
 def pivotal(rows: list[tuple[int, int, float]], seed: int) -> list[float]:
-    """Rounds fractions; rows: (key, size, fraction) in the order they meet. All results but one at most are 0.0 or 1.0."""
-    out = [x[2] for x in rows]
-    holder = -1
-    for j, (key, size, _) in enumerate(rows):
-        if size <= 0 or not 0.0 < out[j] < 1.0:
-            out[j] = round(out[j]) * 1.0
+    """Rounds fractions; rows: (key, size, fraction), largest first. All results but one at most are 0.0 or 1.0.
+
+    A document meets as many of the following ones as can make up for its
+    rounding, and they share what it gives or takes; so it is settled at once,
+    and large documents don't remain. One of the larger half that the rest can
+    make up for in one direction alone goes there, else the total would be
+    missed by its words. The last and smallest meet in pairs.
+    """
+    out = [x[2] if x[1] > 0 and 0.0 < x[2] < 1.0 else round(x[2]) * 1.0 for x in rows]
+    open_ = [k for k in range(len(rows)) if 0.0 < out[k] < 1.0]
+    aside: list[int] = []
+    at = 0
+    while at < len(open_):
+        i = open_[at]
+        key, size, _ = rows[i]
+        p = out[i]
+        if not 0.0 < p < 1.0:
+            at += 1
             continue
-        if holder < 0:
-            holder = j
+        give = take = 0.0
+        end = at + 1
+        while end < len(open_) and (give < (1 - p) * size or take < p * size):
+            j = open_[end]
+            give, take = give + out[j] * rows[j][1], take + (1 - out[j]) * rows[j][1]
+            end += 1
+        can_rise, can_fall = give >= (1 - p) * size, take >= p * size
+        if not (can_rise and can_fall) and (at >= len(open_) // 2 or not (can_rise or can_fall)):
+            aside.append(i)
+            at += 1
             continue
-        i = holder
-        other, weight, _ = rows[i]
-        p, q = out[i], out[j]
-        gain, loss = min((1 - p) * weight, q * size), min(p * weight, (1 - q) * size)
-        if _unit(seed, other, key) * (gain + loss) < loss:
-            full, empty = (1 - p) * weight <= q * size, q * size <= (1 - p) * weight
-            out[i], out[j] = 1.0 if full else p + gain / weight, 0.0 if empty else q - gain / size
-        else:
-            empty, full = p * weight <= (1 - q) * size, (1 - q) * size <= p * weight
-            out[i], out[j] = 0.0 if empty else p - loss / weight, 1.0 if full else q + loss / size
-        holder = next((k for k in (i, j) if 0.0 < out[k] < 1.0), -1)
+        up = _unit(seed, key, i) < p if can_rise and can_fall else can_rise
+        part = (1 - p) * size / give if up else p * size / take
+        for j in open_[at + 1 : end]:
+            if 0.0 < out[j] < 1.0:
+                out[j] = out[j] * (1 - part) if up else out[j] + (1 - out[j]) * part
+        out[i] = 1.0 if up else 0.0
+        at += 1
+    holder = -1
+    for j in aside:
+        if 0.0 < out[j] < 1.0:
+            holder = j if holder < 0 else _pair(holder, j, rows, out, seed)
     return out
 
 
@@ -76,10 +107,9 @@ def targets(slim: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFrame:
     by = by.withColumns({"__total": F.sum("source_size").over(everything), "__all": F.sum("weight").over(everything), "__full": F.coalesce(F.sum(limit).over(so_far), F.lit(0.0)), "__gone": F.coalesce(F.sum("weight").over(so_far), F.lit(0.0))})
     level = (F.col("__total") - F.col("__full")) / (F.col("__all") - F.col("__gone"))
     by = by.withColumn("__level", level)
-    # In order of limit / weight, sources are full up to the first one whose share fits under its limit.
-    by = by.withColumn("__fits", F.col("__level") * F.col("weight") <= limit)
-    share = F.min(F.when(F.col("__fits"), F.col("__level"))).over(everything)
-    by = by.withColumn("target", F.when(F.col("__fits"), share * F.col("weight")).otherwise(limit))
+    # In order of limit / weight, sources are full up to the first one whose share fits under its limit; later levels only fall.
+    share = F.max(F.when(F.col("__level") * F.col("weight") <= limit, F.col("__level"))).over(everything)
+    by = by.withColumn("target", F.least(share * F.col("weight"), limit.cast("double")))
     return by.select("source", "source_size", "n_docs", "place", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
@@ -113,10 +143,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-12)
     salts = F.ceil(F.col("n_docs") / F.lit(GROUP_ROWS)).cast("long")
-    band = F.least(F.lit(BANDS - 1), F.floor(2 * F.log2(F.col("size") + 1.0))).cast("long")
-    frame = joined.select("key", "doc_id", "d.source", "size", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("p"), F.col("place").cast("int").alias("place"), ((BANDS - 1 - band) * salts + F.pmod("key", salts)).alias("node"))
+    frame = joined.select("key", "doc_id", "d.source", "size", "source_size", "target", whole.cast("long").alias("whole"), F.greatest(rate - whole, F.lit(0.0)).alias("p"), F.col("place").cast("int").alias("place"), F.pmod("key", salts).alias("node"))
     done, level = [], 0
-    nodes = BANDS * max(1, math.ceil(most / GROUP_ROWS))
+    nodes = max(1, math.ceil(most / GROUP_ROWS))
     while True:
         frame = written(frame.groupBy("place", "node").applyInArrow(_round(seed + level), _SCHEMA))
         level += 1
@@ -125,9 +154,8 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int
         settled = (F.col("p") <= 0) | (F.col("p") >= 1)
         done.append(frame.filter(settled))
         frame, nodes = frame.filter(~settled).withColumn("node", F.floor(F.col("node") / FAN)), math.ceil(nodes / FAN)
-    # One document a source is left with a fraction: a coin of its own.
-    coin = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    done.append(frame.withColumn("p", F.when((F.col("p") > 0) & (F.col("p") < 1), F.when(coin < F.col("p"), 1.0).otherwise(0.0)).otherwise(F.col("p"))))
+    # One document a source is left with a fraction: the nearest whole keeps the source nearest to its target.
+    done.append(frame)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

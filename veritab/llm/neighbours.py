@@ -39,7 +39,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
     spread = values[-1] - values[0]
     start = max(float(np.median(spread)) * k / max(n, 1) / WIDTH, 1e-12)
     out: tuple[list, list, list] = ([], [], [])
-    for q, (own, query, at) in enumerate(zip(query_ids, queries, asked, strict=True)):
+    for own, query, at in zip(query_ids, queries, asked, strict=True):
         seen = ids == own
         left = n - int(seen.sum())
         found = np.zeros(0, np.int64)
@@ -67,15 +67,10 @@ def _search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
                 found, distance = found[keep], distance[keep]
             if len(found) >= k and distance[-1] <= radius:
                 break
-            whole = all(a == 0 and b == n for a, b in zip(low, high, strict=True))
-            if whole:
-                break
-            # Where the k best so far bound the answer, there is no use in a wider window than theirs.
-            radius = radius * GROWTH
+            radius *= GROWTH
         out[0].extend([int(own)] * len(found))
         out[1].extend(ids[found].tolist())
         out[2].extend(distance.tolist())
-        del q
     return out
 
 
@@ -116,15 +111,13 @@ def nearest(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     or not finite take no part. Vectors that share a vec_id are one vector, an
     arbitrary but fixed one.
     """
-    spark = embeddings.sparkSession
     rows = written(usable(embeddings).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v")).select("vec_id", "v.dim", "v.embedding"))
     queries = rows.filter(is_query)
     sizes = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, query_blocks = max(1, math.ceil(sizes[0] / DATA_BLOCK)), max(1, math.ceil(sizes[1] / QUERY_BLOCK))
-    data = rows.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    asked = queries.withColumns({"q": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")})
+    data = rows.withColumns({"b": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    asked = queries.withColumns({"q": F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     keys = ["dim", "b", "q"]
     near = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_block(k), _SCHEMA)
-    del spark
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,41 +66,68 @@ def _count(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the counts that rules refer to; a null text has none of anything."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
-    df = docs.withColumns({"__text": text}).withColumns({"__words": words})
-    w, t, n = F.col("__words"), F.col("__text"), F.size("__words")
-    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_PATTERN))
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    df = df.withColumns({"__hashes": hashes, "__lines": lines})
-    return df.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(t).cast("long") - _count(t, "[^\\x20\\x09-\\x0D]++"),
-            "n_symbols": _count(t, "[^#*$%&|<>]++"),
-            "n_exclamations": _count(t, "[^!]++"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
-            "n_repeat_words": F.coalesce(F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), _covered(F.col("__hashes"))), F.lit(0)).cast("long"),
-        }
-    ).drop("__text", "__words", "__hashes", "__lines")
-
-
-def verdict(rules=RULES) -> Column:
+def _hashes(words: Column) -> Column:
+    """A hash of each three words in turn."""
+    n = F.size(words)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+
+
+def _repeated(hashes: Column) -> Column:
+    """Words in repeated windows; documents whose windows all differ need no sort."""
+    return F.coalesce(F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _covered(hashes)), F.lit(0)).cast("long")
+
+
+def measures(text: Column) -> Column:
+    """A struct of the counts that rules refer to; a null text has none of anything.
+
+    Words, windows and lines are worked out once, inside: as columns of their
+    own, a filter on the verdict would repeat them wherever a rule needs them.
+    """
+
+    def of(t: Column, w: Column, lines: Column) -> Column:
+        n = F.size(w)
+        return F.struct(
+            n.cast("long").alias("n_words"),
+            (F.length(t) - _count(t, "[^\\x20\\x09-\\x0D]++")).cast("long").alias("word_chars"),
+            _count(t, "[^#*$%&|<>]++").alias("n_symbols"),
+            _count(t, "[^!]++").alias("n_exclamations"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            _let(_hashes(w), _repeated).alias("n_repeat_words"),
+        )
+
+    words = lambda t: F.regexp_extract_all(t, F.lit(WORD_PATTERN), F.lit(0))
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_PATTERN))
+    return _let(F.coalesce(text.cast("string"), F.lit("")), lambda t: _let(words(t), lambda w: _let(lines(t), lambda ls: of(t, w, ls))))
+
+
+def verdict(measure: Column, rules=RULES) -> Column:
     """True where no rule rejects; a ratio with nothing below rejects nothing."""
     kept = F.lit(True)
     for r in rules:
-        value = F.col(r.numerator).cast("double") if r.denominator is None else F.col(r.numerator) / F.nullif(F.col(r.denominator), F.lit(0))
+        value = measure[r.numerator].cast("double")
+        if r.denominator is not None:
+            value = F.when(measure[r.denominator] != 0, value / measure[r.denominator])
         for bound, bad in ((r.low, lambda v, b: v < b), (r.high, lambda v, b: v > b)):
             if bound is not None:
                 kept = kept & ~F.coalesce(bad(value, F.lit(float(bound))), F.lit(False))
     return kept
 
 
+def assessed(text: Column, rules=RULES) -> Column:
+    """The measures of a text with base_failed and kept."""
+
+    def judge(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+        return F.struct(*[m[x].alias(x) for x in MEASURES], failed.alias("base_failed"), (~failed & verdict(m, rules)).alias("kept"))
+
+    return _let(measures(text), judge)
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
+
+
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """The measures of every document, base_failed, and kept.
 
@@ -110,6 +137,10 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     them in windows of three words that stand twice or more. kept: neither
     base_failed nor rejected by a rule.
     """
-    out = measures(docs)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    out = docs.withColumn("__assessed", assessed(F.col("text"), rules))
+    return out.withColumns({x: F.col(f"__assessed.{x}") for x in (*MEASURES, "base_failed", "kept")}).drop("__assessed")
+
+
+def good_texts(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that quality_rules keeps, as they are."""
+    return docs.filter(assessed(F.col("text"), rules)["kept"])

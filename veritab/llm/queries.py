@@ -62,7 +62,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_personal_data, joined
 
     out = find_personal_data(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def of_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
