@@ -31,8 +31,8 @@ _U = np.uint64
 #: The hashes of the end of a text and of what stands before its first word.
 END, BEGIN = _U(0x1B873593CC9E2D51), _U(0x85EBCA6BC2B2AE35)
 _ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary()), ("totals", pa.binary())])
-_ASK_SQL, _ANSWER_SQL = "bucket int, chunk int, keys binary, counts binary", "chunk int, step int, bucket int, values binary, totals binary"
+_ANSWER = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary()), ("first", pa.binary()), ("totals", pa.binary())])
+_ASK_SQL, _ANSWER_SQL = "bucket int, chunk int, keys binary, counts binary", "chunk int, step int, bucket int, values binary, first binary, totals binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: N, V and the numbers of types that occur 1, 2, ... RELIABLE + 1 times.
 _TOTALS = f"<{RELIABLE + 3}q"
@@ -105,27 +105,45 @@ class Stream:
             return Distinct(mix(self.before * _U(0x9E3779B97F4A7C15) + self.tokens))
 
 
-def _asks(chunk: int, hashes: np.ndarray, buckets: int, keys, counts) -> pa.Table:
+def _asks(chunk: int, hashes: np.ndarray, buckets: int, pack_keys, keys: np.ndarray, pack_counts, counts: np.ndarray) -> pa.Table:
     cuts = bucket_bounds(hashes, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": [keys(cuts[b], cuts[b + 1]) for b in used], "counts": [counts(cuts[b], cuts[b + 1]) for b in used]}, _ASK)
+    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": [pack_keys(b, keys[cuts[b] : cuts[b + 1]]) for b in used], "counts": [pack_counts(counts[cuts[b] : cuts[b + 1]]) for b in used]}, _ASK)
+
+
+def _plain(bucket: int, values: np.ndarray) -> bytes:
+    return values.tobytes()
 
 
 def _ask_words(docs: pa.Table, buckets: int) -> pa.Table:
     s = Stream(docs)
-    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, lambda a, b: s.words.values[a:b].tobytes(), lambda a, b: s.word_counts[a:b].tobytes())
+    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, _plain, s.words.values, _planes, s.word_counts)
+
+
+def _planes(counts: np.ndarray) -> bytes:
+    """32-bit numbers, all their lowest bytes first, and so on: mostly small ones then compress to a byte each."""
+    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _whole(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    """The lower 48 bits of each."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _gaps(hashes: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """A bucket's ascending hashes to 48 bits, as gaps of as many bytes as the largest needs; the first byte says how many."""
+    start = -(-(bucket << 32) // buckets) << 32
+    keys = (hashes - _U(start)) >> _U(max(0, 17 - buckets.bit_length()))
+    gaps = np.diff(keys, prepend=_U(0))
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _long(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").reshape(-1)
+def _keys(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,14 +153,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, at, np.add.reduceat(counts[order].astype(np.int64), at)
 
 
-def _answer(table: pa.Table, step: int, values: np.ndarray, totals: list[int], chunks: int) -> pa.Table:
-    """Values go back to who asked; totals go to every chunk."""
-    size = values.dtype.itemsize
-    cuts = np.cumsum([0, *(x.as_buffer().size // 4 for x in table["counts"])])
-    assert cuts[-1] * size == values.nbytes
-    asked = {c: values[a:b].tobytes() for c, a, b in zip(table["chunk"].to_pylist(), cuts, cuts[1:], strict=False)}
-    every, bucket = range(chunks), table["bucket"][0].as_py()
-    return message({"chunk": list(every), "step": [step] * chunks, "bucket": [bucket] * chunks, "values": [asked.get(c, b"") for c in every], "totals": [struct.pack(_TOTALS, *totals)] * chunks}, _ANSWER)
+def _answer(table: pa.Table, step: int, cuts: np.ndarray, pack, totals: list[int], chunks: int, first=None) -> pa.Table:
+    """Values go back to who asked, pack(a, b) for those from a to b; totals go to every chunk."""
+    bucket = table["bucket"][0].as_py()
+    asked = {c: (pack(a, b), np.packbits(first[a:b]).tobytes() if first is not None else b"") for c, a, b in zip(table["chunk"].to_pylist(), cuts, cuts[1:], strict=False)}
+    every = range(chunks)
+    values, firsts = zip(*(asked.get(c, (b"", b"")) for c in every), strict=True)
+    return message({"chunk": list(every), "step": [step] * chunks, "bucket": [bucket] * chunks, "values": list(values), "first": list(firsts), "totals": [struct.pack(_TOTALS, *totals)] * chunks}, _ANSWER)
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All parts end to end, and the cuts between them."""
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 def _often(counts: np.ndarray) -> list[int]:
@@ -150,44 +172,49 @@ def _often(counts: np.ndarray) -> list[int]:
 
 
 def _count_words(table: pa.Table, chunks: int) -> pa.Table:
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-    order, at, sums = _summed(keys, np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32))
+    keys, cuts = _joined([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
+    order, at, sums = _summed(keys, np.concatenate([_whole(x) for x in table["counts"].to_pylist()]))
     own = sums[keys[order][at] != BEGIN]
     out = np.empty(len(keys), np.uint32)
     out[order] = np.repeat(sums, np.diff(np.append(at, len(keys))))
-    return _answer(table, 1, out, [int(own.sum()), int((own > 0).sum()), *_often(own)], chunks)
+    return _answer(table, 1, cuts, lambda a, b: _planes(out[a:b]), [int(own.sum()), int((own > 0).sum()), *_often(own)], chunks)
 
 
 def _count_pairs(table: pa.Table, chunks: int) -> pa.Table:
-    """Each pair's count, and in the upper bit whether this chunk is the first that has it."""
+    """Each pair's count, and whether this chunk is the first that has it."""
     table = table.sort_by("chunk")
-    keys = _long(table["keys"].to_pylist())
-    order, at, sums = _summed(keys, np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32))
-    out = np.empty(len(keys), np.uint32)
-    ordered = np.repeat(sums, np.diff(np.append(at, len(keys)))).astype(np.uint32)
-    ordered[at] |= np.uint32(1 << 31)
-    out[order] = ordered
-    return _answer(table, 2, out, [0, 0, *_often(sums)], chunks)
+    keys, cuts = _joined([_keys(x) for x in table["keys"].to_pylist()])
+    order, at, sums = _summed(keys, np.concatenate([_whole(x) for x in table["counts"].to_pylist()]))
+    out, first = np.empty(len(keys), np.uint32), np.zeros(len(keys), bool)
+    out[order] = np.repeat(sums, np.diff(np.append(at, len(keys))))
+    first[order[at]] = True
+    return _answer(table, 2, cuts, lambda a, b: _planes(out[a:b]), [0, 0, *_often(sums)], chunks, first)
 
 
 class Answers:
     """What a chunk has been told so far."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.rows = sorted(zip(table["step"].to_pylist(), table["bucket"].to_pylist(), table["values"].to_pylist(), table["totals"].to_pylist(), strict=True))
+        self.rows = sorted(zip(*(table[c].to_pylist() for c in ("step", "bucket", "values", "first", "totals")), strict=True))
+
+    def counts(self, step: int) -> np.ndarray:
+        return np.concatenate([_whole(v) for s, _, v, _, _ in self.rows if s == step]).astype(np.int64)
+
+    def first(self) -> np.ndarray:
+        return np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(v) // 4) for s, _, v, f, _ in self.rows if s == 2]).astype(bool)
 
-    def values(self, step: int, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(v for s, _, v, _ in self.rows if s == step), kind)
+    def weights(self) -> np.ndarray:
+        return np.frombuffer(b"".join(v for s, _, v, _, _ in self.rows if s == 3), np.float64)
 
     def totals(self, step: int) -> np.ndarray:
-        return np.array([struct.unpack(_TOTALS, t) for s, _, _, t in self.rows if s == step] or [[0] * (RELIABLE + 3)], np.int64).sum(0)
+        return np.array([struct.unpack(_TOTALS, t) for s, _, _, _, t in self.rows if s == step], np.int64).sum(0)
 
 
 def _ask_pairs(docs: pa.Table, buckets: int) -> pa.Table:
     s = Stream(docs)
     pairs = s.pairs()
     counts = np.add.reduceat(s.trains[s.doc][pairs.order].astype(np.uint32), pairs.at).astype(np.uint32)
-    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda a, b: _short(pairs.values[a:b]), lambda a, b: counts[a:b].tobytes())
+    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda b, x: _gaps(x, b, buckets), pairs.values, _planes, counts)
 
 
 def _report_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -196,19 +223,17 @@ def _report_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Tabl
         return _ASK.empty_table()
     s, told = Stream(docs), Answers(answers)
     pairs = s.pairs()
-    told_pairs = told.values(2, np.uint32)
-    own = told_pairs >> np.uint32(31) > 0
-    count = (told_pairs & np.uint32((1 << 31) - 1)).astype(np.int64)
+    count = told.counts(2)
     place = pairs.order[pairs.at]
     unigram = Unigrams(told.totals(1))
     share = discounts(told.totals(2)[2:].tolist())
-    seen = own & (count > 0)
+    seen = told.first() & (count > 0)
     context, word, count = s.before_at[place][seen], s.token_at[place][seen], count[seen]
     freed = np.where(count > RELIABLE, 0.0, (1 - share[np.where(count > RELIABLE, 0, count)]) * count)
     size = len(s.words.values)
     freed = np.bincount(context, freed, size)
-    taken = np.bincount(context, unigram(told.values(1, np.uint32).astype(np.int64))[word], size)
-    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, lambda a, b: freed[a:b].tobytes(), lambda a, b: taken[a:b].tobytes())
+    taken = np.bincount(context, unigram(told.counts(1))[word], size)
+    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, _plain, freed, np.ndarray.tobytes, taken)
 
 
 def _weigh_contexts(asked: pa.Table, reports: pa.Table, chunks: int) -> pa.Table:
@@ -216,15 +241,15 @@ def _weigh_contexts(asked: pa.Table, reports: pa.Table, chunks: int) -> pa.Table
     if not len(asked):
         return _ANSWER.empty_table()
     asked, reports = asked.sort_by("chunk"), reports.sort_by("chunk")
-    keys = np.frombuffer(b"".join(asked["keys"].to_pylist()), np.uint64)
-    order, at, sums = _summed(keys, np.frombuffer(b"".join(asked["counts"].to_pylist()), np.uint32))
+    keys, cuts = _joined([np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()])
+    order, at, sums = _summed(keys, np.concatenate([_whole(x) for x in asked["counts"].to_pylist()]))
     freed, taken = (np.add.reduceat(np.frombuffer(b"".join(reports[c].to_pylist()), np.float64)[order], at) for c in ("keys", "counts"))
     total = np.maximum(sums, 1)
     rest = np.maximum(1 - taken, 1e-300)
     weight = np.where(sums == 0, 0.0, np.where(freed > 0, freed / total / rest, -1 / (total + 1) / rest))
     out = np.empty(len(keys), np.float64)
     out[order] = np.repeat(weight, np.diff(np.append(at, len(keys))))
-    return _answer(asked, 3, out, [0] * (RELIABLE + 3), chunks)
+    return _answer(asked, 3, cuts, lambda a, b: out[a:b].tobytes(), [0] * (RELIABLE + 3), chunks)
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -232,10 +257,10 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
     s, told = Stream(docs), Answers(answers)
     unigram, share = Unigrams(told.totals(1)), discounts(told.totals(2)[2:].tolist())
-    counts = told.values(1, np.uint32).astype(np.int64)
+    counts = told.counts(1)
     token, context = counts[s.token_at], counts[s.before_at]
-    pair = s.pairs().spread(told.values(2, np.uint32) & np.uint32((1 << 31) - 1)).astype(np.int64)
-    weight = told.values(3, np.float64)[s.before_at]
+    pair = s.pairs().spread(told.counts(2))
+    weight = told.weights()[s.before_at]
     over = np.maximum(context + (weight < 0), 1)
     seen = share[np.where(pair > RELIABLE, 0, pair)] * pair / over
     lower = unigram(token)
