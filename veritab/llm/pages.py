@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._packed import written
+
 #: Expected pages of a host in a group that is aligned together.
 GROUP_PAGES = 256
+#: A table of hosts up to so many rows may be broadcast; a larger one is shuffled.
+BROADCAST_HOSTS = 100_000
 #: Elements nested deeper are taken as empty, and what they hold as their parent's.
 DEEPEST = 200
 
@@ -286,8 +290,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    # A row a host, joined by the host; Spark broadcasts it where its size allows, and splits hot hosts where not.
-    counts = rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(GROUP_PAGES)).alias("groups"))
-    rows = rows.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-    out = rows.drop("groups").groupBy("host", "part").applyInArrow(lambda t: _extract(t.drop_columns(["part"])), "page_id long, url string, text string, host string")
+    counts = written(rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(GROUP_PAGES)).alias("groups")))
+    rows = rows.join(F.broadcast(counts) if counts.count() <= BROADCAST_HOSTS else counts, "host")
+    # The one key is a hash of host and part, so no exchange deals pages by host alone.
+    rows = rows.withColumn("group", F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), F.col("groups"))))
+    out = rows.drop("groups").groupBy("group").applyInArrow(lambda t: _extract(t.drop_columns(["group"])), "page_id long, url string, text string, host string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host")
