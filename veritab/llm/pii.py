@@ -115,7 +115,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     number of texts with each of those terms, over all documents.
     """
     mentions = docs.filter(F.size("__base") > 0).select("__key", "text", F.explode("__base").alias("s"))
-    around = F.concat_ws(" ", F.element_at(F.split(F.substring("text", F.greatest(F.lit(1), F.col("s.start").cast("int") - 63), F.least(F.lit(64), F.col("s.start").cast("int"))), "\\s+"), -2), F.lit("|"), F.get(F.split(F.substring("text", F.col("s.end").cast("int") + 1, F.lit(64)), "\\s+"), F.lit(1)))
+    around = F.concat_ws(" ", F.try_element_at(F.split(F.substring("text", F.greatest(F.lit(1), F.col("s.start").cast("int") - 63), F.least(F.lit(64), F.col("s.start").cast("int"))), "\\s+"), F.lit(-2)), F.lit("|"), F.get(F.split(F.substring("text", F.col("s.end").cast("int") + 1, F.lit(64)), "\\s+"), F.lit(1)))
     mentions = mentions.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), "__key")
     contexts = mentions.groupBy("entity", "context").agg(F.min("__key").alias("__key"))
     witnesses = contexts.groupBy("entity", "__key").agg(F.count("*").alias("n"))
@@ -125,18 +125,24 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
         return None
     texts = docs.filter(F.size("__base") > 0).select("__key", F.array_distinct(F.transform(_words(F.col("text")), _term)).alias("terms")).dropDuplicates(["__key"])
     together = chosen.join(texts, "__key").select("entity", "n_entity", F.explode("terms").alias("term")).filter((F.length("term") > 0) & ~F.endswith("entity", F.concat(F.lit(":"), F.col("term"))))
-    together = written(together.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= WITNESSES))
+    together = together.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= WITNESSES)
+    total = float(docs.count())
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+
+    def discloses(n_term: Column) -> Column:
+        shared = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.greatest(n_term, "n_both")))
+        return (content > 0) & (shared >= DISCLOSURE * content)
+
+    # A term is at least as frequent as it is in the texts with entities; that alone rules out the common words.
+    least = docs.filter(F.size("__base") > 0).select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    together = written(together.join(least, "term").filter(discloses(F.col("n_least"))).drop("n_least"))
     terms = written(together.select("term").distinct())
     rows = terms.count()
     if not rows:
         return None
     spread = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term"))
     spread = spread.join(F.broadcast(terms) if rows <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = float(docs.count())
-    scored = together.join(spread, "term")
-    content = F.log2(F.lit(total) / F.col("n_entity"))
-    shared = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    out = written(scored.filter((content > 0) & (shared >= DISCLOSURE * content)).select("entity", "term"))
+    out = written(together.join(spread, "term").filter(discloses(F.col("n_term"))).select("entity", "term"))
     return None if out.isEmpty() else out
 
 
