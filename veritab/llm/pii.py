@@ -27,6 +27,8 @@ TERM = "term"
 #: A term discloses an entity from this share of the entity's information content on, with so many independent witnesses.
 DISCLOSURE = 0.9
 WITNESSES = 3
+#: Words on either side of a mention that make it a mention of its own.
+CONTEXT = 3
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -115,7 +117,10 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     number of texts with each of those terms, over all documents.
     """
     mentions = docs.filter(F.size("__base") > 0).select("__key", "text", F.explode("__base").alias("s"))
-    around = F.concat_ws(" ", F.try_element_at(F.split(F.substring("text", F.greatest(F.lit(1), F.col("s.start").cast("int") - 63), F.least(F.lit(64), F.col("s.start").cast("int"))), "\\s+"), F.lit(-2)), F.lit("|"), F.get(F.split(F.substring("text", F.col("s.end").cast("int") + 1, F.lit(64)), "\\s+"), F.lit(1)))
+    start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
+    before = F.slice(F.reverse(F.split(F.trim(F.substring("text", F.greatest(F.lit(1), start - 63), F.least(F.lit(64), start))), "\\s+")), 1, CONTEXT)
+    after = F.slice(F.split(F.trim(F.substring("text", end + 1, F.lit(64))), "\\s+"), 1, CONTEXT)
+    around = F.concat_ws(" ", before, F.array(F.lit("|")), after)
     mentions = mentions.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), "__key")
     contexts = mentions.groupBy("entity", "context").agg(F.min("__key").alias("__key"))
     witnesses = contexts.groupBy("entity", "__key").agg(F.count("*").alias("n"))
