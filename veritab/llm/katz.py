@@ -156,7 +156,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _answer(table: pa.Table, step: int, cuts: np.ndarray, pack, totals: list[int], chunks: int, first=None) -> pa.Table:
     """Values go back to who asked, pack(a, b) for those from a to b; totals go to every chunk."""
     bucket = table["bucket"][0].as_py()
-    asked = {c: (pack(a, b), np.packbits(first[a:b]).tobytes() if first is not None else b"") for c, a, b in zip(table["chunk"].to_pylist(), cuts, cuts[1:], strict=False)}
+    asked = {c: (pack(a, b), struct.pack("<I", b - a) + np.packbits(first[a:b]).tobytes() if first is not None else b"") for c, a, b in zip(table["chunk"].to_pylist(), cuts, cuts[1:], strict=False)}
     every = range(chunks)
     values, firsts = zip(*(asked.get(c, (b"", b"")) for c in every), strict=True)
     return message({"chunk": list(every), "step": [step] * chunks, "bucket": [bucket] * chunks, "values": list(values), "first": list(firsts), "totals": [struct.pack(_TOTALS, *totals)] * chunks}, _ANSWER)
@@ -200,8 +200,8 @@ class Answers:
     def counts(self, step: int) -> np.ndarray:
         return np.concatenate([_whole(v) for s, _, v, _, _ in self.rows if s == step]).astype(np.int64)
 
-    def first(self) -> np.ndarray:
-        return np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(v) // 4) for s, _, v, f, _ in self.rows if s == 2]).astype(bool)
+    def flags(self, step: int) -> np.ndarray:
+        return np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8, offset=4), count=struct.unpack("<I", f[:4])[0]) for s, _, _, f, _ in self.rows if s == step and f]).astype(bool)
 
     def weights(self) -> np.ndarray:
         return np.frombuffer(b"".join(v for s, _, v, _, _ in self.rows if s == 3), np.float64)
@@ -227,29 +227,34 @@ def _report_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Tabl
     place = pairs.order[pairs.at]
     unigram = Unigrams(told.totals(1))
     share = discounts(told.totals(2)[2:].tolist())
-    seen = told.first() & (count > 0)
+    seen = told.flags(2) & (count > 0)
     context, word, count = s.before_at[place][seen], s.token_at[place][seen], count[seen]
     freed = np.where(count > RELIABLE, 0.0, (1 - share[np.where(count > RELIABLE, 0, count)]) * count)
     size = len(s.words.values)
     freed = np.bincount(context, freed, size)
     taken = np.bincount(context, unigram(told.counts(1))[word], size)
-    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, _plain, freed, np.ndarray.tobytes, taken)
+    # A weight is asked for, by the sign, where the chunk has a pair that was never seen.
+    asks = np.bincount(s.before_at[place][told.counts(2) == 0], minlength=size) > 0
+    return _asks(docs["chunk"][0].as_py(), s.words.values, buckets, _plain, np.where(asks, -freed, freed), np.ndarray.tobytes, taken)
 
 
 def _weigh_contexts(asked: pa.Table, reports: pa.Table, chunks: int) -> pa.Table:
-    """Each context's backoff weight; 0 for one that training lacks. Negative where discounting frees nothing: one more count then stands for the unseen."""
+    """The backoff weights asked for; and, for all contexts, whether discounting frees nothing of theirs: one more count then stands for the unseen."""
     if not len(asked):
         return _ANSWER.empty_table()
     asked, reports = asked.sort_by("chunk"), reports.sort_by("chunk")
     keys, cuts = _joined([np.frombuffer(x, np.uint64) for x in asked["keys"].to_pylist()])
     order, at, sums = _summed(keys, np.concatenate([_whole(x) for x in asked["counts"].to_pylist()]))
-    freed, taken = (np.add.reduceat(np.frombuffer(b"".join(reports[c].to_pylist()), np.float64)[order], at) for c in ("keys", "counts"))
+    reported, taken = (np.frombuffer(b"".join(reports[c].to_pylist()), np.float64) for c in ("keys", "counts"))
+    freed, taken = (np.add.reduceat(x[order], at) for x in (np.abs(reported), taken))
     total = np.maximum(sums, 1)
-    rest = np.maximum(1 - taken, 1e-300)
-    weight = np.where(sums == 0, 0.0, np.where(freed > 0, freed / total / rest, -1 / (total + 1) / rest))
-    out = np.empty(len(keys), np.float64)
-    out[order] = np.repeat(weight, np.diff(np.append(at, len(keys))))
-    return _answer(asked, 3, cuts, lambda a, b: out[a:b].tobytes(), [0] * (RELIABLE + 3), chunks)
+    none = (sums > 0) & (freed <= 0)
+    weight = np.where(none, 1 / (total + 1), freed / total) / np.maximum(1 - taken, 1e-300)
+    out, bare = np.empty(len(keys), np.float64), np.empty(len(keys), bool)
+    sizes = np.diff(np.append(at, len(keys)))
+    out[order], bare[order] = np.repeat(weight, sizes), np.repeat(none, sizes)
+    wanted = np.signbit(reported)
+    return _answer(asked, 3, cuts, lambda a, b: out[a:b][wanted[a:b]].tobytes(), [0] * (RELIABLE + 3), chunks, bare)
 
 
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -260,11 +265,12 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     counts = told.counts(1)
     token, context = counts[s.token_at], counts[s.before_at]
     pair = s.pairs().spread(told.counts(2))
-    weight = told.weights()[s.before_at]
-    over = np.maximum(context + (weight < 0), 1)
+    weight = np.zeros(len(s.words.values))
+    weight[np.bincount(s.before_at[pair == 0], minlength=len(weight)) > 0] = told.weights()
+    over = np.maximum(context + told.flags(3)[s.before_at], 1)
     seen = share[np.where(pair > RELIABLE, 0, pair)] * pair / over
     lower = unigram(token)
-    p = np.where(pair > 0, seen, np.where(context > 0, np.abs(weight), 1.0) * lower)
+    p = np.where(pair > 0, seen, np.where(context > 0, weight[s.before_at], 1.0) * lower)
     n = len(s.docs)
     base = np.log10((token + 1) / (unigram.tokens + unigram.types + 1))
     sums = lambda x: np.bincount(s.doc, x, n)
