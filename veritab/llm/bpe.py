@@ -48,6 +48,8 @@ class Codec:
         self.odd_space = regex.compile(r"\s (?!\S)").search
         self.pairs: dict[tuple[int, int], list[int]] = {}
         self.leaves: dict[bytes, list[int]] = {}
+        #: Each id, packed.
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
         self.plain, self.spaced = _Memo(self, ""), _Memo(self, " ")
 
     def merge(self, piece: bytes) -> list[int]:
@@ -130,8 +132,7 @@ class Codec:
 
     def unit(self, text: str) -> bytes:
         """The ids of a text, piece by piece, as little-endian unsigned 32-bit integers."""
-        ids = [i for p in self.pieces(text) for i in self.piece(p.encode())]
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(self.packed[i] for p in self.pieces(text) for i in self.piece(p.encode()))
 
     def encode(self, text: str) -> bytes:
         """As unit(). Where no space stands between white space, each space begins a piece, so the units between spaces are encoded once each."""
@@ -151,6 +152,10 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+#: Marks that end a word; each is a token.
+_MARKS = frozenset(".,;:!?)")
+
+
 class _Memo(dict):
     """Encoded units of a text; lead stands before each."""
 
@@ -158,7 +163,14 @@ class _Memo(dict):
         self.codec, self.lead = codec, lead
 
     def __missing__(self, unit: str) -> bytes:
-        found = self.codec.unit(self.lead + unit)
+        codec = self.codec
+        # Letters alone are one piece, and so is one mark after them.
+        if unit.isalpha():
+            found = b"".join(map(codec.packed.__getitem__, codec.piece((self.lead + unit).encode())))
+        elif unit[-1:] in _MARKS and unit[:-1].isalpha():
+            found = self[unit[:-1]] + codec.packed[codec.ranks[unit[-1].encode()]]
+        else:
+            found = codec.unit(self.lead + unit)
         if len(unit) <= 64:
             if len(self) >= MEMO:
                 self.clear()
