@@ -138,5 +138,8 @@ def merge_near(df: DataFrame, threshold: float = 0.9) -> DataFrame:
         return rows.loc[stays, ["uid", "url"]]
 
     keys = ["__company", "__city", "__words"]
-    chosen = best.groupBy(*keys).applyInPandas(greedy, df.select("uid", "url").schema)
+    # Most groups have one title, and so nothing to compare.
+    best = best.withColumn("__titles", F.count("*").over(Window.partitionBy(*keys)))
+    chosen = best.filter("__titles > 1").groupBy(*keys).applyInPandas(greedy, df.select("uid", "url").schema)
+    chosen = chosen.unionByName(best.filter("__titles = 1").select("uid", "url"))
     return keyed.join(chosen.dropDuplicates(), ["uid", "url"], "left_semi").unionByName(alone).select(df.columns)

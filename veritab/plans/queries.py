@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..functions import text as X
-from ..operators import alarms, evaluation, guard, runs, screening
+from ..operators import alarms, evaluation, guard, postings, runs, screening
 from ..operators.rules import FactType, Rule, RuleSet, decide, histogram
 from ..sources import readers
 from ..streaming import state
@@ -450,6 +450,23 @@ def set_except_intersect(spark, sf_dir):
     return d.subtract(b).select(F.lit("documents").alias("side"), "doc_id").unionByName(d.intersect(b).select(F.lit("both").alias("side"), "doc_id"))
 
 
+_LIMITS = postings.Limits(levels=("O", "F"), max_years=30, skip_fields=("5-LOW",), student=False, graduation_years=(1, 2, 3))
+_FIT = "CAST(floor(o_totalprice / 5000) AS INTEGER)"
+_FIRED = "CASE WHEN o_orderkey % 13 = 0 THEN 'hard_bar' WHEN o_orderkey % 17 = 0 AND o_orderkey % 4 = 0 THEN 'graduation_year' WHEN o_orderkey % 19 = 0 AND o_orderkey % 17 <> 0 THEN 'student_only' WHEN o_orderstatus = 'P' THEN 'level' WHEN o_custkey % 40 > 30 THEN 'years' WHEN o_orderpriority = '5-LOW' THEN 'field' END"
+
+
+@query(f"""SELECT o_orderkey, rule, CASE WHEN bar = 'clearance' THEN 'blocked' WHEN rule IS NOT NULL THEN 'skip' WHEN fit >= 65 THEN 'apply' WHEN fit >= 40 THEN 'consider' ELSE 'skip' END AS verdict, CASE WHEN bar = 'clearance' THEN least(fit, 20) WHEN rule IS NOT NULL THEN least(fit, 54) ELSE fit END AS score
+  FROM (SELECT o_orderkey, {_FIT} AS fit, {_FIRED} AS rule, CASE WHEN o_orderkey % 26 = 0 THEN 'clearance' END AS bar FROM orders)""")
+def posting_verdicts(spark, sf_dir):
+    key = F.col("o_orderkey")
+    kind = F.when(key % 26 == 0, "clearance").when(key % 13 == 0, "language").otherwise("work_auth")
+    facts = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.floor(F.col("o_totalprice") / 5000).cast("int").alias("fit_score"), F.col("o_orderstatus").alias("level"), (F.col("o_custkey") % 40).alias("years_required"),
+        (key % 19 == 0).alias("student_only"), F.when(key % 17 == 0, key % 4 + F.when(key % 4 == 0, 9).otherwise(0)).alias("graduation_year"), F.col("o_orderpriority").alias("field"), F.array(F.struct(kind.alias("kind"), F.lit("q").alias("quote"))).alias("bars"),
+    )
+    return postings.verdict(facts, _LIMITS).select("o_orderkey", "rule", "verdict", "score")
+
+
 FLAGSHIP = RuleSet(
     {"chars": FactType("n_chars", "integer"), "lang": FactType("lang", "enum"), "quality": FactType("quality", "integer"), "amount": FactType("amount", "number")},
     [Rule("low quality", {"quality": {"eq": 0}}, "drop"), Rule("short", {"chars": {"lt": 200}}, "drop"), Rule("large amount", {"amount": {"gt": 1000000}}, "review"), Rule("unlabelled", {"quality": {"stated": False}, "lang": {"ne": "en"}}, "review")],
