@@ -234,6 +234,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     named = labels.join(classes, labels["node"] == classes["v"]).groupBy("root").agg(F.min("least").alias("component"))
     linked = found.groupBy("v").agg(F.sum("links").alias("links"))
     each = classes.join(labels.join(named, "root").select(F.col("node").alias("v"), "component"), "v", "left").join(linked, "v", "left")
-    each = each.select("v", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Written, so that the last join has an exchange on either side and Spark can split the rows of a large group of copies.
+    each = written(each.select("v", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(each, "v", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
