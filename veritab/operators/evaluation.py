@@ -27,9 +27,13 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
 
 def rates(attempts: DataFrame, case: str = "case", outcome: str = "outcome") -> DataFrame:
     """One row: pass@1 over attempts that came to a result, pass^k over cases that did."""
-    one = attempts.agg(F.count_if(F.col(outcome) == "pass").alias("passed"), F.count_if(F.col(outcome) != "inconclusive").alias("conclusive"))
-    states = case_states(attempts, case, outcome).agg(F.count_if(F.col("state") == "pass").alias("cases_passed"), F.count_if(F.col("state") != "inconclusive").alias("cases"))
-    return one.crossJoin(states).select("*", F.try_divide("passed", "conclusive").alias("pass_at_1"), F.try_divide("cases_passed", "cases").alias("pass_hat_k"))
+    by = attempts.groupBy(case).agg(*[F.count_if(F.col(outcome) == x).alias(x) for x in ("pass", "fail")], F.count_if(F.col(outcome) != "inconclusive").alias("told"), F.count("*").alias("n"))
+    # A case with a failure has failed or is flaky; without one it passes only if every attempt came to a result.
+    cases = F.count_if((F.col("fail") > 0) | ((F.col("told") == F.col("n")) & (F.col("pass") > 0)))
+    passed = F.count_if((F.col("fail") == 0) & (F.col("told") == F.col("n")) & (F.col("pass") > 0))
+    nothing = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = by.agg(nothing("pass").alias("passed"), nothing("told").alias("conclusive"), passed.alias("cases_passed"), cases.alias("cases"))
+    return one.select("*", F.try_divide("passed", "conclusive").alias("pass_at_1"), F.try_divide("cases_passed", "cases").alias("pass_hat_k"))
 
 
 def moves(before: DataFrame, after: DataFrame, case: str = "case") -> DataFrame:

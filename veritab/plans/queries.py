@@ -148,9 +148,9 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.short_hash(F.col("source"), F.col("text")).alias("content_hash"))
 
 
-@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY lang, left(text, 40) ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
+@query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY lang, lower(split_part(text, '. ', 1)) ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
 def dedup_exact_longest(spark, sf_dir):
-    keyed = table(spark, sf_dir, "documents").withColumn("head", F.left("text", F.lit(40)))
+    keyed = table(spark, sf_dir, "documents").withColumn("head", F.lower(F.split_part("text", F.lit(". "), F.lit(1))))
     return screening.first_of_each(keyed, ["lang", "head"], [F.length("text").desc(), F.col("doc_id")]).select("doc_id", "text")
 
 
@@ -239,8 +239,8 @@ SPECS = {"amount": {"type": "number"}, "status": {"type": "enum", "values": ["O"
 ANSWER_RULES = RuleSet({"amount": FactType("facts.amount.value", "number", quote="facts.amount.quote"), "status": FactType("facts.status.value", "enum", quote="facts.status.quote")}, [Rule("big", {"amount": {"gt": 250000}}, "hold"), Rule("open", {"status": {"is": "O"}}, "wait")], "pay")
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'filtered' WHEN r > 9000 THEN 'deferred' WHEN o_orderkey % 11 = 0 OR o_orderstatus = 'P' THEN 'error' ELSE 'decided' END AS status,
-  CASE WHEN o_orderpriority = '5-LOW' OR r > 9000 OR o_orderkey % 11 = 0 OR o_orderstatus = 'P' THEN NULL WHEN o_totalprice > 250000 AND o_orderkey % 7 <> 0 THEN 'hold' WHEN o_orderstatus = 'O' THEN 'wait' ELSE 'pay' END AS outcome
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'filtered' WHEN r > 9000 THEN 'deferred' WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' THEN 'error' ELSE 'decided' END AS status,
+  CASE WHEN o_orderpriority = '5-LOW' OR r > 9000 OR o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' THEN NULL WHEN o_totalprice > 250000 AND o_orderkey % 7 <> 0 THEN 'hold' WHEN o_orderstatus = 'O' THEN 'wait' ELSE 'pay' END AS outcome
   FROM (SELECT *, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END) OVER (ORDER BY o_orderkey) AS r FROM orders)""")
 def replay_run(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -248,7 +248,7 @@ def replay_run(spark, sf_dir):
     fact = lambda v, q: F.struct(v.alias("value"), q.alias("quote"))
     wrong = F.when(F.col("o_orderkey") % 7 == 0, "total 1").otherwise(F.concat(F.lit("total "), F.format_number("o_totalprice", 2)))
     raw = F.to_json(F.struct(fact(F.col("o_totalprice"), wrong).alias("amount"), fact(F.col("o_orderstatus"), F.concat(F.lit("status "), F.col("o_orderstatus"))).alias("status")))
-    answers = o.filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(1).alias("line"), raw.alias("raw"))
+    answers = o.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(1).alias("line"), raw.alias("raw"))
     done = runs.run(items, answers, SPECS, ANSWER_RULES, AS_OF, ["body", "priority"], exclude=["low"], max_calls=9000)
     return done.select("id", "status", "outcome")
 
@@ -288,18 +288,20 @@ def _halves(spark, sf_dir):
     return e.filter(F.col("day") < cut), e.filter(F.col("day") >= cut)
 
 
-@query(f"SELECT event_id FROM events WHERE ts >= {_HALF} AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-03')")
+_UID = "user_id || ':' || event_type || ':' || CAST(floor(value) AS INTEGER)"
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= {_HALF} AND {_UID} NOT IN (SELECT {_UID} FROM events WHERE ts < {_HALF})")
 def seen_anti(spark, sf_dir):
-    _, scan = _halves(spark, sf_dir)
-    uid = F.concat_ws(":", "user_id", "event_type")
-    old = table(spark, sf_dir, "events").filter(F.col("ts") < F.lit("2024-01-03").cast("timestamp")).select(uid.alias("uid")).distinct().withColumn("last_seen", F.lit("2024-01-02").cast("date"))
-    return state.unseen(scan.withColumn("uid", uid), old).select("event_id")
+    uid = F.concat_ws(":", "user_id", "event_type", F.floor("value").cast("int"))
+    old, scan = (half.withColumn("uid", uid) for half in _halves(spark, sf_dir))
+    return state.unseen(scan, old.groupBy("uid").agg(F.max("day").alias("last_seen"))).select("event_id")
 
 
-@query(f"""WITH s AS (SELECT user_id, max(CAST(ts AS DATE)) AS l FROM events WHERE ts < {_HALF} AND user_id % 2 = 0 GROUP BY 1) SELECT event_id, CAST(date_diff('day', l, DATE '2024-01-20') AS INTEGER) AS days_away FROM events LEFT JOIN s USING (user_id) WHERE ts >= {_HALF} AND (l IS NULL OR (date_diff('day', l, DATE '2024-01-20') > 5 AND event_type = 'signup'))""")
+@query(f"""WITH s AS (SELECT user_id, max(CAST(ts AS DATE)) AS l FROM events WHERE ts < {_HALF} AND value > 97 GROUP BY 1) SELECT event_id, CAST(date_diff('day', l, DATE '2024-01-20') AS INTEGER) AS days_away FROM events LEFT JOIN s USING (user_id) WHERE ts >= {_HALF} AND (l IS NULL OR (date_diff('day', l, DATE '2024-01-20') > 5 AND event_type = 'signup'))""")
 def seen_reopen(spark, sf_dir):
     old, scan = _halves(spark, sf_dir)
-    seen = old.filter("user_id % 2 = 0").groupBy("user_id").agg(F.max("day").alias("last_seen"))
+    seen = old.filter("value > 97").groupBy("user_id").agg(F.max("day").alias("last_seen"))
     return state.unseen(scan, seen, "user_id", 5, F.lit("2024-01-20").cast("date"), F.col("event_type") == "signup").select("event_id", "days_away")
 
 
@@ -319,20 +321,20 @@ def merge_seen_upsert(spark, sf_dir):
     return state.upsert_seen(seen, got)
 
 
-@query("SELECT user_id AS uid, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS times FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-04' GROUP BY 1")
+@query("SELECT user_id AS uid, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS times FROM events WHERE event_type = 'error' GROUP BY 1")
 def deferred_counter(spark, sf_dir):
     held = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("uid"), F.col("ts").cast("date").cast("string").alias("day"))
     counters = spark.createDataFrame([], "uid long, times long")
-    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
-        counters = state.bump(counters, held.filter(F.col("day") == day))
+    for half in ("day < '2024-01-16'", "day >= '2024-01-16'"):
+        counters = state.bump(counters, held.filter(half), run="day")
     return counters
 
 
-@query(f"SELECT event_id FROM events WHERE NOT (ts < {_HALF} AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60 AND user_id % 3 = 0) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 80 AND user_id % 5 = 0))")
+@query(f"SELECT event_id FROM events WHERE NOT (ts < {_HALF} AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 96) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 98))")
 def retention_prune(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("url", F.col("event_id"))
-    who = lambda kind, least, nth: table(spark, sf_dir, "events").filter((F.col("event_type") == kind) & (F.col("value") > least) & (F.col("user_id") % nth == 0)).select("user_id").distinct()
-    keep = [e.join(who(*x), "user_id", "left_semi").select("url") for x in (("purchase", 60, 3), ("signup", 80, 5))]
+    who = lambda kind, least: table(spark, sf_dir, "events").filter((F.col("event_type") == kind) & (F.col("value") > least)).select("user_id").distinct()
+    keep = [e.join(who(*x), "user_id", "left_semi").select("url") for x in (("purchase", 96), ("signup", 98))]
     return state.prune(e, F.lit("2024-01-16").cast("timestamp"), "ts", *keep).select("event_id")
 
 
@@ -376,13 +378,13 @@ def model_health_alarm(spark, sf_dir):
 
 # Evaluation.
 
-_ATTEMPTS = "(SELECT user_id AS c, CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'signup' THEN 'inconclusive' ELSE 'pass' END AS o FROM events WHERE ts < TIMESTAMP '2024-01-02')"
+_ATTEMPTS = "(SELECT user_id AS c, CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'signup' THEN 'inconclusive' ELSE 'pass' END AS o FROM events)"
 _STATES = f"(SELECT c, CASE WHEN bool_or(o = 'pass') AND bool_or(o = 'fail') THEN 'flaky' WHEN bool_or(o = 'fail') THEN 'fail' WHEN bool_or(o = 'inconclusive') THEN 'inconclusive' ELSE 'pass' END AS state, count(*) AS attempts FROM {_ATTEMPTS} GROUP BY c)"
 
 
 def _attempts(spark, sf_dir):
     outcome = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "inconclusive").otherwise("pass")
-    return table(spark, sf_dir, "events").filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).select(F.col("user_id").alias("case"), outcome.alias("outcome"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("case"), outcome.alias("outcome"))
 
 
 @query(f'SELECT c AS "case", state, attempts FROM {_STATES}')
@@ -402,13 +404,13 @@ def eval_wilson(spark, sf_dir):
     return by.select("event_type", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-_SIDE = "(SELECT doc_id, CASE {0} WHEN 1 THEN 'pass' ELSE 'fail' END AS state FROM labels WHERE doc_id % 7 <> {1})"
+_SIDE = "(SELECT doc_id, CASE {0} WHEN 1 THEN 'pass' ELSE 'fail' END AS state FROM labels)"
 
 
-@query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS "case", CASE WHEN a.state IS NULL THEN 'only after' WHEN b.state IS NULL THEN 'only before' WHEN a.state = b.state THEN 'same' WHEN b.state = 'pass' THEN 'fixed' ELSE 'broke' END AS move FROM {_SIDE.format('quality', 1)} a FULL JOIN {_SIDE.format('toxic', 2)} b ON a.doc_id = b.doc_id""")
+@query(f"""SELECT coalesce(a.doc_id, b.doc_id) AS "case", CASE WHEN a.state IS NULL THEN 'only after' WHEN b.state IS NULL THEN 'only before' WHEN a.state = b.state THEN 'same' WHEN b.state = 'pass' THEN 'fixed' ELSE 'broke' END AS move FROM {_SIDE.format('quality')} a FULL JOIN {_SIDE.format('toxic')} b ON a.doc_id = b.doc_id""")
 def eval_compare_moves(spark, sf_dir):
-    side = lambda c, r: table(spark, sf_dir, "labels").filter(f"doc_id % 7 <> {r}").select(F.col("doc_id").alias("case"), F.when(F.col(c) == 1, "pass").otherwise("fail").alias("state"))
-    return evaluation.moves(side("quality", 1), side("toxic", 2)).select("case", "move")
+    side = lambda c: table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case"), F.when(F.col(c) == 1, "pass").otherwise("fail").alias("state"))
+    return evaluation.moves(side("quality"), side("toxic")).select("case", "move")
 
 
 @query("SELECT tag, state, count(*) AS n FROM (SELECT unnest([lang, source]) AS tag, CASE WHEN n_chars > 1000 THEN 'pass' ELSE 'fail' END AS state FROM documents) GROUP BY 1, 2")
@@ -436,11 +438,12 @@ def fuzzy_lookup(spark, sf_dir):
     return scored.filter("score >= 0.55").groupBy("asked").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), 1, 8).alias("t")).select("asked", F.explode("t").alias("t")).select("asked", "t.name", F.round(-F.col("t.s"), 6).alias("score"))
 
 
-@query("SELECT 'greenhouse' AS source, o_orderpriority AS title, 'https://jobs.example/' || o_orderkey AS url, CAST(o_orderdate AS DATE) AS posted, CAST(o_orderkey AS VARCHAR) AS raw_id FROM orders WHERE o_orderkey % 100 = 0")
+@query("SELECT 'greenhouse' AS source, o_orderpriority AS title, 'https://jobs.example/' || o_orderkey AS url, CAST(o_orderdate AS DATE) AS posted, CAST(o_orderkey AS VARCHAR) AS raw_id FROM orders")
 def board_payloads(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0")
+    o = table(spark, sf_dir, "orders")
     job = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("https://jobs.example/"), F.col("o_orderkey")).alias("absolute_url"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("first_published"))
-    payloads = o.groupBy("o_orderstatus").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("payload"))
+    # A payload for each customer's orders of a day: none grows with the table.
+    payloads = o.groupBy("o_custkey", "o_orderdate").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("payload"))
     return readers.postings(payloads, "greenhouse").select("source", "title", "url", "posted", "raw_id")
 
 

@@ -65,10 +65,87 @@ def upsert_seen(seen: DataFrame, recorded: DataFrame, key: str = "uid") -> DataF
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[pick[c].alias(c) for c in columns])
 
 
-def bump(counters: DataFrame, held: DataFrame, key: str = "uid") -> DataFrame:
-    """A count more for each held key, once a run however often it is held."""
-    once = held.select(key).distinct().withColumn("__more", F.lit(1))
-    return counters.join(once, key, "full_outer").select(key, (F.coalesce("times", F.lit(0)) + F.coalesce("__more", F.lit(0))).cast("long").alias("times"))
+def bump(counters: DataFrame, held: DataFrame, key: str = "uid", run: str | None = None) -> DataFrame:
+    """A count more for each held key, once a run however often it is held. held is one run, or several with a column that tells them apart."""
+    more = held.groupBy(key).agg((F.count_distinct(run) if run else F.lit(1).cast("long")).alias("__more"))
+    return counters.join(more, key, "full_outer").select(key, (F.coalesce("times", F.lit(0)) + F.coalesce("__more", F.lit(0))).cast("long").alias("times"))
+
+
+def forget(counters: DataFrame, done: DataFrame, key: str = "uid") -> DataFrame:
+    """counters without the keys that a run has dealt with."""
+    return counters.join(done.select(key).distinct(), key, "left_anti")
+
+
+def held_thin(thin: DataFrame, counters: DataFrame, key: str = "uid", after: int = 3) -> DataFrame:
+    """thin (rows without a text to read) with unread: true for the run in which a row has been held often enough to be shown as it is; until then it waits."""
+    times = counters.select(F.col(key).alias("__key"), F.col("times").alias("__times"))
+    return thin.join(times, F.col(key) == F.col("__key"), "left").withColumn("unread", F.coalesce("__times", F.lit(0)) + 1 >= after).drop("__key", "__times")
+
+
+def merge(target: DataFrame, source: DataFrame, keys: list[str], keep_if_blank: tuple[str, ...] = (), newest: str | None = None) -> DataFrame:
+    """target with source's rows put in by key. A column of keep_if_blank that is null or "" in source keeps its old value. Of source rows with one key the newest stands; target has each key once.
+
+    Keys are compared null-safe, so a null key is one key. Columns of target only.
+    """
+    rest = [c for c in target.columns if c not in keys]
+    order = F.struct(*[F.col(c) for c in ([newest] if newest else []) + rest])
+    last = source.groupBy(*keys).agg(F.max(F.struct(order.alias("o"), *rest)).alias("__new")).select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__new")
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    both = target.withColumn("__old", F.lit(True)).join(last, on, "full_outer")
+    new = F.col("__new").isNotNull()
+
+    def value(c: str):
+        fresh = F.col(f"__new.{c}")
+        return F.when(new & ~(F.coalesce(fresh.cast("string"), F.lit("")) == "") if c in keep_if_blank else new, fresh).otherwise(F.col(c)).alias(c)
+
+    picked = {k: F.when(F.col("__old").isNotNull(), F.col(k)).otherwise(F.col(f"__k_{k}")).alias(k) for k in keys}
+    return both.select(*[picked[c] if c in picked else value(c) for c in target.columns])
+
+
+def mark(marks: DataFrame, new: DataFrame, postings: DataFrame | None = None, key: str = "url") -> DataFrame:
+    """The user's marks (url, state, company, title, updated) with new ones: the newest state stands, and a blank label never wipes one out. postings (url, company, title) lends labels to marks that have none."""
+    if postings is not None:
+        known = postings.groupBy(F.col(key).alias("__key")).agg(F.max("company").alias("__company"), F.max("title").alias("__title"))
+        new = new.join(known, F.col(key) == F.col("__key"), "left")
+        new = new.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) for c in ("company", "title")}).drop("__key", "__company", "__title")
+    return merge(marks, new, [key], ("company", "title"), "updated")
+
+
+def shortlist(marks: DataFrame, states: tuple[str, ...] = ("saved", "applied")) -> DataFrame:
+    return marks.filter(F.col("state").isin(*states)).orderBy(F.desc("updated"), "url")
+
+
+def unsee(seen: DataFrame, key: str) -> DataFrame:
+    """seen without the rows that a uid or a url names."""
+    return seen.filter(~(F.coalesce(F.col("uid") == key, F.lit(False)) | F.coalesce(F.col("url") == key, F.lit(False))))
+
+
+def next_marks(marks: DataFrame, reads: DataFrame) -> DataFrame:
+    """Where each source is read from next. reads: source_key, started, shape, whole, unreachable, deferred, failed.
+
+    A mark moves to a read's start only if the read was whole, lost no page and
+    put nothing off; otherwise it stays. A mark of another shape of options
+    doesn't count: its source is read from the beginning, so it has no mark
+    until a whole read.
+    """
+    ok = F.coalesce(F.col("whole"), F.lit(False)) & (F.coalesce("unreachable", F.lit(0)) == 0) & (F.coalesce("deferred", F.lit(0)) == 0) & ~F.coalesce(F.col("failed"), F.lit(False))
+    last = reads.groupBy("source_key").agg(F.max(F.struct("started", ok.alias("ok"), "shape")).alias("r"))
+    old = marks.select("source_key", F.col("since").alias("__since"), F.col("shape").alias("__shape"))
+    both = old.join(last, "source_key", "full_outer")
+    stays = F.col("r").isNull() | (F.col("__shape") == F.col("r.shape"))
+    return both.select("source_key", F.when(F.col("r.ok"), F.col("r.started")).when(stays, F.col("__since")).alias("since"), F.coalesce("r.shape", "__shape").alias("shape")).filter("since is not null")
+
+
+def rotate(backups: DataFrame, keep: int, at: str = "made") -> DataFrame:
+    """Backups to remove: all but the newest, of which the one made last is always one. A listing of a store's own copies, one row a day."""
+    newest = backups.orderBy(F.desc(at)).limit(max(keep, 1)).select(at)
+    return backups.join(newest, at, "left_anti")
+
+
+def finish_run(table: Table, rows: DataFrame, output: DataFrame, path: str) -> int:
+    """Writes a run's output, and its state only after that; a crash between the two reports rows again and loses none."""
+    output.write.mode("overwrite").parquet(path)
+    return table.commit(rows)
 
 
 def cache_split(items: DataFrame, cache: DataFrame, key: str = "key", since: Column | None = None) -> DataFrame:
