@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from tests.conftest import SF
 
-from veritab.plans.queries import ORACLES, QUERIES
+from veritab.plans.catalog import ORACLES, QUERIES
 
 
 def plain(v):

@@ -172,16 +172,6 @@ def gate_three_way(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", screening.gate(F.col("n_chars"), F.col("text"), 2000).alias("gate"))
 
 
-@query("SELECT c_custkey, r, CASE WHEN r > 15 THEN 'digest_cap' END AS deferred FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment = 'MACHINERY', c_acctbal DESC, c_custkey) AS r FROM customer WHERE c_acctbal >= 9000) WHERE r <= 40")
-def rank_top_k_overflow(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = [F.col("c_mktsegment") == "MACHINERY", F.col("c_acctbal").desc(), F.col("c_custkey")]
-    top = table(spark, sf_dir, "customer").filter("c_acctbal >= 9000").orderBy(*order).limit(40)
-    # A report of 40 rows: the window sees no more than these.
-    return top.withColumn("r", F.row_number().over(Window.orderBy(*order)).cast("long")).select("c_custkey", "r", F.when(F.col("r") > 15, "digest_cap").alias("deferred"))
-
-
 @query("SELECT o_orderkey, r <= 100 AS within FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)")
 def call_ceiling(spark, sf_dir):
     return screening.in_first(table(spark, sf_dir, "orders"), "o_orderkey", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100).select("o_orderkey", "within")
@@ -427,17 +417,6 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@query()
-def fuzzy_lookup(spark, sf_dir):
-    from ..functions.similarity import matching_ratio
-
-    index = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
-    asked = spark.createDataFrame([("Supplier 12",), ("supplier#0000007",)], "asked string")
-    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    scored = index.join(F.broadcast(asked)).withColumn("score", F.when(key(F.col("name")) == key(F.col("asked")), 0.97).otherwise(matching_ratio(key(F.col("asked")), key(F.col("name")))))
-    return scored.filter("score >= 0.55").groupBy("asked").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), 1, 8).alias("t")).select("asked", F.explode("t").alias("t")).select("asked", "t.name", F.round(-F.col("t.s"), 6).alias("score"))
-
-
 @query("SELECT 'greenhouse' AS source, o_orderpriority AS title, 'https://jobs.example/' || o_orderkey AS url, CAST(o_orderdate AS DATE) AS posted, CAST(o_orderkey AS VARCHAR) AS raw_id FROM orders")
 def board_payloads(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
