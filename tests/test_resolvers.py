@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions import resolvers as R
 from veritab.operators import postings
-from veritab.sources.structured import json_ld_postings
+from veritab.sources.structured import postings_in
 
 
 def values(spark, column, texts):
@@ -46,5 +46,5 @@ def test_json_ld(spark):
     node = {"@graph": [{"@type": "Thing"}, {"@type": ["http://schema.org/JobPosting"], "title": " Clerk ", "hiringOrganization": {"name": "Acme"}, "jobLocation": [{"address": {"addressLocality": "Oslo", "addressCountry": {"name": "NO"}}}], "description": "&lt;p&gt;one&lt;br&gt;two", "datePosted": "2026-02-03T00:00"}]}
     page = lambda x: f'<html><script type="application/ld+json">{x}</script></html>'
     df = spark.createDataFrame([("u1", page(json.dumps(node))), ("u2", page("{broken")), ("u3", "<p>none</p>"), ("u4", None)], "url string, html string")
-    got = json_ld_postings(df).collect()
+    got = postings_in(df).collect()
     assert [(r.url, r.title, r.company, r.location, r.description, r.posted) for r in got] == [("u1", "Clerk", "Acme", "Oslo, NO", "one two", dt.date(2026, 2, 3))]

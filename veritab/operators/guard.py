@@ -69,29 +69,44 @@ def fact_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema["facts"].dataType[name].dataType
 
 
+#: The most characters of a short passage's first word that are looked up.
+PIECE = 64
+
+
 def contained(texts: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage", width: int = 6) -> DataFrame:
     """texts joined with the passages that their folded text contains.
 
-    A word-run anchor turns the containment into an equi-join: a passage's
-    first `width` words, looked up among each text's runs of as many words.
-    Passages of fewer words are compared with every text by broadcast.
+    Anchors turn the containment into equi-joins, and nothing is broadcast by
+    hint. A passage of three words or more is looked up by a run of at most
+    `width` of its inner words (its first and last word may be parts of longer
+    ones) among the runs of each text; a shorter one by its first word among
+    the parts of the text's distinct words that are as long. The run widths and
+    lengths that occur are at most `width` and PIECE numbers.
     """
     folded_texts = texts.withColumn("__text", fold(F.col(text)))
     keys = passages.withColumn("__passage", fold(F.col(passage))).filter("__passage <> ''").withColumn("__words", F.split("__passage", " "))
-    inner = F.size("__words") > width + 1
-    # The first and last word of a passage may be parts of longer ones: the anchor takes the whole words between.
-    long = keys.filter(inner).withColumn("__anchor", F.xxhash64(F.array_join(F.slice("__words", 2, width), " "))).drop("__words")
-    short = keys.filter(~inner).drop("__words")
+    inner = F.least(F.size("__words") - 2, F.lit(width))
+    head = F.left(F.get("__words", F.lit(0)), F.lit(PIECE))
+    kinds = keys.select(F.when(inner >= 1, inner).alias("run"), F.when(inner < 1, F.length(head)).alias("piece")).distinct().collect()
+    widths, lengths = sorted({r.run for r in kinds if r.run}), sorted({r.piece for r in kinds if r.piece})
+    # Marks keep runs and pieces apart.
+    anchored = keys.withColumn("__anchor", F.when(inner >= 1, F.xxhash64(F.lit("run"), F.array_join(F.slice("__words", F.lit(2), inner), " "))).otherwise(F.xxhash64(F.lit("piece"), head))).drop("__words")
+
+    def runs(words: Column, w: int) -> Column:
+        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - w + 1, F.lit(1))), lambda i: F.xxhash64(F.lit("run"), F.array_join(F.slice(words, i, w), " ")))
+        return F.when(F.size(words) >= w, windows).otherwise(F.array().cast("array<bigint>"))
+
+    def pieces(words: Column, n: int) -> Column:
+        long = F.filter(F.array_distinct(words), lambda w: F.length(w) >= n)
+        return F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.xxhash64(F.lit("piece"), F.substring(w, i, F.lit(n))))))
 
-    def runs(words: Column) -> Column:
-        return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+    def anchors(words: Column) -> Column:
+        return F.concat(F.array().cast("array<bigint>"), *[runs(words, w) for w in widths], *[pieces(words, n) for n in lengths])
 
     # The words are bound once a text: inside the lambda itself they would be split anew for each run.
-    grams = F.get(F.transform(F.array(F.split("__text", " ")), runs), F.lit(0))
-    anchored = folded_texts.withColumn("__anchor", F.explode(F.array_distinct(grams)))
-    found = anchored.join(long, "__anchor").filter(F.contains("__text", F.col("__passage"))).drop("__anchor")
-    rest = folded_texts.join(F.broadcast(short), F.contains("__text", F.col("__passage")))
-    return found.unionByName(rest).drop("__text", "__passage")
+    grams = F.get(F.transform(F.array(F.split("__text", " ")), anchors), F.lit(0))
+    probes = folded_texts.withColumn("__anchor", F.explode(F.array_distinct(grams)))
+    return probes.join(anchored, "__anchor").filter(F.contains("__text", F.col("__passage"))).drop("__anchor", "__text", "__passage")
 
 
 def item_texts(*columns: str) -> Column:
