@@ -28,6 +28,24 @@ def test_bars(spark):
     assert [[b.kind for b in x] for x in values(spark, R.resolve_bars(stated, F.col("t")), texts)] == [["clearance", "nationality"], ["clearance"], ["clearance"]]
 
 
+def test_years_stated(spark):
+    from veritab.functions import extract
+
+    texts = ["You have 3-5 years in audit.", "Up to 2 years. At least 4 years needed.", "5 years preferred; a degree.", "We have 30 years of history. Our team has 10 years.", "Aged 18 years old", "0 years", "20 years", "3 years or a relevant degree", None, "Within the last 2 years", "Must have 2+ yrs"]
+    got = values(spark, extract.years_stated(F.col("t")), texts)
+    assert [(x.n, x.quote) if x else None for x in got] == [(3, "You have 3-5 years in audit."), (4, "At least 4 years needed."), None, None, None, None, None, None, None, None, (2, "Must have 2+ yrs")]
+    assert values(spark, extract.graduation_year(F.col("t")), ["Graduating in summer 2027.", "Founded 2019. We hire graduates", None]) == [2027, None, None]
+
+
+def test_support(spark):
+    rows = [("clearance", "SC required"), ("clearance", "sc required"), ("nationality", "all nationalities welcome regardless of origin"), ("nationality", "UK citizens"), ("other", "x"), ("language", None)]
+    df = spark.createDataFrame(rows, "k string, q string")
+    assert [r[0] for r in df.select(R.bar_supported(F.col("k"), F.col("q"))).collect()] == [True, False, False, True, True, False]
+    df = spark.createDataFrame([(2027, "graduating 2027"), (2027, "in 12027, graduate"), (2027, "room 2027"), (None, "")], "y int, q string")
+    assert [r[0] for r in df.select(R.graduation_supported(F.col("y"), F.col("q"))).collect()] == [True, False, False, True]
+    assert values(spark, R.bars_stated(F.col("t")), ["Security clearance is required or you are willing to apply.", "UK nationals only, desirable"]) == [[], []]
+
+
 def test_years_and_words(spark):
     df = spark.createDataFrame([(None, 3), (5, 3), (2, 3), (4, None)], "a int, b int")
     assert [r[0] for r in df.select(R.resolve_years(F.col("a"), F.col("b"))).collect()] == [3, 3, 2, 4]

@@ -18,8 +18,30 @@ def first_row(text: Column, rows) -> Column:
     return out
 
 
+#: The most years that are taken for a requirement.
+MOST_YEARS = 14
+_YEARS = "(?<![0-9.])([0-9]{1,2})(?:\\.[0-9]+)?\\s*(?:\\+|(?:-|\u2013|to)\\s*[0-9]{1,2}\\s*\\+?)?\\s*(?:years?|yrs?)\\b(?!'? (?:old|of age))"
+# Own phrases: what makes a count of years no least one, before it; and what makes its sentence no requirement.
+NOT_LEAST = "\\b(up to|less than|fewer than|under|below|no more than|not more than|at most|maximum( of)?|max\\.?|within( the)?( last| past)?|first|next|last|past|previous|spend|gain|after)\\s*$"
+NOT_ASKED = "\\b(preferred|preferably|desirable|desired|ideally|nice to have|a plus|bonus|advantage(ous)?|we have|we've|our (team|company|firm|clients?|founders?) (has|have)|founded|established|in business|history of|or (a |an )?(equivalent |relevant )?(degree|qualification)|(programme|program|contract|placement|visa) (of|lasts|for)|not required|no experience)\\b"
+
+
+def years_stated(text: Column) -> Column:
+    """The first requirement of years in a text, as n and its sentence (200 characters at most): the low end of a range. Null where every count is a most, an age, a preference, someone else's, waived, 0 or above MOST_YEARS."""
+
+    def asked(s: Column) -> Column:
+        low = F.lower(s)
+        n = F.nullif(F.regexp_extract(low, _YEARS, 1), F.lit("")).cast("int")
+        before = F.regexp_extract(low, f"(?s)^(.*?){_YEARS}", 1)
+        return F.when(n.between(1, MOST_YEARS) & ~F.right(before, F.lit(40)).rlike(NOT_LEAST) & ~low.rlike(NOT_ASKED), F.struct(n.alias("n"), F.left(F.trim(s), F.lit(200)).alias("quote")))
+
+    return F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=[.!?;])(?=\\s|$)|\\n"), asked), lambda x: x.isNotNull()), F.lit(0))
+
+
 def years_required(text: Column) -> Column:
-    """The least number of years asked for, up to 14; null where none is stated. "up to", "maximum" and ages don't count."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<!up to |max |maximum |maximum of )\\b([0-9]{1,2})\\s*(?:\\+|-|to)?\\s*(?:[0-9]{1,2})?\\s*(?:years?|yrs?)\\b(?! old| of age)"), F.lit(1))
-    years = F.filter(F.transform(found, lambda x: x.cast("int")), lambda y: y <= 14)
-    return F.array_min(years)
+    return years_stated(text)["n"]
+
+
+def graduation_year(text: Column) -> Column:
+    """The first year that a sentence names as one of graduating."""
+    return F.nullif(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "\\bgraduat(?:e|es|ed|ing|ion)\\b[^.;!?]{0,40}?\\b(20[0-9]{2})\\b", 1), F.lit("")).cast("int")

@@ -17,6 +17,10 @@ NEGATION = "\\b(not|no|never|without|neither|nor|cannot|isn't|aren't|doesn't|don
 STUDENTS = "(only open to|must be|for) (an? )?(current |enrolled |penultimate.year )?(undergraduates?|students?)\\b|currently enrolled (at|in)"
 GRADUATES = "(graduates?|recent graduates?) (are |may |can )?(eligible|welcome|apply)|open to graduates|hold a degree"
 BARS = (("nationality", "\\b(nationals?|citizens?) only\\b|must be a [a-z]+ (national|citizen)"), ("clearance", "\\bsecurity clearance (is )?(required|essential|needed)|must hold [a-z]+ clearance"))
+# Own phrases: what makes a sentence that names a bar none, and the words that a quoted bar of a kind must have.
+NOT_A_BAR = "\\b(preferred|desirable|an advantage|willing to|(able|eligible) to (obtain|gain|undergo)|regardless of|equal opportunit(y|ies)|without discrimination|or (settled status|(the )?right to work))\\b"
+BAR_WORDS = {"nationality": "\\b(nationals?|nationality|citizens?(hip)?|passport)\\b", "clearance": "\\b(clearance|cleared|vetting|vetted)\\b|\\b(?-i:SC|DV)\\b", "work_auth": "\\b(right to work|visas?|sponsor(ship)?|permit|authori[sz]ed)\\b", "language": "\\b(fluent|fluency|native|speak(er|ing|s)?|proficien(t|cy)|language)\\b", "licence": "\\b(licen[cs]ed?|certifi(ed|cate|cation)|registered)\\b"}
+FAIRNESS = "\\b(equal opportunit(y|ies)|regardless of|without regard to|discriminat(e|ion)|diversity)\\b"
 
 
 def sentences(c: Column) -> Column:
@@ -55,7 +59,7 @@ def resolve_years(stated: Column, found: Column) -> Column:
 
 def bars_stated(c: Column) -> Column:
     """At most one bar of each kind, with the sentence that states it."""
-    one = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), unnegated_sentence(c, pattern).alias("quote"))
+    one = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), unnegated_sentence(c, pattern, NOT_A_BAR).alias("quote"))
     return F.filter(F.array(*[one(k, p) for k, p in BARS]), lambda b: b["quote"].isNotNull())
 
 
@@ -65,6 +69,21 @@ def resolve_bars(stated: Column, c: Column, most: int = 5) -> Column:
     return F.slice(F.concat(stated, F.filter(bars_stated(c), lambda b: ~F.array_contains(kinds, b["kind"]))), 1, most)
 
 
+def bar_supported(kind: Column, quote: Column) -> Column:
+    """Whether a quote speaks of the kind of bar that it is given for; a statement of fairness never does. Unknown kinds need none of these words."""
+    text = text_of(quote)
+    spoken = F.lit(True)
+    for name, words in BAR_WORDS.items():
+        spoken = F.when(kind == name, text.rlike(f"(?i){words}")).otherwise(spoken)
+    return spoken & ~F.lower(text).rlike(FAIRNESS)
+
+
+def graduation_supported(year: Column, quote: Column) -> Column:
+    """Whether a quote states the year, as a whole number, and speaks of graduating; an unstated year needs no quote."""
+    text = F.lower(text_of(quote))
+    return year.isNull() | (F.array_contains(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), year.cast("string")) & text.rlike("graduat|class of|degree|final.year"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def plain_words(texts: pd.Series) -> pd.Series:
     """Words without compatibility forms, case and accents; null has none."""

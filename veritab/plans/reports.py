@@ -10,6 +10,7 @@ from ..functions import keys, resolvers
 from ..functions import text as X
 from ..operators import finish, grading, ranking
 from ..sources import directory, paging
+from ..sources.structured import postings_in
 from ..streaming import state
 from . import project as P
 from .queries import query, table
@@ -152,6 +153,14 @@ def board_directory(spark, sf_dir):
     return directory.index(files.select(F.concat(F.lit("/d/greenhouse-"), "p_size", F.lit("-"), "p_brand", F.lit("-"), "p_type", F.lit(".json")).alias("file"), "payload")).select("kind", "slug", "name")
 
 
+@query("""SELECT 'https://jobs.example/' || p_partkey AS url, p_name AS title, p_brand AS company, DATE '2026-01-01' + p_size AS posted FROM part""")
+def markup_postings(spark, sf_dir):
+    text = lambda name, c: F.concat(F.lit(f'<span itemprop="{name}">'), c, F.lit("</span>"))
+    html = F.concat(F.lit('<div itemscope itemtype="https://schema.org/JobPosting">'), text("title", F.col("p_name")), F.lit('<div itemprop="hiringOrganization" itemscope>'), text("name", F.col("p_brand")), F.lit("</div>"), text("datePosted", F.date_add(F.lit("2026-01-01").cast("date"), F.col("p_size")).cast("string")), F.lit("</div>"))
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("https://jobs.example/"), "p_partkey").alias("url"), html.alias("html"))
+    return postings_in(pages).select("url", "title", "company", "posted")
+
+
 @query()
 def fuzzy_lookup(spark, sf_dir):
     entries = table(spark, sf_dir, "supplier").select(F.lit("lever").alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("name"))
