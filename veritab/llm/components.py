@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from ._packed import written
 
 
+#: Parts that a node's edges are dealt to: a hub's edges never meet in one task.
+PARTS = 64
+
+
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with m, the least b of their a; and one row (a, m) a node.
+
+    The least is found part by part, then over at most PARTS rows a node, and
+    goes back to the parts that have edges.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    least = dealt.groupBy("a", "part").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return dealt.join(least.select("a", F.explode("parts").alias("part"), "m"), ["a", "part"]).select("a", "b", "m"), least.select("a", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its least one."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return _with_least(both)[0].filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them. Edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    inner = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    each, least = _with_least(edges)
+    inner = each.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
