@@ -39,7 +39,9 @@ def years_stated(text: Column) -> Column:
 
 
 def years_required(text: Column) -> Column:
-    return years_stated(text)["n"]
+    """The least number of years that any count in a text names, up to MOST_YEARS; null where none is stated. "up to", "maximum" and ages don't count. years_stated() says which is the requirement."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<!up to |max |maximum |maximum of )\\b([0-9]{1,2})\\s*(?:\\+|-|to)?\\s*(?:[0-9]{1,2})?\\s*(?:years?|yrs?)\\b(?! old| of age)"), F.lit(1))
+    return F.array_min(F.filter(F.transform(found, lambda x: x.cast("int")), lambda y: y <= MOST_YEARS))
 
 
 def graduation_year(text: Column) -> Column:

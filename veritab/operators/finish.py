@@ -23,7 +23,7 @@ def resolved_years(stated: Column, quote: Column, text: Column) -> Column:
     """Years asked for: the low end of the range that the answer quotes (none if that is 0), null where the quote speaks of a most or an age, else the answer's, else the text's."""
     low = range_low(quote)
     most = F.lower(text_of(quote)).rlike("\\b(up to|no more than|at most|max(imum)?( of)?|under|less than)\\b[^.;]{0,20}[0-9]|[0-9]\\s*years?( old| of age)")
-    return F.when(stated.isNull(), extract.years_required(text)).when(most, F.lit(None)).when(low.isNotNull() & (low < stated), F.nullif(low, F.lit(0))).otherwise(stated)
+    return F.when(stated.isNull(), extract.years_stated(text)["n"]).when(most, F.lit(None)).when(low.isNotNull() & (low < stated), F.nullif(low, F.lit(0))).otherwise(stated)
 
 
 def resolved_row(title: Column, quote: Column, stated: Column, rows, least_words: int = 2) -> Column:
