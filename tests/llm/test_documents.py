@@ -249,6 +249,24 @@ def test_pii_terms_that_disclose(spark, corpus):
     assert [s.kind for s in out[2000].spans] == ["email"] and not out[3000].spans
 
 
+def sundry(rng, n):
+    return " ".join(f"v{rng.randrange(10**7)}" for _ in range(n))
+
+
+def test_pii_copies_and_signatures_keep_terms(spark):
+    import random
+
+    rng = random.Random(9)
+    # Six texts in five copies each, and six with the same words around the address.
+    told = [f"{sundry(rng, 12)} Zorblax said jo@ex.org {sundry(rng, 12)}" for _ in range(6)]
+    signed = [f"{sundry(rng, 30)} Quandry regards from bo@ey.org sent at home" for _ in range(6)]
+    rows = [t for t in told for _ in range(5)] + signed + [sundry(rng, 9) + " said sent at home regards from" for _ in range(2000)]
+    out = pii.find_personal_data(docs_of(spark, [(i, t, None, None) for i, t in enumerate(rows)])).collect()
+    terms = {r.doc_id: [s.value for s in r.spans if s.kind == "term"] for r in out}
+    assert all(terms[i] == ["Zorblax"] for i in range(30)) and all(terms[i] == ["Quandry"] for i in range(30, 36))
+    assert not any(terms[i] for i in range(36, len(rows)))
+
+
 def test_quality(spark, docs, corpus):
     rows = quality.quality_rules(docs).collect()
     want = []

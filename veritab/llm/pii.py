@@ -3,8 +3,8 @@
 Base patterns give protected entities. A term discloses an entity when their
 pointwise mutual information comes near the entity's own information content,
 both estimated from the corpus; disclosing terms are removed with the entity.
-Copies of a passage are one witness: an entity's mentions count by the words
-around them, so only mentions in different contexts add up.
+Both are counted over all documents; how far they are to be trusted depends on
+the texts of their own behind them, so copies and near copies are one witness.
 
 DataFrame functions only.
 """
@@ -27,8 +27,8 @@ TERM = "term"
 #: A term discloses an entity from this share of the entity's information content on, with so many independent witnesses.
 DISCLOSURE = 0.9
 WITNESSES = 3
-#: Words on either side of a mention that make it a mention of its own.
-CONTEXT = 3
+#: Entries of the signature that tells copies and near copies from texts of their own.
+SIGNATURE = 8
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -109,45 +109,93 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _entities(base: Column) -> Column:
+    """The distinct entities of a text's base spans."""
+    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_words(text), _term))
+
+
+def _signature(text: Column) -> Column:
+    """The least hash of the text's three-word runs under each of SIGNATURE orders."""
+
+    def under(order: int):
+        return lambda h: F.xxhash64(F.lit(order), h)
+
+    def least(hashes: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(hashes, under(i))) for i in range(SIGNATURE)])
+
+    def hashes(w: Column) -> Column:
+        last = F.greatest(F.size(w) - 3, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
+    words = F.transform(_words(text), _term)
+    return F.get(F.transform(F.array(words), lambda w: F.get(F.transform(F.array(hashes(w)), least), F.lit(0))), F.lit(0))
+
+
+def _texts_with_entities(docs: DataFrame) -> DataFrame:
+    """A row for each distinct text with entities: __text_key, copies (rows with it), text and entities."""
+    rows = docs.filter(F.size("__base") > 0).select(F.xxhash64("text").alias("__text_key"), "text", _entities(F.col("__base")).alias("entities"))
+    return rows.groupBy("__text_key").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("entities").alias("entities"))
+
+
+def _known(texts: DataFrame) -> DataFrame:
+    """entity, n_entity (documents) and n_texts (distinct texts, no fewer than its witnesses)."""
+    return texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts"))
+
+
+def _in_reach(total: float) -> Column:
+    """Whether a term could disclose the entity at all: one that stands with it in every text and nowhere else."""
+    return _discloses(total, F.col("n_entity"), F.col("n_entity"), F.col("n_texts"))
+
+
+def _discloses(total: float, n_both: Column, n_term: Column, witnesses: Column) -> Column:
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    shared = F.log2(n_both * F.lit(total) / (F.col("n_entity") * F.greatest(n_term, n_both)))
+    return (content > 0) & (F.round(witnesses) >= WITNESSES) & (shared >= DISCLOSURE * content)
+
+
+def _joined(rows: DataFrame, small: DataFrame, n: int, on) -> DataFrame:
+    return rows.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on)
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     """entity and term, where the term discloses the entity; None if there are none.
 
-    docs: key, text and __base. What is gathered: a row for each context of an
-    entity; for entities with enough contexts, their witnesses' terms; and the
-    number of texts with each of those terms, over all documents.
+    docs: text and __base. All counts are of documents, copies included: those
+    with the entity, with the term, with both, and all. Copies count once only
+    as witnesses. Two texts share an entry of their signatures as often as
+    they share runs of words, so the mean number of distinct entries tells how
+    many texts of their own stand behind a pair; near copies add little to it.
     """
-    mentions = docs.filter(F.size("__base") > 0).select("__key", "text", F.explode("__base").alias("s"))
-    start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
-    before = F.slice(F.reverse(F.split(F.trim(F.substring("text", F.greatest(F.lit(1), start - 63), F.least(F.lit(64), start))), "\\s+")), 1, CONTEXT)
-    after = F.slice(F.split(F.trim(F.substring("text", end + 1, F.lit(64))), "\\s+"), 1, CONTEXT)
-    around = F.concat_ws(" ", before, F.array(F.lit("|")), after)
-    mentions = mentions.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), "__key")
-    contexts = mentions.groupBy("entity", "context").agg(F.min("__key").alias("__key"))
-    witnesses = contexts.groupBy("entity", "__key").agg(F.count("*").alias("n"))
-    known = witnesses.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= WITNESSES)
-    chosen = written(witnesses.join(known, "entity").select("entity", "n_entity", "__key"))
-    if chosen.isEmpty():
-        return None
-    texts = docs.filter(F.size("__base") > 0).select("__key", F.array_distinct(F.transform(_words(F.col("text")), _term)).alias("terms")).dropDuplicates(["__key"])
-    together = chosen.join(texts, "__key").select("entity", "n_entity", F.explode("terms").alias("term")).filter((F.length("term") > 0) & ~F.endswith("entity", F.concat(F.lit(":"), F.col("term"))))
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= WITNESSES)
     total = float(docs.count())
-    content = F.log2(F.lit(total) / F.col("n_entity"))
-
-    def discloses(n_term: Column) -> Column:
-        shared = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.greatest(n_term, "n_both")))
-        return (content > 0) & (shared >= DISCLOSURE * content)
-
+    texts = _texts_with_entities(docs)
+    known = written(_known(texts).filter(_in_reach(total)))
+    n_known = known.count()
+    if not n_known:
+        return None
+    chosen = _joined(texts.select("__text_key", F.explode("entities").alias("entity")), known, n_known, "entity")
+    chosen = chosen.groupBy("__text_key").agg(F.collect_list(F.struct("entity", "n_entity")).alias("known"))
+    chosen = written(texts.join(chosen, "__text_key").select("__text_key", "copies", "known", _terms(F.col("text")).alias("terms"), _signature(F.col("text")).alias("signature")))
+    pairs = chosen.select("__text_key", "copies", "signature", F.explode("known").alias("k"), "terms").select("__text_key", "copies", "signature", F.col("k.entity").alias("entity"), F.col("k.n_entity").alias("n_entity"), F.explode("terms").alias("term"))
+    pairs = pairs.filter((F.length("term") > 0) & ~F.endswith("entity", F.concat(F.lit(":"), F.col("term"))))
+    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_texts"), F.first("n_entity").alias("n_entity"))
+    together = together.filter(_discloses(total, F.col("n_both"), F.col("n_both"), F.col("n_texts")))
     # A term is at least as frequent as it is in the texts with entities; that alone rules out the common words.
-    least = docs.filter(F.size("__base") > 0).select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
-    together = written(together.join(least, "term").filter(discloses(F.col("n_least"))).drop("n_least"))
+    least = docs.filter(F.size("__base") > 0).select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    together = written(together.join(least, "term").filter(_discloses(total, F.col("n_both"), F.col("n_least"), F.col("n_texts"))).drop("n_least"))
     terms = written(together.select("term").distinct())
     rows = terms.count()
     if not rows:
         return None
-    spread = docs.select(F.explode(F.array_distinct(F.transform(_words(F.col("text")), _term))).alias("term"))
-    spread = spread.join(F.broadcast(terms) if rows <= BROADCAST_ROWS else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    out = written(together.join(spread, "term").filter(discloses(F.col("n_term"))).select("entity", "term"))
+    spread = _joined(docs.select(F.explode(_terms(F.col("text"))).alias("term")), terms, rows, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    together = written(together.join(spread, "term").filter(_discloses(total, F.col("n_both"), F.col("n_term"), F.col("n_texts"))))
+    entries = _joined(pairs.select("entity", "term", "signature"), together.select("entity", "term"), together.count(), ["entity", "term"])
+    entries = entries.select("entity", "term", F.posexplode("signature")).groupBy("entity", "term", "pos", "col").agg(F.lit(1).alias("one"))
+    witnesses = entries.groupBy("entity", "term").agg((F.count("*") / F.lit(SIGNATURE)).alias("witnesses"))
+    out = written(together.join(witnesses, ["entity", "term"]).filter(_discloses(total, F.col("n_both"), F.col("n_term"), F.col("witnesses"))).select("entity", "term"))
     return None if out.isEmpty() else out
 
 
@@ -180,7 +228,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     out = found.withColumn("base", F.col("__base"))
     if disclosing is None:
         return out.withColumn("spans", F.col("__base")).drop("__key", "__base")
-    by_doc = found.filter(F.size("__base") > 0).select("__key", F.explode("__base").alias("s")).select("__key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct()
+    by_doc = found.filter(F.size("__base") > 0).select("__key", F.explode(_entities(F.col("__base"))).alias("entity")).distinct()
     by_doc = written(by_doc.join(disclosing, "entity").groupBy("__key").agg(F.collect_set("term").alias("__terms")))
     out = out.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS // 10 else by_doc, "__key", "left")
     extra = F.when(F.col("__terms").isNotNull(), F.filter(_terms_found(F.col("text"), F.col("__terms")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).otherwise(F.array().cast(_SPANS))
