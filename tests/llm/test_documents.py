@@ -267,6 +267,22 @@ def test_pii_copies_and_signatures_keep_terms(spark):
     assert not any(terms[i] for i in range(36, len(rows)))
 
 
+def test_pii_judges_rare_entities(spark):
+    import random
+
+    rng = random.Random(10)
+    # An address in two texts; and addresses of a domain in one text each.
+    twice = [f"{sundry(rng, 15)} Zorblax said jo@ex.org {sundry(rng, 15)}" for _ in range(2)]
+    once = [f"{sundry(rng, 15)} Quandry said p{i}@ey.org {sundry(rng, 15)}" for i in range(5)]
+    df = docs_of(spark, [(i, t, None, None) for i, t in enumerate([*twice, *once])])
+    many = spark.range(100, 20100).selectExpr("id doc_id", "concat('so it said ', id) text")
+    df = df.select("doc_id", "text").unionByName(many)
+    out = {r.doc_id: [s.value for s in r.spans if s.kind == "term"] for r in pii.find_personal_data(df).filter("doc_id < 100").collect()}
+    assert out == {i: ["Zorblax"] if i < 2 else ["Quandry"] for i in range(7)}
+    got = {r.kind: (r.entities, r.out_of_reach, r.without_pool) for r in pii.reach(df).collect()}
+    assert got == {"email": (6, 5, 0), "email*": (2, 0, 0)}
+
+
 def test_quality(spark, docs, corpus):
     rows = quality.quality_rules(docs).collect()
     want = []

@@ -11,6 +11,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,10 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: A term discloses an entity from this share of the entity's information content on, with so many independent witnesses.
+#: A term discloses an entity from this share of the entity's information content on.
 DISCLOSURE = 0.9
-WITNESSES = 3
+#: A term seen with an entity by k witnesses each time may still stand alone: with this chance its share with the entity is below CHANCE ** (1 / k).
+CHANCE = 0.2
 #: Entries of the signature that tells copies and near copies from texts of their own.
 SIGNATURE = 8
 #: Tables up to so many rows may be broadcast; larger ones are shuffled.
@@ -109,9 +112,21 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _own(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.lower(s["value"]))
+
+
+def _pool(s: Column) -> Column:
+    """The domain of an address, the first three octets, a card's issuer (6 digits), a number without its last 4 digits."""
+    v = F.lower(s["value"])
+    of = F.when(s["kind"] == "email", F.substring_index(v, "@", -1)).when(s["kind"] == "ip", F.substring_index(v, ".", 3))
+    of = of.when(s["kind"] == "card", F.substring(_digits(v), 1, 6)).otherwise(F.regexp_replace(_digits(v), "....$", ""))
+    return F.concat_ws(":", F.concat(s["kind"], F.lit("*")), of)
+
+
 def _entities(base: Column) -> Column:
-    """The distinct entities of a text's base spans."""
-    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    """The distinct entities of a text's base spans, and their pools: most entities stand in a document or two, too few to learn from, so they are judged together as well."""
+    return F.array_distinct(F.concat(F.transform(base, _own), F.transform(base, _pool)))
 
 
 def _terms(text: Column) -> Column:
@@ -154,7 +169,23 @@ def _in_reach(total: float) -> Column:
 def _discloses(total: float, n_both: Column, n_term: Column, witnesses: Column) -> Column:
     content = F.log2(F.lit(total) / F.col("n_entity"))
     shared = F.log2(n_both * F.lit(total) / (F.col("n_entity") * F.greatest(n_term, n_both)))
-    return (content > 0) & (F.round(witnesses) >= WITNESSES) & (shared >= DISCLOSURE * content)
+    # The lower bound of the share is CHANCE ** (1 / witnesses) of the counted one; few witnesses need an entity of much information.
+    return (content > 0) & (shared + math.log2(CHANCE) / witnesses >= DISCLOSURE * content)
+
+
+def reach(docs: DataFrame) -> DataFrame:
+    """By kind: entities, those out of reach (no term could disclose them, for want of texts), and those out of reach whose pool is too.
+
+    docs: doc_id and text. A kind with * is one of pools.
+    """
+    found = base_spans(docs)
+    texts = _texts_with_entities(found)
+    known = written(_known(texts).select("entity", _in_reach(float(docs.count())).alias("__in")))
+    spans = found.select(F.explode("__base").alias("s")).select(_own(F.col("s")).alias("entity"), _pool(F.col("s")).alias("pool")).distinct()
+    pooled = spans.join(known.select(F.col("entity").alias("pool"), F.col("__in").alias("__pooled")), "pool").drop("pool")
+    rows = known.join(pooled, "entity", "left")
+    lone = ~F.col("__in") & ~F.coalesce("__pooled", F.lit(False))
+    return rows.groupBy(F.substring_index("entity", ":", 1).alias("kind")).agg(F.count("*").alias("entities"), F.count_if(~F.col("__in")).alias("out_of_reach"), F.count_if(lone).alias("without_pool"))
 
 
 def _joined(rows: DataFrame, small: DataFrame, n: int, on) -> DataFrame:
