@@ -43,6 +43,23 @@ def test_real_pages_hold_no_template(spark):
     assert all(r.text and "\n" not in r.text and "&copy;" not in r.text and "<" not in r.text for r in rows)
 
 
+def texts_of(pages_html):
+    trees = [pages.parse(x) for x in pages_html]
+    pages.judge(trees)
+    path = pages.container(pages.infer(trees))
+    return [pages.main_text(x, path) for x in trees]
+
+
+def test_labels_are_judged_over_the_host():
+    page = (
+        "<body><div class='content has-sidebar'><article><h2 id='side-effects'>Effects {0}</h2><section id='related-work'>Work {0}</section><p id='social-contract' data-id='ad'>Pact {0}</p>"
+        "<div class='notice'>Beware {0}</div><div class='share'><a href='/'>Mail {0}</a></div><div class='comments'>Log in to speak</div></article></div></body>"
+    )
+    assert texts_of([page.format(i) for i in range(4)]) == [f"Effects {i} Work {i} Pact {i} Beware {i}" for i in range(4)]
+    whole = "<body><div class='widget'><p>Story {0} of many words</p><p>more {0}</p></div><div class='box'>Terms</div></body>"
+    assert texts_of([whole.format(i) for i in range(4)]) == [f"Story {i} of many words more {i}" for i in range(4)]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((900, 8))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD, _NUMBER = re.compile(r"[a-z]+"), re.compile(r"[0-9]+")
 #: An opening tag that ends an open one of these.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,20 +53,20 @@ _SCOPES = frozenset("article section div main body html table ul ol dl td th".sp
 
 
 class Node:
-    """An element: its label (name and first class), whether it is boilerplate, and texts and elements in order."""
+    """An element: its label (name and first class), whether it is boilerplate, whether a class, id or role says so, and texts and elements in order."""
 
-    __slots__ = ("name", "label", "marked", "children")
+    __slots__ = ("name", "label", "marked", "hinted", "children")
 
     def __init__(self, name: str, attributes: str = "") -> None:
         self.name, self.label, self.children = name, name, []
-        self.marked = name in NEVER
+        self.marked, self.hinted = name in NEVER, False
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
                 if key.lower() == "class":
                     self.label = f"{name}.{_NUMBER.sub('0', value.split()[0])}" if value.split() else name
-                if name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORD.findall(value)):
-                    self.marked = True
+                if name not in ("html", "body", "article", "main") and not MARKS.isdisjoint(value.split()):
+                    self.hinted = True
 
 
 def parse(html: str) -> Node:
@@ -243,6 +244,54 @@ def container(wrapper: Group) -> list[str]:
     return path
 
 
+def _measure(node: Node, path: tuple, page: int, seen: dict, linked: bool = False) -> tuple[list[str], int]:
+    """The texts below a node and how many of their characters are links; seen: by path, what each page has in hinted elements."""
+    texts, links = [], 0
+    for c in node.children:
+        if isinstance(c, str):
+            if text := " ".join(c.split()):
+                texts.append(text)
+                links += len(text) * linked
+        elif not c.marked:
+            here = (*path, c.label, c.hinted)
+            more, n = _measure(c, here, page, seen, linked or c.name == "a")
+            if c.hinted:
+                at = seen.setdefault(here, {}).setdefault(page, [[], 0, []])
+                at[0] += more
+                at[1] += n
+                at[2].append(c)
+            texts += more
+            links += n
+    return texts, links
+
+
+def judge(pages: list[Node]) -> None:
+    """Marks the hinted elements that are boilerplate on these pages of a host.
+
+    Such are those that say the same on all pages, that some pages lack, or
+    that are half links; of a lone page, all. One that holds the container, or
+    half of the text that varies, is never boilerplate.
+    """
+    seen: dict = {}
+    whole = [_measure(page, (), i, seen)[0] for i, page in enumerate(pages)]
+    if not seen:
+        return
+    stands = Counter(t for texts in whole for t in set(texts))
+    size = lambda texts: sum(len(t) for t in texts if len(pages) < 2 or stands[t] < len(pages))
+    total = sum(map(size, whole))
+    inside = container(infer(pages))
+    for path, at in seen.items():
+        labels = list(path[::2])
+        if labels == inside[: len(labels)] or 2 * sum(size(x[0]) for x in at.values()) > total:
+            continue
+        length = sum(len(t) for x in at.values() for t in x[0])
+        constant = len({" ".join(x[0]) for x in at.values()}) == 1
+        if len(pages) < 2 or constant or len(at) < len(pages) or 2 * sum(x[1] for x in at.values()) >= length:
+            for x in at.values():
+                for node in x[2]:
+                    node.marked = True
+
+
 def _under(node: Node, path: list[str]) -> list[Node]:
     if not path:
         return [node]
@@ -274,6 +323,7 @@ def main_text(page: Node, path: list[str]) -> str:
 def _extract(table: pa.Table) -> pa.Table:
     table = table.sort_by([("page_id", "ascending"), ("url", "ascending")])
     pages = [parse(x) for x in table["html"].to_pylist()]
+    judge(pages)
     path = container(infer(pages))
     text = [main_text(p, path) for p in pages]
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string()), "host": table["host"]})
