@@ -299,6 +299,16 @@ def test_quality(spark, docs, corpus):
     assert sorted(r.doc_id for r in quality.good_texts(docs).collect()) == sorted(r.doc_id for r in rows if r.kept)
 
 
+def test_quality_keeps_other_languages(spark):
+    import random
+
+    rng = random.Random(12)
+    of = lambda letters, extra: " ".join(rng.choice(extra) if extra and k % 5 == 0 else "".join(rng.choice(letters) for _ in range(6)) for k in range(120))
+    texts = [of("абвгдежзик", []), of("αβγδεζηθικ", []), of("abcdefghij", ["się", "jest", "przez"]), of("abcdefghij", [])]
+    rows = quality.quality_rules(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r.doc_id: r.kept for r in rows} == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_quality_verdicts_agree_with_labels(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     rows = quality.quality_rules(table).collect()

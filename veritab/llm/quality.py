@@ -18,6 +18,32 @@ STOP_WORDS = (
 ).split()
 
 
+#: Very common words of further languages in Latin script, without those above and single letters.
+OTHER_STOP_WORDS = {
+    lang: [w for w in words.split() if len(w) > 1 and w not in STOP_WORDS]
+    for lang, words in {
+        "it": "il di che è per una sono della nel con non alla dei anche più come gli",
+        "pt": "o do da em um uma não os as dos com para mais mas foi ele são na no ao",
+        "nl": "het een van en dat niet zijn voor met op aan ook bij maar naar wordt uit",
+        "sv": "och att det som en på är av för med till den har inte om ett men var",
+        "da": "og at det er som på af for med til den har ikke de et en men blev",
+        "no": "og at det er som på av for med til den har ikke de et en men ble",
+        "fi": "ja on ei se että oli hän ovat mutta myös joka kun niin kuin sen ole",
+        "pl": "i w nie na się z do jest to że jak po co przez dla od są oraz był",
+        "cs": "a v se na je že s z do to jako za by ale pro jsou podle byl který",
+        "sk": "a v sa na je že s z do to ako za by ale pre sú podľa bol ktorý",
+        "hu": "a az és hogy nem is egy ez meg volt csak mint már még de van ha",
+        "ro": "și în de la cu nu pe este că o din sunt pentru mai care un se",
+        "tr": "ve bir bu da de için ile olarak çok daha olan gibi ne var kadar sonra",
+        "hr": "i je u na da se su za od s koji kao ali ili što bio iz nije",
+        "ca": "i el la de que en un amb per no és els les una del al més com",
+        "id": "yang dan di dengan untuk dari ini itu dalam tidak pada adalah ke akan oleh",
+        "vi": "và của là các có được trong cho một không với những người này đã để",
+        "sw": "ya na wa kwa ni katika la za hii kuwa cha kama lakini hiyo huo",
+    }.items()
+}
+
+
 @dataclass(frozen=True)
 class Threshold:
     """A document is rejected where numerator / denominator is below low or above high."""
@@ -29,13 +55,16 @@ class Threshold:
     high: float | None = None
 
 
+#: The least share of very common words; it holds for texts of the four languages, and of no language that is known.
+STOP_SHARE = 0.04
+
 #: The rules of the verdict, over the measures of measures().
 RULES = (
     Threshold("length", "n_words", low=50),
     Threshold("repeats", "n_repeat_words", "n_words", high=0.5),
     Threshold("symbols", "n_symbols", "n_words", high=0.3),
     Threshold("exclamations", "n_exclamations", "n_words", high=0.5),
-    Threshold("stop_words", "n_stop_words", "n_words", low=0.04),
+    Threshold("stop_words", "n_stop_words", "n_words", low=STOP_SHARE),
     Threshold("duplicate_lines", "n_dup_lines", "n_lines", high=0.5),
     Threshold("word_length", "word_chars", "n_words", low=2.0, high=15.0),
 )
@@ -66,6 +95,23 @@ def _count(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
+def _other_language(t: Column, w: Column, stop_words: Column) -> Column:
+    """Whether few words are of the listed languages and the letters are mostly of another script, or many words of a further language."""
+    n = F.size(w)
+    others = F.greatest(*[F.size(F.filter(w, _is_one_of(x))) for x in OTHER_STOP_WORDS.values()])
+    letters = _count(t, "\\P{L}++")
+    script = (letters > 0) & (2 * _count(t, "[\\P{L}\\p{IsLatin}]++") > letters)
+    return F.when(stop_words >= STOP_SHARE * n, F.lit(False)).otherwise(script | (others >= STOP_SHARE * n))
+
+
+def _stop_words(w: Column) -> Column:
+    return F.size(F.filter(w, _is_one_of(STOP_WORDS)))
+
+
+def _is_one_of(words: list[str]):
+    return lambda x: F.lower(x).isin(words)
+
+
 def _hashes(words: Column) -> Column:
     """A hash of each three words in turn."""
     n = F.size(words)
@@ -93,8 +139,9 @@ def measures(text: Column) -> Column:
             _count(t, "[^!]++").alias("n_exclamations"),
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            _stop_words(w).cast("long").alias("n_stop_words"),
             _let(_hashes(w), _repeated).alias("n_repeat_words"),
+            _let(_stop_words(w), lambda k: _other_language(t, w, k)).alias("other_language"),
         )
 
     words = lambda t: F.regexp_extract_all(t, F.lit(WORD_PATTERN), F.lit(0))
@@ -111,7 +158,8 @@ def verdict(measure: Column, rules=RULES) -> Column:
             value = F.when(measure[r.denominator] != 0, value / measure[r.denominator])
         for bound, bad in ((r.low, lambda v, b: v < b), (r.high, lambda v, b: v > b)):
             if bound is not None:
-                kept = kept & ~F.coalesce(bad(value, F.lit(float(bound))), F.lit(False))
+                rejects = F.coalesce(bad(value, F.lit(float(bound))), F.lit(False))
+                kept = kept & ~(rejects & ~measure["other_language"] if r.numerator == "n_stop_words" else rejects)
     return kept
 
 
