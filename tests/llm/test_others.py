@@ -60,6 +60,12 @@ def test_labels_are_judged_over_the_host():
     assert texts_of([whole.format(i) for i in range(4)]) == [f"Story {i} of many words more {i}" for i in range(4)]
 
 
+def test_svg_takes_only_itself():
+    page = "<body><article><p>one <svg class='i'/> two</p><svg><title>no</title></svg><p>three</p><svg viewBox='0 0 1 1'><p>four</p></article></body>"
+    assert texts_of([page]) == ["one two three four"]
+    assert texts_of([page.replace("<svg><title>no</title></svg>", "")]) == ["one two three four"]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((900, 8))

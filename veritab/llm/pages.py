@@ -27,10 +27,10 @@ BROADCAST_HOSTS = 100_000
 #: Elements nested deeper are taken as empty, and what they hold as their parent's.
 DEEPEST = 200
 
-# Elements without end tags, elements that stand in a line, and those that are never main text.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|noframes|xmp"
+# Elements without end tags (an svg that ends is taken whole before), elements that stand in a line, and those that are never main text.
+VOID = frozenset("area base br col embed hr img input link meta param source svg track wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img svg".split())
+RAW = "script|style|noscript|template|textarea|iframe|noframes|xmp"
 NEVER = frozenset("nav footer aside form head button select dialog menu option datalist audio video canvas object".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices "
@@ -41,7 +41,7 @@ MARKS = frozenset(
 MAIN = frozenset("article main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</svg\s*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
