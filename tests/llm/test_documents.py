@@ -212,6 +212,17 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(odd, language.train(odd.limit(0))).collect()} == {"und"}
 
 
+def test_a_text_may_mix_more_than_four_languages():
+    parts = [(" ".join([x * 3, x + y, y * 2 + x]) + " ") * 40 for x, y in ("ab", "cd", "ef", "gh", "ij", "kl")]
+    n = np.full((6, language.FEATURES), language.SMOOTHING)
+    for i, t in enumerate(parts):
+        _, feature, k = language._grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        np.add.at(n[i], feature, k)
+    data = "".join(parts).encode()
+    _, share = language.infer(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.log(n / n.sum(1, keepdims=True)))
+    assert share[0] == pytest.approx(1 / 6, abs=0.02)
+
+
 def found(t):
     out = []
     digits = lambda m: re.sub("[^0-9]", "", m)

@@ -22,7 +22,6 @@ FEATURES = 1 << 15
 MAX_LANGUAGES = 512
 SMOOTHING = 0.5
 ROUNDS = 12
-MAX_SET = 4
 #: Trigrams overlap, so each character's evidence counts about three times over; the penalty does as well.
 OVERLAP = 3.0
 
@@ -133,9 +132,9 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
     cost = 0.5 * OVERLAP * np.log(np.add.reduceat(n, first))
     reached = single.max(1)
     order = np.argsort(-share, axis=1, kind="stable")
-    # No set is likelier than all languages together, so most documents are settled by their first.
-    open_ = full + shift - reached > cost
-    for size in range(2, min(langs, MAX_SET) + 1):
+    # No set is likelier than all languages together, so most documents are settled by their first, and no size is tried that its penalty rules out.
+    for size in range(2, langs + 1):
+        open_ = full + shift - (size - 1) * cost > reached
         if not open_.any():
             break
         rows = open_[rank]
@@ -149,7 +148,6 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
         won = value > reached[open_]
         at = np.flatnonzero(open_)[won]
         reached[at], best[which[at]], score[which[at]] = value[won], found[won].argmax(1), found[won].max(1)
-        open_[np.flatnonzero(open_)[~won]] = False
     return best, np.minimum(score, 1.0)
 
 
