@@ -4,8 +4,9 @@ Each document of a source should be taken target / source_size times. The
 whole part is taken outright; the fraction is rounded dependently: two
 sides meet, a random amount of words moves from one's fraction to the other's
 so that one becomes integral, and the other meets the next. Words are neither
-made nor lost, each fraction keeps its expectation, and only the last document
-of a source is rounded by itself. Documents meet in groups by hash, largest first;
+made nor lost, and only the last document of a source is rounded by itself. A
+document meets many others at once, so fractions that differ move towards each
+other and don't keep their expectations exactly. Documents meet in groups by hash, largest first;
 what is left of each group meets in the levels of a reduction tree.
 """
 
