@@ -1,6 +1,7 @@
 """Pages, vectors, and the pipeline."""
 
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -66,27 +67,70 @@ def test_svg_takes_only_itself():
     assert texts_of([page.replace("<svg><title>no</title></svg>", "")]) == ["one two three four"]
 
 
+def brute_nearest(rows, k=10):
+    """By query row: (distance, vec_id) of its k nearest other rows."""
+    out = collections.defaultdict(list)
+    for i, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            found = sorted((math.dist(x, y), j) for n, (j, y) in enumerate(rows) if n != i and len(y) == len(x))
+            out[q].append(found[:k])
+    return out
+
+
 def test_nearest(spark):
+    """Ties, repeated rows, shared ids, lone lengths and unusable vectors."""
     rng = np.random.default_rng(6)
     v = rng.standard_normal((900, 8))
     v[300:600] = v[0]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(900)]
-    odd = [(1000, None), (1100, [0.0] * 8), (1200, [float("nan")] * 8), (1300, [1.0, None] * 4), (1400, []), (1500, [1.0, 2.0])]
-    df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows + odd + rows[:3]], "vec_id long, embedding array<double>, b string, dim int")
+    rows = [(i, [float(x) for x in v[i]]) for i in range(900)] + [(0, [float(x) for x in v[0]]), (100, [float(x) for x in v[7]]), (1500, [1.0, 2.0])]
+    odd = [(1000, None), (1100, [0.0] * 8), (1200, [float("nan")] * 8), (1300, [1.0, None] * 4), (1400, []), (None, [1.0] * 8)]
+    df = spark.createDataFrame([(i, e, "x", 1) for i, e in rows + odd], "vec_id long, embedding array<double>, b string, dim int")
     got = collections.defaultdict(list)
     for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
+        got[r.query_id].append((r.score, r.vec_id))
+    want = brute_nearest(rows)
     assert set(got) == set(range(0, 900, 100))
+    hits = sum(any(i == j and d == pytest.approx(e) for e, j in sum(w, [])) for q, w in want.items() for d, i in got[q])
+    assert hits >= 0.9 * sum(len(x) for w in want.values() for x in w)
+    # The other row with id 0 is a candidate of either, then the least of the 300 equal vectors.
+    assert sorted(got[0]) == sorted([(0.0, i) for i in [0, *range(300, 309)]] * 2)
+    assert len(got[100]) == 20
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(i, [float((-1) ** i * i) * size, size]) for i, size in zip(range(100, 130), [1e200] * 10 + [1e-200] * 10 + [1.0] * 10, strict=True)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 3).collect()
+    assert len(got) == 9
+    for q, x in rows[::10]:
+        best = sorted((math.dist(x, y), j) for j, y in rows if j != q)[:3]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(j, pytest.approx(d, rel=1e-9)) for d, j in best]
+
+
+def test_blocks_hold_every_row_once_and_queries_skip_far_ones(spark, monkeypatch):
+    """Clustered vectors: the index has each row once, and few blocks are visited."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((20, 16)) * 50
+    v = np.concatenate([c + rng.standard_normal((300, 16)) for c in centres])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    index = neighbours.build_index(df, F.col("vec_id") % 100 == 0, 10).collect()
+    ids = np.concatenate([np.frombuffer(r.ids, np.int64) for r in index])
+    assert sorted(ids.tolist()) == list(range(len(v))) and len(index) > 60
+    radii = [q.radius for r in index for q in r.queries]
+    assert len(radii) == len(v) // 100
+    reach = [(q.p0, q.p1, q.radius) for r in index for q in r.queries if q.radius < 50]
+    visited = [sum(r.low0 - d <= a <= r.high0 + d and r.low1 - d <= b <= r.high1 + d for r in index) for a, b, d in reach]
+    assert np.mean(visited) < 0.4 * len(index)
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, 10).collect():
+        got[r.query_id].add(r.vec_id)
     hits = 0
-    for q, found in got.items():
+    for q in range(0, len(v), 100):
         d = np.sqrt(((v - v[q]) ** 2).sum(1))
         d[q] = np.inf
-        best = np.lexsort((np.arange(900), d))[:10]
-        hits += len({i for i, _ in found} & set(best.tolist()))
-        assert found == sorted(found, key=lambda x: (x[1], x[0])) and all(s == pytest.approx(d[i]) for i, s in found)
-    assert hits >= 0.9 * 90
-    assert [i for i, _ in got[0]] == list(range(300, 310))
-    assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * len(v) / 10
 
 
 def test_recall_on_embeddings(spark):
