@@ -1,13 +1,15 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source should be taken target / source_size times. The
-whole part is taken outright; the fraction is rounded dependently: two
-sides meet, a random amount of words moves from one's fraction to the other's
-so that one becomes integral, and the other meets the next. Words are neither
-made nor lost, and only the last document of a source is rounded by itself. A
-document meets many others at once, so fractions that differ move towards each
-other and don't keep their expectations exactly. Documents meet in groups by hash, largest first;
-what is left of each group meets in the levels of a reduction tree.
+whole part is taken outright; the fraction is rounded dependently: fractional
+documents meet, and a random amount of words moves from one side's fractions to
+the other's so that one becomes integral. The draw is fair: it keeps each
+document's expectation, and the words of both sides together. A large document
+meets as many smaller ones as can balance it, each with a share of its mass
+that is the same whichever way the draw falls. Documents meet in groups by
+hash, largest first; the residual of each group meets others in the levels of a
+reduction tree. The last residual of a source is drawn by its own fraction, so
+a source misses its target by less than that document's size.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from ._packed import WORD_PATTERN, written
 #: Expected documents of a group, and nodes that a node of the next level takes up.
 GROUP_ROWS = 4000
 FAN = 256
+#: A table of sources up to so many rows may be broadcast; a larger one is shuffled.
+BROADCAST_SOURCES = 100_000
 _M = (1 << 64) - 1
 
 
@@ -50,44 +54,47 @@ def _pair(i: int, j: int, rows: list, out: list[float], seed: int) -> int:
     return next((k for k in (i, j) if 0.0 < out[k] < 1.0), -1)
 
 
+def _settle(i: int, partners: list[tuple[int, float]], rows: list, out: list[float], seed: int) -> None:
+    """Makes document i integral; each partner gives or takes the same share of its mass, whichever way it goes."""
+    key, size, _ = rows[i]
+    p = out[i]
+    up = _unit(seed, key, i) < p
+    moved = -(1 - p) * size if up else p * size
+    total = sum(c for _, c in partners)
+    for j, c in partners:
+        value = out[j] + c / total * moved / rows[j][1]
+        out[j] = 0.0 if value < 1e-12 else 1.0 if value > 1 - 1e-12 else value
+    out[i] = 1.0 if up else 0.0
+
+
 def pivotal(rows: list[tuple[int, int, float]], seed: int) -> list[float]:
-    """Rounds fractions; rows: (key, size, fraction), largest first. All results but one at most are 0.0 or 1.0.
+    """Rounds fractions; rows: (key, size, fraction), largest first. All results but one at most are 0.0 or 1.0, and each keeps its expectation.
 
-    A document meets as many of the following ones as can make up for its
-    rounding, and they share what it gives or takes; so it is settled at once,
-    and large documents don't remain. One of the larger half that the rest can
-    make up for in one direction alone goes there, else the total would be
-    missed by its words. The last and smallest meet in pairs.
+    A partner j can bear a share of i's mass up to what it has to give if i
+    rises and room to take if i falls; i meets the following ones until they
+    can bear it all. One that all the rest can't bear is set aside; those meet
+    in pairs at the end.
     """
     out = [x[2] if x[1] > 0 and 0.0 < x[2] < 1.0 else round(x[2]) * 1.0 for x in rows]
     open_ = [k for k in range(len(rows)) if 0.0 < out[k] < 1.0]
     aside: list[int] = []
-    at = 0
-    while at < len(open_):
-        i = open_[at]
-        key, size, _ = rows[i]
-        p = out[i]
+    for at, i in enumerate(open_):
+        p, size = out[i], rows[i][1]
         if not 0.0 < p < 1.0:
-            at += 1
             continue
-        give = take = 0.0
-        end = at + 1
-        while end < len(open_) and (give < (1 - p) * size or take < p * size):
-            j = open_[end]
-            give, take = give + out[j] * rows[j][1], take + (1 - out[j]) * rows[j][1]
-            end += 1
-        can_rise, can_fall = give >= (1 - p) * size, take >= p * size
-        if not (can_rise and can_fall) and (at >= len(open_) // 2 or not (can_rise or can_fall)):
+        partners, borne = [], 0.0
+        for j in open_[at + 1 :]:
+            q = out[j]
+            if 0.0 < q < 1.0:
+                share = min(q / (1 - p), (1 - q) / p) * rows[j][1] / size
+                partners.append((j, share))
+                borne += share
+                if borne >= 1.0:
+                    break
+        if borne >= 1.0:
+            _settle(i, partners, rows, out, seed)
+        else:
             aside.append(i)
-            at += 1
-            continue
-        up = _unit(seed, key, i) < p if can_rise and can_fall else can_rise
-        part = (1 - p) * size / give if up else p * size / take
-        for j in open_[at + 1 : end]:
-            if 0.0 < out[j] < 1.0:
-                out[j] = out[j] * (1 - part) if up else out[j] + (1 - out[j]) * part
-        out[i] = 1.0 if up else 0.0
-        at += 1
     holder = -1
     for j in aside:
         if 0.0 < out[j] < 1.0:
@@ -95,23 +102,34 @@ def pivotal(rows: list[tuple[int, int, float]], seed: int) -> list[float]:
     return out
 
 
+def _numbered(by: DataFrame) -> DataFrame:
+    """by with place: its rows' numbers by source (code points, null last); sorted in ranges, so no task takes all sources."""
+    ordered = written(by.orderBy(F.col("source").asc_nulls_last()).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row for each task of the sort
+    before, starts = 0, {}
+    for r in counts:
+        starts[r["part"]] = before
+        before += r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), part) if starts else F.lit(0)
+    return ordered.withColumn("place", (offset + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__id")
+
+
 def targets(slim: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataFrame:
     """source, source_size, n_docs, place (by code point, null last) and target: weighted shares of the total that stop at cap times a source's size, the excess reshared."""
     by = slim.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs"))
-    # One row a source: these windows gather sources, never documents.
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    by = by.withColumn("place", F.row_number().over(order) - 1)
-    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int")))
-    limit = cap * F.col("source_size")
-    filling = Window.orderBy(limit / F.col("weight"), "place")
-    so_far, everything = filling.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    by = by.withColumns({"__total": F.sum("source_size").over(everything), "__all": F.sum("weight").over(everything), "__full": F.coalesce(F.sum(limit).over(so_far), F.lit(0.0)), "__gone": F.coalesce(F.sum("weight").over(so_far), F.lit(0.0))})
-    level = (F.col("__total") - F.col("__full")) / (F.col("__all") - F.col("__gone"))
-    by = by.withColumn("__level", level)
-    # In order of limit / weight, sources are full up to the first one whose share fits under its limit; later levels only fall.
-    share = F.max(F.when(F.col("__level") * F.col("weight") <= limit, F.col("__level"))).over(everything)
-    by = by.withColumn("target", F.least(share * F.col("weight"), limit.cast("double")))
-    return by.select("source", "source_size", "n_docs", "place", F.coalesce("target", F.lit(0.0)).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    by = written(_numbered(by).withColumn("weight", weight).withColumn("limit", F.lit(float(cap)) * F.col("source_size")))
+    level, full = 0.0, -1
+    while True:
+        # Sums of whole numbers: the same in any order.
+        stops = F.col("limit") <= F.lit(level) * F.col("weight")
+        total, stopped, weighs, n = by.agg(F.sum("source_size"), F.sum(F.when(stops, F.col("limit"))), F.sum(F.when(~stops, F.col("weight"))), F.count_if(stops)).first()
+        if n == full or not weighs:
+            break
+        level, full = (float(total) - (stopped or 0.0)) / weighs, n
+    target = F.col("limit") if full >= 0 and not weighs else F.least(F.lit(level) * F.col("weight"), F.col("limit"))
+    return by.select("source", "source_size", "n_docs", "place", F.coalesce(target.cast("double"), F.lit(0.0)).alias("target"))
 
 
 _SCHEMA = "key long, doc_id long, source string, size long, source_size long, target double, whole long, p double, place int, node long"
@@ -139,8 +157,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     slim = written(docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
     by = written(targets(slim, weights, cap))
-    most = by.agg(F.max("n_docs")).first()[0] or 0
-    joined = slim.alias("d").join(by.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    most, sources = by.agg(F.max("n_docs"), F.count("*")).first()
+    most = most or 0
+    joined = slim.alias("d").join((F.broadcast(by) if sources <= BROADCAST_SOURCES else by).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + 1e-12)
     salts = F.ceil(F.col("n_docs") / F.lit(GROUP_ROWS)).cast("long")
@@ -155,12 +174,13 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: float = 3.0, seed: int
         settled = (F.col("p") <= 0) | (F.col("p") >= 1)
         done.append(frame.filter(settled))
         frame, nodes = frame.filter(~settled).withColumn("node", F.floor(F.col("node") / FAN)), math.ceil(nodes / FAN)
-    # One document a source is left with a fraction: the nearest whole keeps the source nearest to its target.
     done.append(frame)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    copies = F.col("whole") + F.round("p").cast("long")
+    # One document a source at most is left with a fraction: it is drawn by that.
+    draw = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.col("whole") + (draw < F.col("p")).cast("long")
     return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
