@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veritab.llm import katz
+from veritab.llm import katz, substrings
 from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds
 
 
@@ -42,3 +42,23 @@ def test_packing_round_trips():
     assert (katz._whole(katz._planes(counts)) == counts).all()
     d = Distinct(np.array([3, 1, 3, 2], np.uint64))
     assert d.values.tolist() == [1, 2, 3] and d.spread(np.array([10, 20, 30])).tolist() == [30, 10, 30, 20]
+
+
+def test_repeats_need_the_index(spark, monkeypatch):
+    """Without blocks in the index nothing hits and nothing is found."""
+    passage = " ".join(f"w{i}" for i in range(45))
+    df = spark.createDataFrame([(1, f"a b c {passage} d"), (2, f"x {passage} y z")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()} == {1: 0, 2: 45}
+    send = substrings._messages
+    monkeypatch.setattr(substrings, "_messages", lambda chunk, hashes, buckets, columns: send(chunk, hashes, buckets, [c if c is None or c.dtype != np.uint8 else c & np.uint8(2) for c in columns]))
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(df).collect()} == {1: 0, 2: 0}
+
+
+def test_a_block_that_misses_ends_a_repeat():
+    """Of 40 words, blocks begin at 0, 10, 20 and 30; that at 20 hits nothing: windows that hold it whole are no candidates."""
+    words = Tokeniser().words(pa.array([" ".join(f"w{i}" for i in range(40))]))
+    probes, _ = substrings._probes(words)
+    hits = np.ones(31, np.uint8)
+    hits[20] = 0
+    starts = substrings._extended(words, hits[probes.order])[0]
+    assert set(starts.tolist()) == {s for s in range(21) if not s <= 20 <= s + 10}

@@ -183,9 +183,20 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shares(spark: SparkSession, times: int = 4) -> tuple[int, int]:
-    """Numbers of chunks and buckets: they follow the cluster's own number of shuffle partitions."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input, as Spark estimates them, that a chunk is meant to hold; and the most chunks, as numbers of groups are 32-bit.
+CHUNK_BYTES, MOST_CHUNKS = 32 << 20, 1 << 20
+
+
+def shares(docs: DataFrame, times: int = 4) -> tuple[int, int]:
+    """Numbers of chunks and buckets: they follow the cluster's own number of shuffle partitions, and the input's size where that asks for more, so that a task's memory doesn't grow with the input.
+
+    There is at most a message for each entry, however many chunks and buckets
+    there are.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:  # else unknown
+        n = max(n, min(MOST_CHUNKS // times, -(-size // CHUNK_BYTES)))
     return times * n, n
 
 
@@ -207,19 +218,25 @@ def message(rows: dict, schema: pa.Schema) -> pa.Table:
 
 
 _own_dir: list[str] = []
+#: The folders of tables written for the operators of this session.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local one if all of Spark runs in one process, as in tests; else an error."""
     import tempfile
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="veritab-"))
         top = _own_dir[0]
-    return f"{top.rstrip('/')}/veritab-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/veritab-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -227,3 +244,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
+    """Deletes the tables that written() has made and no result needs any more; the number deleted. What was returned lazily from them must have been written before."""
+    gone = [p for p in _made if p not in keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [p for p in _made if p in keep]
+    return len(gone)

@@ -210,7 +210,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     Rows of the same doc_id are documents each. Rows without doc_id link as
     others do but name no component; one of such rows alone has none (null).
     """
-    chunks, buckets = shares(docs.sparkSession)
+    chunks, buckets = shares(docs)
     texts = chunked(docs, chunks)
     asked = texts.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), _ASK_SQL)
     answers = asked.groupBy("bucket").applyInArrow(_lengths, _ANSWER_SQL)

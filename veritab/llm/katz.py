@@ -288,7 +288,7 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
     all words are of the one unknown type, whose probability is 1.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == remainder, F.lit(False))
-    chunks, buckets = shares(docs.sparkSession, 2)
+    chunks, buckets = shares(docs, 2)
     texts = chunked(docs.withColumn("held_out", held), chunks, "held_out")
     by_chunk = texts.groupBy("chunk")
     words = by_chunk.applyInArrow(lambda t: _ask_words(t, buckets), _ASK_SQL)

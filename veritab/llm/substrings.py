@@ -1,14 +1,16 @@
 """Substring dedup by fixed-block anchors.
 
 The index holds each document's non-overlapping blocks of BLOCK words; it is
-probed with every rolling window of BLOCK words. A repeat of SPAN words holds a
-whole block wherever the blocks lie (SPAN >= 2 BLOCK - 1), so each of its
-occurrences hits an anchor. A hit is extended to the SPAN-word windows around
-it; these are compared with all others of the same words, and the earliest
-occurrence stays. Confirmed windows that overlap make up the maximal repeats.
+probed with every rolling window of BLOCK words. A block that a window at
+another place hits is an anchor. A repeat of SPAN words holds a whole block
+wherever the blocks lie (SPAN >= 2 BLOCK - 1), so a window of SPAN words can
+only be a repeat if every block inside it is an anchor. Anchors are extended to
+the left and right: the SPAN-word windows around them are compared with all
+others of the same words, and the earliest occurrence stays. Confirmed windows
+that overlap make up the maximal repeats.
 
 Index, probes and windows travel as packed messages (see _packed): a chunk of
-documents sends each distinct hash once, and gets a byte back for it.
+documents sends each distinct hash once, and gets an answer back for it.
 """
 
 from __future__ import annotations
@@ -63,18 +65,16 @@ def _answers(table: pa.Table, step: int, flags: np.ndarray, cuts: np.ndarray) ->
 
 
 def _match_blocks(table: pa.Table) -> pa.Table:
-    """For each probe: 2 if its words stand at two places or more; 3 if one of them is a block of the index as well."""
+    """For each probe, whether it hits: its words are a block of the index, and stand at another place as well."""
     keys, cuts = _column(table, "keys", np.uint32)
     more, _ = _column(table, "more", np.uint8)
     order = np.argsort(keys, kind="stable")
     at = runs(keys[order])
     sizes = np.diff(np.append(at, len(keys)))
-    ordered = more[order]
-    often = (sizes > 1) | (np.bitwise_or.reduceat(ordered, at) & 2 > 0)
-    block = np.bitwise_or.reduceat(ordered, at) & 1 > 0
-    flags = np.empty(len(keys), np.uint8)
-    flags[order] = np.repeat(np.where(often, 2 + block, 0).astype(np.uint8), sizes)
-    return _answers(table, 1, flags, cuts)
+    either = np.bitwise_or.reduceat(more[order], at)
+    hits = np.empty(len(keys), np.uint8)
+    hits[order] = np.repeat((either & 1 > 0) & ((sizes > 1) | (either & 2 > 0)), sizes)
+    return _answers(table, 1, hits, cuts)
 
 
 def _gather(answers: pa.Table, step: int) -> np.ndarray:
@@ -83,18 +83,23 @@ def _gather(answers: pa.Table, step: int) -> np.ndarray:
     return np.frombuffer(b"".join(f for _, f in rows), np.uint8)
 
 
-def _extended(words: Words, flags: np.ndarray) -> tuple[np.ndarray, Distinct, np.ndarray]:
-    """Hits extended to windows of SPAN words: where they begin, their distinct hashes, and the first place of each.
-
-    A window stays if each BLOCK words in it stand elsewhere too and some of them are a block of the index.
-    """
+def _anchors(words: Words, hits: np.ndarray) -> np.ndarray:
+    """Of each word, whether a block of its text's begins there; and of those, whether it is an anchor."""
     probes, whole = _probes(words)
-    hit = np.zeros(len(words.hashes) + 1, np.uint8)
-    hit[np.flatnonzero(whole)] = probes.spread(flags)
-    inside = SPAN - BLOCK + 1
-    often, block = (np.concatenate([[0], np.cumsum(hit[:-1] >= x)]) for x in (2, 3))
+    block = np.zeros(len(words.hashes) + 1, bool)
+    anchor = block.copy()
+    block[: len(whole)] = whole & (words.place[: len(whole)] % BLOCK == 0)
+    anchor[np.flatnonzero(whole)] = probes.spread(hits) > 0
+    return np.stack([block, block & anchor])
+
+
+def _extended(words: Words, hits: np.ndarray) -> tuple[np.ndarray, Distinct, np.ndarray]:
+    """Anchors extended to windows of SPAN words all of whose blocks are anchors: where they begin, their distinct hashes, and the first place of each."""
+    blocks, anchors = (np.concatenate([[0], np.cumsum(x)]) for x in _anchors(words, hits))
     starts = np.flatnonzero(words.whole(SPAN))
-    starts = starts[(often[starts + inside] - often[starts] == inside) & (block[starts + inside] > block[starts])]
+    ends = starts + SPAN - BLOCK + 1
+    inside = anchors[ends] - anchors[starts]
+    starts = starts[(inside > 0) & (inside == blocks[ends] - blocks[starts])]
     windows = Distinct(words.windows(SPAN)[starts] if len(starts) else np.zeros(0, np.uint64))
     return starts, windows, starts[windows.order[windows.at]]
 
@@ -170,7 +175,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     their texts, so of equal rows the first keeps its words. Windows are judged
     on the input. Null or empty texts have no words.
     """
-    chunks, buckets = shares(docs.sparkSession)
+    chunks, buckets = shares(docs)
     texts = chunked(docs, chunks)
     probes = texts.groupBy("chunk").applyInArrow(lambda t: _send_probes(t, buckets), _ASK_SQL)
     hits = probes.groupBy("bucket").applyInArrow(_match_blocks, _ANSWER_SQL).repartition(buckets, "chunk")
