@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veritab.llm import katz, substrings
-from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds
+from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds, from_gaps, gaps, in_bucket
 
 
 @settings(max_examples=60, deadline=None)
@@ -35,9 +35,10 @@ def test_packing_round_trips():
     hashes = np.sort(rng.integers(0, 1 << 64, 5000, np.uint64))
     cuts = bucket_bounds(hashes, 7)
     assert cuts[0] == 0 and cuts[-1] == len(hashes)
-    keys = [katz._keys(katz._gaps(hashes[cuts[b] : cuts[b + 1]], b, 7)) for b in range(7)]
+    keys = [from_gaps(gaps(in_bucket(hashes[cuts[b] : cuts[b + 1]], b, 7, 64))) for b in range(7)]
     assert all((np.diff(k.astype(float)) >= 0).all() for k in keys) and sum(map(len, keys)) == len(hashes)
-    assert max(int(k.max()) for k in keys) < 1 << 49
+    assert all((k + np.uint64(-(-(b << 32) // 7) << 32) == hashes[cuts[b] : cuts[b + 1]]).all() for b, k in enumerate(keys))
+    assert all(int(from_gaps(gaps(in_bucket(hashes[cuts[b] : cuts[b + 1]], b, 7, 32))).max()) < 1 << 33 for b in range(7))
     counts = rng.integers(0, 1 << 20, 100).astype(np.uint32)
     assert (katz._whole(katz._planes(counts)) == counts).all()
     d = Distinct(np.array([3, 1, 3, 2], np.uint64))

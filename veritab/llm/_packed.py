@@ -153,6 +153,35 @@ def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, edges), len(sorted_hashes))
 
 
+def gaps(keys: np.ndarray) -> bytes:
+    """Ascending numbers, as gaps of as many bytes as the largest needs; the first byte says how many."""
+    steps = np.diff(keys, prepend=_U(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + byte_planes(steps, width)
+
+
+def from_gaps(packed: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(packed[1:], packed[0]), dtype=np.uint64)
+
+
+def byte_planes(numbers: np.ndarray, width: int) -> bytes:
+    """The lower bytes of numbers: all the lowest ones first, and so on."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(packed: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").reshape(-1)
+
+
+def in_bucket(hashes: np.ndarray, bucket: int, buckets: int, bits: int) -> np.ndarray:
+    """A bucket's hashes as numbers of about so many bits, in the same order."""
+    start = -(-(bucket << 32) // buckets) << 32
+    return (hashes - _U(start)) >> _U(max(0, 65 - bits - buckets.bit_length()))
+
+
 class Distinct:
     """The distinct values of hashes, ascending, and the way back."""
 

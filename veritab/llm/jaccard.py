@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packed import Distinct, Tokeniser, Words, bucket_bounds, chunked, in_order, message, mix, runs, shares, written
-from .components import components
+from ._packed import Distinct, Tokeniser, Words, bucket_bounds, byte_planes, chunked, from_gaps, from_planes, gaps, in_bucket, in_order, message, mix, runs, shares, written
+from .components import components, with_group
 
 WORDS, PERCENT = 5, 80
 #: Documents of a tile's block, and of a task that searches small clusters.
@@ -74,27 +74,31 @@ class Sets:
         return value
 
 
+#: Bits of a shingle's hash within its bucket, and bytes of a set's mark, that are sent. Shingles taken for one another are told apart later; marks must tell sets apart.
+KEY_BITS, MARK_BYTES = 32, 6
+
+
 def _send(table: pa.Table, buckets: int) -> pa.Table:
-    """keys: lower halves of the shingles' hashes; sets: 32 bits of the only set that has it in this chunk, 0 for several."""
+    """keys: the shingles' hashes; sets: the mark of the only set that has it in this chunk, 0 for several."""
     table, _ = in_order(table)
     sets = Sets(Tokeniser(lower=True).words(table["text"]))
-    own = (sets.digest.astype(np.uint32) | np.uint32(1))[sets.doc]
+    own = ((sets.digest >> _U(64 - 8 * MARK_BYTES)) | _U(1))[sets.doc]
     distinct = Distinct(sets.hashes)
     ordered = own[distinct.order]
     low, high = (f.reduceat(ordered, distinct.at) if len(ordered) else ordered for f in (np.minimum, np.maximum))
-    only = np.where(low == high, low, np.uint32(0)).astype(np.uint32)
-    keys = distinct.values.astype(np.uint32)
+    only = np.where(low == high, low, _U(0))
     cuts = bucket_bounds(distinct.values, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    packed = [[c[cuts[b] : cuts[b + 1]].tobytes() for b in used] for c in (keys, only)]
-    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": packed[0], "sets": packed[1]}, _ASK)
+    keys = [gaps(in_bucket(distinct.values[cuts[b] : cuts[b + 1]], b, buckets, KEY_BITS)) for b in used]
+    marks = [byte_planes(only[cuts[b] : cuts[b + 1]], MARK_BYTES) for b in used]
+    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": keys, "sets": marks}, _ASK)
 
 
 def _lengths(table: pa.Table) -> pa.Table:
     """For each shingle, 0 if a single set has it, else a measure of its list's length, up to 255: chunks that have it, twice those with several sets."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["keys"]]
+    parts = [from_gaps(x.as_py()) for x in table["keys"]]
     cuts = np.cumsum([0, *map(len, parts)])
-    keys, sets = np.concatenate(parts), np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["sets"]])
+    keys, sets = np.concatenate(parts), np.concatenate([from_planes(x.as_py(), MARK_BYTES) for x in table["sets"]])
     order = np.argsort(keys, kind="stable")
     ordered = sets[order]
     at = runs(keys[order])
@@ -221,20 +225,21 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     posted = sets.select("v", F.explode(F.slice("shared", 1, F.col("rare"))).alias("shingle"))
     lists = posted.groupBy("shingle").agg(F.min("v").alias("m"), F.count("*").alias("c")).filter("c > 1").select("shingle", "m")
     clusters = components(posted.join(lists, "shingle").select(F.col("v").alias("a"), F.col("m").alias("b")))
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    clusters = written(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()))
+    clusters = with_group(clusters, clusters.count(), "root", F.col("node"), F.count("*"), F.sum, "__n").withColumn("blocks", F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int")).drop("__n")
     tasks = max(1, sets.count() // BLOCK)
-    placed = sets.join(clusters.join(sizes, "root").withColumnRenamed("node", "v"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    placed = sets.join(written(clusters.withColumnRenamed("node", "v")).hint("merge"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "i", "j"))
     found = written(placed.select(task.alias("task"), "root", "i", "j", "block", "v", "n", "copies", "shared").groupBy("task").applyInArrow(_search, _LINKS))
     labels = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
-    named = labels.join(classes, labels["node"] == classes["v"]).groupBy("root").agg(F.min("least").alias("component"))
+    labels = written(labels.join(classes.select(F.col("v").alias("node"), "least").hint("merge"), "node"))
+    named = with_group(labels, labels.count(), "root", F.col("node"), F.min("least"), F.min, "component")
     linked = found.groupBy("v").agg(F.sum("links").alias("links"))
-    each = classes.join(labels.join(named, "root").select(F.col("node").alias("v"), "component"), "v", "left").join(linked, "v", "left")
+    each = classes.join(written(named.select(F.col("node").alias("v"), "component")).hint("merge"), "v", "left").join(linked.hint("merge"), "v", "left")
     # Written, so that the last join has an exchange on either side and Spark can split the rows of a large group of copies.
     each = written(each.select("v", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(each, "v", "left")
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(each.hint("merge"), "v", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packed import Distinct, Tokeniser, bucket_bounds, chunked, in_order, message, mix, runs, shares
+from ._packed import Distinct, Tokeniser, bucket_bounds, chunked, from_gaps, gaps, in_bucket, in_order, message, mix, runs, shares
 
 #: Counts above this are taken as they are.
 RELIABLE = 5
@@ -129,23 +129,6 @@ def _whole(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def _gaps(hashes: np.ndarray, bucket: int, buckets: int) -> bytes:
-    """A bucket's ascending hashes to 48 bits, as gaps of as many bytes as the largest needs; the first byte says how many."""
-    start = -(-(bucket << 32) // buckets) << 32
-    keys = (hashes - _U(start)) >> _U(max(0, 17 - buckets.bit_length()))
-    gaps = np.diff(keys, prepend=_U(0))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _keys(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :width] = raw.T
-    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, where each key begins, and its counts' sum."""
     order = np.argsort(keys, kind="stable")
@@ -183,7 +166,7 @@ def _count_words(table: pa.Table, chunks: int) -> pa.Table:
 def _count_pairs(table: pa.Table, chunks: int) -> pa.Table:
     """Each pair's count, and whether this chunk is the first that has it."""
     table = table.sort_by("chunk")
-    keys, cuts = _joined([_keys(x) for x in table["keys"].to_pylist()])
+    keys, cuts = _joined([from_gaps(x) for x in table["keys"].to_pylist()])
     order, at, sums = _summed(keys, np.concatenate([_whole(x) for x in table["counts"].to_pylist()]))
     out, first = np.empty(len(keys), np.uint32), np.zeros(len(keys), bool)
     out[order] = np.repeat(sums, np.diff(np.append(at, len(keys))))
@@ -214,7 +197,7 @@ def _ask_pairs(docs: pa.Table, buckets: int) -> pa.Table:
     s = Stream(docs)
     pairs = s.pairs()
     counts = np.add.reduceat(s.trains[s.doc][pairs.order].astype(np.uint32), pairs.at).astype(np.uint32)
-    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda b, x: _gaps(x, b, buckets), pairs.values, _planes, counts)
+    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda b, x: gaps(in_bucket(x, b, buckets, 64)), pairs.values, _planes, counts)
 
 
 def _report_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
