@@ -1,10 +1,15 @@
 """Pages, vectors, and the pipeline."""
 
 import collections
+import itertools
 import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests.conftest import SF
 from pyspark.sql import functions as F
 
@@ -17,24 +22,81 @@ def extract(spark, rows):
 
 
 def test_pages(spark):
-    page = "<html><head><title>T</title><style>p{{}}</style><script>var a='</p><p>no';</script></head><body><div class='nav'>menu</div><header>Top</header><aside>side</aside><article><h1>A &amp; B {0}</h1><p>one <b>tw</b>o&nbsp;{0}<br>three<p>four<ul><li>x<li>y</ul><!-- no --><div class='comments'>c</div><form>f</form></article><div id='sidebar'>s</div><footer>f</footer></body></html>"
+    page = "<html><head><title>T</title><style>p{{}}</style><script>var a='</p><p>no';</script></head><body><div class='nav'>menu</div><header>Top</header><aside>side</aside><article><h1>A &amp; B {0}</h1><p>one <b>tw</b>o&nbsp;{0}<br>three {0}<p>four {0}<ul><li>x{0}<li>y{0}</ul><!-- no --><div class='comments'>c {0}</div><form>f</form></article><div id='sidebar'>s</div><footer>f</footer></body></html>"
     got = extract(spark, [(i, f"https://h.example/{i}", page.format(i)) for i in range(4)] + [(10, None, None), (11, "x", ""), (12, "http://o.example", "just text"), (13, "http://o.example/2", "<p>a<p>b <i>c</i>d</p><nav>n</nav><p"), (14, "http://d.example", "<div>" * 3000 + "deep")])
-    assert [got[i].text for i in range(4)] == [f"A & B {i} one two {i} three four x y" for i in range(4)]
+    assert [got[i].text for i in range(4)] == [f"A & B {i} one two {i} three {i} four {i} x{i} y{i}" for i in range(4)]
     assert got[0].n_chars == len(got[0].text) and got[0].host == "h.example"
     assert [got[i].text for i in (10, 11, 12, 13, 14)] == ["", "", "just text", "a b cd", "deep"]
 
 
+def test_pages_without_ids_repeated_and_empty(spark):
+    page = "<body><article><p>story {0}</p></article><footer>f</footer></body>"
+    rows = [(None, None, page.format(1))] * 1500 + [(5, "http://h.example/5", page.format(5))] * 3 + [(None, "http://h.example/6", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.url, r.text) for r in pages.extract_main_text(df).collect())
+    assert got == {(None, None, "story 1"): 1500, (5, "http://h.example/5", "story 5"): 3, (None, "http://h.example/6", ""): 1}
+    assert pages.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_pages_without_article_use_what_varies(spark):
     page = "<body><div class='box'><p>Welcome to all readers of this site, as ever.</p></div><div class='story'><p>{0}</p><p>{1}</p></div><div class='box'>Terms of use</div></body>"
     got = extract(spark, [(i, f"https://v.example/{i}", page.format(f"story {i} " * 9, f"more {i * 7} " * 9)) for i in range(6)])
     assert all(got[i].text == " ".join((f"story {i} " * 9 + f"more {i * 7} " * 9).split()) for i in range(6))
 
 
-def test_wrapper_marks_repeated_and_optional_groups():
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_headers_outside_an_article_go(n):
+    page = "<body><header>Site Name</header><div><p>Story {0} goes on for a while</p><p>and {0} more</p></div></body>"
+    assert texts_of([page.format(i) for i in range(n)]) == [f"Story {i} goes on for a while and {i} more" for i in range(n)]
+    page = "<body><article><header><h1>Head {0}</h1></header><p>Story {0}</p></article></body>"
+    assert texts_of([page.format(i) for i in range(n)]) == [f"Head {i} Story {i}" for i in range(n)]
+
+
+def test_what_all_pages_share_is_template_also_inside_the_article():
+    page = "<body><article><h1>Title {0}</h1><p>Story {0} of some length, told to the end.</p><div>Our licence has changed.</div><p>Closing {0} words.</p><p>Read this notice.</p></article></body>"
+    assert texts_of([page.format(i) for i in range(4)]) == [f"Title {i} Story {i} of some length, told to the end. Closing {i} words." for i in range(4)]
+    # One page alone, and near copies, tell nothing of the template.
+    assert texts_of([page.format(1)])[0].endswith("Read this notice.")
+    assert texts_of(["<article><p>A long passage that both pages have in full.</p><p>x</p></article>", "<article><p>A long passage that both pages have in full.</p><p>y</p></article>"]) == [f"A long passage that both pages have in full. {c}" for c in "xy"]
+
+
+def test_class_words_are_whole():
+    page = "<body><article><div class='alert-box side-by-side'><p>Body {0}</p></div><h2 id='related'>Head {0}</h2></article></body>"
+    assert texts_of([page.format(i) for i in range(3)]) == [f"Body {i} Head {i}" for i in range(3)]
+
+
+@pytest.mark.parametrize("broken", ["<a " * 40000, "<a href=\"" * 20000, "<" * 60000, "<!-- " * 20000, "<script>" * 10000, "<svg>" * 10000, "<p '" * 20000, "<div>" * 20000, "</div>" * 20000, "<b>" * 20000, "<span class=ad>" * 5000, "&#" * 30000])
+def test_broken_pages_take_linear_time(broken):
+    began = time.perf_counter()
+    texts_of([f"<article><p>good</p></article>{broken}", "<article><p>fine</p></article>"])
+    assert time.perf_counter() - began < 3
+
+
+def test_long_lists_of_different_elements():
+    """1200 children, of which the first differs: no recursion, and little time."""
+    body = "".join(f"<h{i % 6 + 1}>t{i}</h{i % 6 + 1}><c{i}>x</c{i}>" for i in range(1200))
+    began = time.perf_counter()
+    got = texts_of([f"<body><article><q1>a</q1>{body}<p>one</p></article></body>", f"<body><article><q2>b</q2>{body}<p>two</p></article></body>"])
+    assert got[0].startswith("a t0 x") and time.perf_counter() - began < 5
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
+def test_alignment_against_brute_force(have, new):
+    pairs = pages.align(have, new)
+    assert [i for i, _ in pairs if i is not None] == list(range(len(have))) and [j for _, j in pairs if j is not None] == list(range(len(new)))
+    both = [(i, j) for i, j in pairs if i is not None and j is not None]
+    assert all(have[i] == new[j] for i, j in both)
+    longest = next(k for k in range(min(len(have), len(new)), -1, -1) if any(c == d for c in itertools.combinations(have, k) for d in itertools.combinations(new, k))) if len(have) * len(new) <= 36 else None
+    assert longest is None or len(both) == longest
+
+
+def test_wrapper_has_repeated_and_optional_groups_and_slots():
     w = pages.infer([pages.parse("<body><ul><li>a<li>b</ul><p>x</p></body>"), pages.parse("<body><ul><li>a</ul><h2>h</h2><p>y</p></body>")])
     body = w.children[0]
     assert [c.label for c in body.children] == ["ul", "h2", "p"] and [c.pages for c in body.children] == [2, 1, 2]
-    assert body.children[0].children[0].repeats and body.children[2].children[0].text is None
+    slot, items = body.children[2].children[0], body.children[0].children[0]
+    assert items.repeats and not slot.template("x", 2) and items.children[0].template("a", 2)
 
 
 def test_real_pages_hold_no_template(spark):
@@ -45,18 +107,16 @@ def test_real_pages_hold_no_template(spark):
 
 
 def texts_of(pages_html):
-    trees = [pages.parse(x) for x in pages_html]
-    pages.judge(trees)
-    path = pages.container(pages.infer(trees))
-    return [pages.main_text(x, path) for x in trees]
+    table = pa.table({"page_id": list(range(len(pages_html))), "url": [""] * len(pages_html), "html": pages_html, "host": [""] * len(pages_html)})
+    return pages._extract(table)["text"].to_pylist()
 
 
 def test_labels_are_judged_over_the_host():
     page = (
         "<body><div class='content has-sidebar'><article><h2 id='side-effects'>Effects {0}</h2><section id='related-work'>Work {0}</section><p id='social-contract' data-id='ad'>Pact {0}</p>"
-        "<div class='notice'>Beware {0}</div><div class='share'><a href='/'>Mail {0}</a></div><div class='comments'>Log in to speak</div></article></div></body>"
+        "<div class='hidden'>Unfolds {0}</div><div class='notice'>Beware {0}</div><div class='share'><a href='/'>Mail {0}</a></div><div class='comments'>I think {0}</div></article></div></body>"
     )
-    assert texts_of([page.format(i) for i in range(4)]) == [f"Effects {i} Work {i} Pact {i} Beware {i}" for i in range(4)]
+    assert texts_of([page.format(i) for i in range(4)]) == [f"Effects {i} Work {i} Pact {i} Unfolds {i}" for i in range(4)]
     whole = "<body><div class='widget'><p>Story {0} of many words</p><p>more {0}</p></div><div class='box'>Terms</div></body>"
     assert texts_of([whole.format(i) for i in range(4)]) == [f"Story {i} of many words more {i}" for i in range(4)]
 
