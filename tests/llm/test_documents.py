@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -100,6 +101,20 @@ def test_bpe(docs, corpus, codec):
         assert bpe.unpack(codec.encode(t)) == own.encode_ordinary(t)
 
 
+def test_bpe_tree_goes_down_to_bytes(codec):
+    """A word of n bytes that is no token takes n - 1 joins, unless a part was met before; all re-encode a window."""
+    joins, join = [], codec.join
+    codec.parts.clear()
+    codec.join = lambda a, b: joins.append((a, b)) or join(a, b)
+    try:
+        assert codec.piece(b" qzxvwkjq") == codec.merge(b" qzxvwkjq")
+        assert len(joins) == 8 and all(a and b for a, b in joins)
+        codec.piece("é中🙂½".encode())
+        assert len(joins) > 8
+    finally:
+        del codec.join
+
+
 def test_bpe_tree_is_the_definition(codec):
     import random
 
@@ -244,6 +259,50 @@ def test_a_text_may_mix_more_than_four_languages():
     assert share[0] == pytest.approx(1 / 6, abs=0.02)
 
 
+def test_language_shares_against_plain_em(spark):
+    """The mixture of two languages, by EM over dictionaries, and the penalised choice between one and two."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(table)
+    langs, logs = list(model), np.array(list(model.values()))
+    texts = [r.text for r in table.filter("lang is not null and length(text) > 400").orderBy("doc_id").limit(12).collect()]
+    texts = [f" {a[:300]} {b[:200]} " for a, b in itertools.pairwise(texts)] + [f" {x[:250]} " for x in texts]
+
+    def plain(text):
+        raw = [c.lower() if c.isascii() and c.isalpha() else c if ord(c) > 127 else " " for c in text]
+        raw = "".join(raw).encode()
+        grams = collections.Counter(raw[i : i + 3] for i in range(len(raw) - 2) if raw[i : i + 3] != b"   ")
+        place = {g: ((int.from_bytes(g, "big") * 2654435761) & 0xFFFFFFFF) >> 17 for g in grams}
+        p = {g: [math.exp(x) for x in logs[:, place[g]]] for g in grams}
+        total = sum(grams.values())
+
+        def em(share):
+            for _ in range(language.ROUNDS):
+                new = [0.0] * len(langs)
+                for g, n in grams.items():
+                    mass = sum(s * x for s, x in zip(share, p[g], strict=True))
+                    for k, s in enumerate(share):
+                        new[k] += n * s * p[g][k] / mass
+                share = [x / total for x in new]
+            return share, sum(n * math.log(sum(s * x for s, x in zip(share, p[g], strict=True))) for g, n in grams.items())
+
+        cost = 0.5 * language.OVERLAP * math.log(total)
+        single = [sum(n * math.log(p[g][k]) for g, n in grams.items()) for k in range(len(langs))]
+        best, name, score = max(single), single.index(max(single)), 1.0
+        share, _ = em([1 / len(langs)] * len(langs))
+        order = sorted(range(len(langs)), key=lambda k: -share[k])
+        for size in range(2, len(langs) + 1):
+            near = [share[k] + 1e-9 if k in order[:size] and share[k] > 0 else 0.0 for k in range(len(langs))]
+            got, value = em([x / sum(near) for x in near])
+            if value - (size - 1) * cost > best:
+                best, name, score = value - (size - 1) * cost, got.index(max(got)), max(got)
+        return langs[name], score
+
+    rows = language.identify(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()
+    for r in rows:
+        lang, score = plain(f" {texts[r.doc_id]} ")
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-6)
+
+
 def found(t):
     out = []
     digits = lambda m: re.sub("[^0-9]", "", m)
@@ -285,6 +344,42 @@ def sundry(rng, n):
     return " ".join(f"v{rng.randrange(10**7)}" for _ in range(n))
 
 
+def test_pii_terms_against_brute_force(spark):
+    """Every pair of an entity and a term, by the definition over all documents; only the signatures are the operator's."""
+    import random
+
+    rng = random.Random(12)
+    mails = [f"u{i}@ex{i % 3}.org" for i in range(6)]
+    texts = [None, ""]
+    for _ in range(160):
+        m = rng.choice(mails)
+        texts.append(" ".join([sundry(rng, 6), rng.choice([f"alias{m[1]}", f"Alias{m[1]},", "none"]), m, sundry(rng, 6)]))
+    texts += texts[2:12] * 4 + [sundry(rng, 12) + rng.choice(["", " alias1", " none"]) for _ in range(900)]
+    df = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    found = pii.base_spans(df)
+    rows = found.select("doc_id", "text", "__base", pii._entities(F.col("__base")).alias("e"), pii._signature(F.col("text")).alias("s")).collect()
+    term = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+    with_term, with_entity = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        for w in (r.text or "").split():
+            with_term[term(w)].add(r.doc_id)
+        for e in r.e:
+            with_entity[e].add(r.doc_id)
+    by = {r.doc_id: r for r in rows}
+    want = set()
+    for e, docs_e in with_entity.items():
+        content = math.log2(len(texts) / len(docs_e))
+        for t, docs_t in with_term.items():
+            both = docs_e & docs_t
+            if both and t and not e.endswith(":" + t):
+                entries = {(k, h) for i in both for k, h in enumerate(by[i].s)}
+                shared = math.log2(len(both) * len(texts) / (len(docs_e) * len(docs_t)))
+                if content > 0 and shared + math.log2(pii.CHANCE) / (len(entries) / pii.SIGNATURE) >= pii.DISCLOSURE * content:
+                    want.add((e, t))
+    got = pii.disclosing_terms(found)
+    assert want and {(r.entity, r.term) for r in got.collect()} == want
+
+
 def test_pii_copies_and_signatures_keep_terms(spark):
     import random
 

@@ -1,8 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
 A text falls into pieces (the matches of a pattern), which are encoded each by
-itself. A piece is encoded as a tree: both halves recursively, then the
-neighbours are joined. A join re-encodes a window around the boundary and
+itself. A piece is encoded as a tree down to single bytes: both halves
+recursively, then the neighbours are joined. A join re-encodes a window around the boundary and
 doubles it until the tokens outside it provably stay: a token sequence is the
 encoding of its bytes exactly when each neighbouring pair is, so it is enough
 that the pair at either edge of the window encodes to itself. Decoding
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces up to so many bytes are leaves of the tree.
-LEAF = 32
+#: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; parts of a piece up to so many are kept.
+SHORT = 32
 #: Entries of a task's memo of encoded units; beyond, it starts anew.
 MEMO = 200_000
 #: Bytes of text in an output batch.
@@ -47,7 +47,7 @@ class Codec:
         #: A space between two white-space characters, or at the end after one: there, text can't be cut before a space.
         self.odd_space = regex.compile(r"\s (?!\S)").search
         self.pairs: dict[tuple[int, int], list[int]] = {}
-        self.leaves: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
         #: Each id, packed.
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
         self.plain, self.spaced = _Memo(self, ""), _Memo(self, " ")
@@ -55,7 +55,7 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """The definition: the neighbouring parts whose union has the lowest rank merge, leftmost first, until none has one."""
         n, ranks = len(piece), self.ranks
-        if n <= LEAF:
+        if n <= SHORT:
             return self.merge_short(piece)
         end = list(range(1, n + 1))
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -116,15 +116,17 @@ class Codec:
             width *= 2
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF:
-            found = self.leaves.get(piece)
-            if found is None:
-                if len(self.leaves) > MEMO:
-                    self.leaves.clear()
-                found = self.leaves[piece] = self.merge(piece)
-            return found
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        if len(piece) <= 1:
+            return [self.ranks[piece]] if piece else []
+        found = self.parts.get(piece)
+        if found is None:
+            half = len(piece) // 2
+            found = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            if len(piece) <= SHORT:
+                if len(self.parts) > MEMO:
+                    self.parts.clear()
+                self.parts[piece] = found
+        return found
 
     def piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -164,8 +166,10 @@ class _Memo(dict):
 
     def __missing__(self, unit: str) -> bytes:
         codec = self.codec
-        # Letters alone are one piece, and so is one mark after them.
-        if unit.isalpha():
+        # ASCII letters alone are one piece, and so is one mark after them.
+        if not unit.isascii():
+            found = codec.unit(self.lead + unit)
+        elif unit.isalpha():
             found = b"".join(map(codec.packed.__getitem__, codec.piece((self.lead + unit).encode())))
         elif unit[-1:] in _MARKS and unit[:-1].isalpha():
             found = self[unit[:-1]] + codec.packed[codec.ranks[unit[-1].encode()]]

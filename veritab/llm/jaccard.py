@@ -75,14 +75,14 @@ class Sets:
 
 
 #: Bits of a shingle's hash within its bucket, and bytes of a set's mark, that are sent. Shingles taken for one another are told apart later; marks must tell sets apart.
-KEY_BITS, MARK_BYTES = 32, 6
+KEY_BITS, MARK_BYTES = 32, 5
 
 
 def _send(table: pa.Table, buckets: int) -> pa.Table:
     """keys: the shingles' hashes; sets: the mark of the only set that has it in this chunk, 0 for several."""
     table, _ = in_order(table)
     sets = Sets(Tokeniser(lower=True).words(table["text"]))
-    own = ((sets.digest >> _U(64 - 8 * MARK_BYTES)) | _U(1))[sets.doc]
+    own = np.maximum(sets.digest >> _U(64 - 8 * MARK_BYTES), _U(1))[sets.doc]
     distinct = Distinct(sets.hashes)
     ordered = own[distinct.order]
     low, high = (f.reduceat(ordered, distinct.at) if len(ordered) else ordered for f in (np.minimum, np.maximum))

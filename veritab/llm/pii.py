@@ -178,7 +178,7 @@ def reach(docs: DataFrame) -> DataFrame:
 
     docs: doc_id and text. A kind with * is one of pools.
     """
-    found = base_spans(docs)
+    found = written(base_spans(docs))
     texts = _texts_with_entities(found)
     known = written(_known(texts).select("entity", _in_reach(float(docs.count())).alias("__in")))
     spans = found.select(F.explode("__base").alias("s")).select(_own(F.col("s")).alias("entity"), _pool(F.col("s")).alias("pool")).distinct()
@@ -254,13 +254,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     numbers, leftmost and non-overlapping within a kind. spans: these, then
     the terms that disclose an entity of the same text, outside the base spans.
     """
-    found = base_spans(docs.withColumn("__key", F.xxhash64("doc_id", "text")))
+    # Written: the patterns run once over each text, and every later step reads the columns that it needs.
+    found = written(base_spans(docs.withColumn("__key", F.xxhash64("doc_id", "text"))))
     disclosing = disclosing_terms(found)
     out = found.withColumn("base", F.col("__base"))
     if disclosing is None:
         return out.withColumn("spans", F.col("__base")).drop("__key", "__base")
     by_doc = found.filter(F.size("__base") > 0).select("__key", F.explode(_entities(F.col("__base"))).alias("entity")).distinct()
-    by_doc = written(by_doc.join(disclosing, "entity").groupBy("__key").agg(F.collect_set("term").alias("__terms")))
+    by_doc = written(_joined(by_doc, disclosing, disclosing.count(), "entity").groupBy("__key").agg(F.collect_set("term").alias("__terms")))
     out = out.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS // 10 else by_doc, "__key", "left")
     extra = F.when(F.col("__terms").isNotNull(), F.filter(_terms_found(F.col("text"), F.col("__terms")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).otherwise(F.array().cast(_SPANS))
     return out.withColumn("spans", F.concat("__base", extra)).drop("__key", "__base", "__terms")
