@@ -2,11 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veritab.llm import katz, substrings
-from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds, from_gaps, gaps, in_bucket
+from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds, from_gaps, gaps, in_bucket, slots, spark_hash
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,3 +65,11 @@ def test_a_block_that_misses_ends_a_repeat():
     hits[20] = 0
     starts = substrings._extended(words, hits[probes.order])[0]
     assert set(starts.tolist()) == {s for s in range(21) if not s <= 20 <= s + 10}
+
+
+@pytest.mark.parametrize("n", [1, 2, 12, 211])
+def test_each_bucket_has_a_partition_of_its_own(spark, n):
+    keys = slots(n)
+    assert sorted(spark_hash(keys).astype(np.int64) % n) == list(range(n))
+    got = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.hash("k").alias("h")).collect()
+    assert [r.h for r in got] == spark_hash(keys).tolist()

@@ -33,9 +33,9 @@ BLOCK = 1024
 MU = 0.01
 
 _U = np.uint64
-_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
+_ASK = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("length", pa.binary())])
-_ASK_SQL, _ANSWER_SQL = "bucket int, chunk int, keys binary, sets binary", "chunk int, bucket int, length binary"
+_ASK_SQL, _ANSWER_SQL = "slot int, bucket int, chunk int, keys binary, sets binary", "chunk int, bucket int, length binary"
 _SETS = "doc_id long, n long, v long, shared array<long>, rare int"
 _LINKS = "v long, root long, links long"
 
@@ -91,7 +91,7 @@ def _send(table: pa.Table, buckets: int) -> pa.Table:
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     keys = [gaps(in_bucket(distinct.values[cuts[b] : cuts[b + 1]], b, buckets, KEY_BITS)) for b in used]
     marks = [byte_planes(only[cuts[b] : cuts[b + 1]], MARK_BYTES) for b in used]
-    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": keys, "sets": marks}, _ASK)
+    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": keys, "sets": marks}, _ASK, buckets)
 
 
 def _lengths(table: pa.Table) -> pa.Table:
@@ -217,7 +217,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     chunks, buckets = shares(docs)
     texts = chunked(docs, chunks)
     asked = texts.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), _ASK_SQL)
-    answers = asked.groupBy("bucket").applyInArrow(_lengths, _ANSWER_SQL)
+    answers = asked.groupBy("slot").applyInArrow(_lengths, _ANSWER_SQL)
     rows = written(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_survivors, _SETS))
     classes = rows.filter("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     sets = rows.filter("shared is not null").groupBy("v", "n").agg(F.first("shared").alias("shared"), F.first("rare").alias("rare"))

@@ -30,9 +30,9 @@ RELIABLE = 5
 _U = np.uint64
 #: The hashes of the end of a text and of what stands before its first word.
 END, BEGIN = _U(0x1B873593CC9E2D51), _U(0x85EBCA6BC2B2AE35)
-_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary()), ("first", pa.binary()), ("totals", pa.binary())])
-_ASK_SQL, _ANSWER_SQL = "bucket int, chunk int, keys binary, counts binary", "chunk int, step int, bucket int, values binary, first binary, totals binary"
+_ASK_SQL, _ANSWER_SQL = "slot int, bucket int, chunk int, keys binary, counts binary", "chunk int, step int, bucket int, values binary, first binary, totals binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: N, V and the numbers of types that occur 1, 2, ... RELIABLE + 1 times.
 _TOTALS = f"<{RELIABLE + 3}q"
@@ -108,7 +108,7 @@ class Stream:
 def _asks(chunk: int, hashes: np.ndarray, buckets: int, pack_keys, keys: np.ndarray, pack_counts, counts: np.ndarray) -> pa.Table:
     cuts = bucket_bounds(hashes, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": [pack_keys(b, keys[cuts[b] : cuts[b + 1]]) for b in used], "counts": [pack_counts(counts[cuts[b] : cuts[b + 1]]) for b in used]}, _ASK)
+    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": [pack_keys(b, keys[cuts[b] : cuts[b + 1]]) for b in used], "counts": [pack_counts(counts[cuts[b] : cuts[b + 1]]) for b in used]}, _ASK, buckets)
 
 
 def _plain(bucket: int, values: np.ndarray) -> bytes:
@@ -275,9 +275,9 @@ def score(docs: DataFrame, divisor: int = 7, remainder: int = 2) -> DataFrame:
     texts = chunked(docs.withColumn("held_out", held), chunks, "held_out")
     by_chunk = texts.groupBy("chunk")
     words = by_chunk.applyInArrow(lambda t: _ask_words(t, buckets), _ASK_SQL)
-    one = words.groupBy("bucket").applyInArrow(lambda t: _count_words(t, chunks), _ANSWER_SQL).repartition(buckets, "chunk")
+    one = words.groupBy("slot").applyInArrow(lambda t: _count_words(t, chunks), _ANSWER_SQL).repartition(buckets, "chunk")
     pairs = by_chunk.applyInArrow(lambda t: _ask_pairs(t, buckets), _ASK_SQL)
-    two = one.unionByName(pairs.groupBy("bucket").applyInArrow(lambda t: _count_pairs(t, chunks), _ANSWER_SQL)).repartition(buckets, "chunk")
+    two = one.unionByName(pairs.groupBy("slot").applyInArrow(lambda t: _count_pairs(t, chunks), _ANSWER_SQL)).repartition(buckets, "chunk")
     reports = by_chunk.cogroup(two.groupBy("chunk")).applyInArrow(lambda d, a: _report_contexts(d, a, buckets), _ASK_SQL)
-    weights = words.groupBy("bucket").cogroup(reports.groupBy("bucket")).applyInArrow(lambda w, r: _weigh_contexts(w, r, chunks), _ANSWER_SQL)
+    weights = words.groupBy("slot").cogroup(reports.groupBy("slot")).applyInArrow(lambda w, r: _weigh_contexts(w, r, chunks), _ANSWER_SQL)
     return by_chunk.cogroup(two.unionByName(weights).groupBy("chunk")).applyInArrow(_score, _SCORES)

@@ -25,9 +25,9 @@ from ._packed import Distinct, Tokeniser, Words, bucket_bounds, chunked, in_orde
 SPAN, BLOCK = 20, 10
 
 _U = np.uint64
-_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())])
+_ASK = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("ids", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary())])
-_ASK_SQL, _ANSWER_SQL = "bucket int, chunk int, keys binary, more binary, ids binary", "chunk int, step int, bucket int, flags binary"
+_ASK_SQL, _ANSWER_SQL = "slot int, bucket int, chunk int, keys binary, more binary, ids binary", "chunk int, step int, bucket int, flags binary"
 _FOUND = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
 
 
@@ -51,7 +51,7 @@ def _messages(chunk: int, hashes: np.ndarray, buckets: int, columns: list) -> pa
     cuts = bucket_bounds(hashes, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     packed = [[b"" if c is None else c[cuts[b] : cuts[b + 1]].tobytes() for b in used] for c in columns]
-    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": packed[0], "more": packed[1], "ids": packed[2]}, _ASK)
+    return message({"bucket": used, "chunk": [chunk] * len(used), "keys": packed[0], "more": packed[1], "ids": packed[2]}, _ASK, buckets)
 
 
 def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +178,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chunks, buckets = shares(docs)
     texts = chunked(docs, chunks)
     probes = texts.groupBy("chunk").applyInArrow(lambda t: _send_probes(t, buckets), _ASK_SQL)
-    hits = probes.groupBy("bucket").applyInArrow(_match_blocks, _ANSWER_SQL).repartition(buckets, "chunk")
+    hits = probes.groupBy("slot").applyInArrow(_match_blocks, _ANSWER_SQL).repartition(buckets, "chunk")
     windows = texts.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda d, a: _send_windows(d, a, buckets), _ASK_SQL)
-    firsts = windows.groupBy("bucket").applyInArrow(_first_places, _ANSWER_SQL)
+    firsts = windows.groupBy("slot").applyInArrow(_first_places, _ANSWER_SQL)
     return texts.groupBy("chunk").cogroup(hits.unionByName(firsts).groupBy("chunk")).applyInArrow(_remove, _FOUND)
 
 
