@@ -48,11 +48,29 @@ def test_paging(spark):
 
 def test_finish(spark):
     schema = "title string, description string, years_required int, years_quote string, bars array<struct<kind:string,quote:string>>, student_only boolean, level string, level_quote string, field string, field_quote string"
-    rows = [("Senior data analyst", "UK nationals only.", 5, "3-5 years", None, None, "mid", "", "sales", ""), ("Clerk", "We ask for 4 years.", None, None, [], True, "mid", "graduate trainee role", None, None), ("Clerk", "", 2, "0-2 years", [], None, None, "lead", None, None), ("Clerk", "", 3, "up to 3 years", [], None, None, None, None, None)]
+    rows = [
+        ("Senior data analyst", "UK nationals only. 3-5 years", 5, "3-5 years", None, None, "mid", "", "sales", ""), ("Clerk", "We ask for 4 years of experience.", None, None, [], True, "mid", "a role for a graduate", None, None),
+        ("Clerk", "", 2, "0-2 years", [], None, None, "team lead of six", None, None), ("Clerk", "", 3, "up to 3 years", [], None, None, None, "other", "two words"), ("Insights clerk", "", None, "", [], None, "mid", "mid", "other", "two words"),
+    ]
     done = finish.finish(spark.createDataFrame(rows, schema)).cache()
-    got = [(r.years_required, [b.kind for b in r.bars], r.student_only, r.level, r.field, r.changed) for r in done.collect()]
-    assert got == [(3, ["nationality"], None, "senior", "data", ["years", "bars", "level", "field"]), (4, [], True, "graduate", None, ["years", "level"]), (None, [], None, None, None, ["years"]), (None, [], None, None, None, ["years"])]
-    assert finish.changes(done).first().asDict() == {"postings": 4, "years": 4, "bars": 1, "student": 0, "level": 2, "field": 1}
+    got = [(r.years_required, [b.kind for b in r.bars], r.student_only, r.level, r.level_source, r.field, r.changed) for r in done.collect()]
+    assert got == [
+        (3, ["nationality"], None, "senior", "title", "analytics_bi", ["years_set", "bars", "level", "field"]), (4, [], True, "mid", "text", None, ["years_set"]), (None, [], None, "lead_principal", "text", None, ["years_cleared", "level"]),
+        (None, [], None, None, "none", "other", ["years_cleared"]), (None, [], None, None, "none", None, ["level", "field"]),
+    ]
+    assert finish.changes(done).first().asDict() == {"postings": 5, "quotes": 0, "years_set": 2, "years_cleared": 2, "bars": 1, "student": 0, "level": 3, "field": 2}
+
+
+def test_check_facts(spark):
+    schema = "title string, description string, level string, level_quote string, years_required int, years_quote string, student_only boolean, student_quote string, graduation_year int, graduation_quote string, field string, field_quote string, bars array<struct<kind:string,quote:string>>"
+    text = "A “Senior” post. 3 years. Student services. Graduating in 2027. UK citizens only."
+    rows = [
+        ("Clerk", text, "senior", '"Senior" post', 3, "3 years", True, "Student services", 2027, "Graduating in 2027", "quant", "not here", [("nationality", "UK citizens only"), ("clearance", "UK citizens only"), ("other", "nowhere must")]),
+        ("Clerk", text, None, "", 3, "Clerk A", None, None, 2027, "3 years", None, None, None),
+    ]
+    a, b = finish.check(spark.createDataFrame(rows, schema)).collect()
+    assert (a.level, a.years_required, a.student_only, a.graduation_year, a.field, a.field_quote, [x.kind for x in a.bars], a.quotes_rejected) == ("senior", 3, None, 2027, None, "", ["nationality"], True)
+    assert (b.level, b.years_required, b.graduation_year, b.bars, b.quotes_rejected) == (None, None, None, [], True)
 
 
 def test_keys(spark):

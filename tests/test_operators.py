@@ -77,11 +77,6 @@ def test_dates_and_sentences(spark):
     assert len(cut) <= 220 and cut.endswith("word…")
 
 
-def test_years(spark):
-    texts = [("5+ years of Java, 3 years of SQL",), ("up to 2 years",), ("30 years old firm",), ("none",)]
-    assert value(spark, extract.years_required(F.col("t")), texts, "t string") == [3, None, None, None]
-
-
 def test_ratio(spark):
     assert value(spark, matching_ratio(F.col("a"), F.col("b")), [("abcd", "bcde"), (None, "x")], "a string, b string") == [0.75, 0.0]
 
@@ -121,13 +116,30 @@ def test_state(spark, tmp_path):
 
 
 def test_stream_emits_each_key_once(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    table = state.Table(spark, str(tmp_path / "state"), "uid string, last_seen date")
+    import shutil
+
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "check"
+    log = state.Log(spark, str(tmp_path / "keys"), "uid string, last_seen date")
+
+    def run():
+        state.emit_once(spark.readStream.schema("uid string").parquet(source), "uid", out, str(check), log, DAY).start().awaitTermination(120)
+
     for batch in ([("a",), ("b",), ("a",)], [("b",), ("c",)]):
         spark.createDataFrame(batch, "uid string").coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("uid string").parquet(source)
-        state.emit_once(stream, "uid", out, str(tmp_path / "check"), table, DAY).start().awaitTermination(120)
+        run()
+    assert sorted(r.uid for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    # The last batch again, as after a crash between the log and Spark's own commit.
+    for f in (check / "commits").glob("*1"):
+        f.unlink()
+    for f in (check / "commits").glob(".1*"):
+        f.unlink()
+    run()
     assert sorted(r.uid for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    # All batches from the beginning.
+    shutil.rmtree(check)
+    run()
+    assert sorted({r.uid for r in spark.read.parquet(out).collect()}) == ["a", "b", "c"]
+    assert sorted(r.uid for r in log.read().collect()).count("a") == 1
 
 
 def test_alarms(spark):

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from veritab.functions import extract, stated
 from veritab.functions import resolvers as R
 from veritab.operators import postings
 from veritab.sources.structured import postings_in
@@ -14,42 +15,88 @@ def values(spark, column, texts):
     return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(column).collect()]
 
 
-def test_clauses(spark):
-    texts = ["We grow. This is only open to current students. Apply.", "You need not be, nor must be students.", "Must be a student; graduates are welcome", None, "For undergraduates"]
-    assert values(spark, R.students_only(F.col("t")), texts) == ["This is only open to current students.", None, "Must be a student;", None, "For undergraduates"]
-    assert values(spark, R.resolve_student(F.lit(None).cast("boolean"), F.col("t")), texts) == [True, None, False, None, True]
+def readings(spark, texts, titles=None):
+    rows = [(titles[i] if titles else "", t) for i, t in enumerate(texts)]
+    return [r[0] for r in spark.createDataFrame(rows, "title string, body string").select(stated.read(F.col("title"), F.col("body"))).collect()]
+
+
+def test_students_and_graduates(spark):
+    texts = [
+        "We grow. Open to current students only. Apply.", "This is not open to current students only.", "Currently pursuing a BSc. Recent graduates may apply.", None, "You are in your penultimate year.",
+        "Currently pursuing or holding a degree.", "Recent graduates are not eligible.", "If you have already graduated with a degree, wait.", "Returning to full-time study in autumn",
+    ]
+    got = readings(spark, texts)
+    assert [r.students for r in got] == ["Open to current students only.", None, "Currently pursuing a BSc.", None, "You are in your penultimate year.", None, None, None, "Returning to full-time study in autumn"]
+    assert [r.graduates for r in got] == [None, None, "Recent graduates may apply.", None, None, None, None, None, None]
+    df = spark.createDataFrame([(texts[0], None), (texts[2], True), (texts[2], None), (texts[5], True), ("x", None)], "body string, s boolean")
+    student = R.resolve_student(F.col("s"), F.lit("q"), stated.read(F.lit(""), F.col("body")))
+    assert [(r[0].value, r[0].quote) for r in df.select(student).collect()] == [(True, "Open to current students only."), (False, "Recent graduates may apply."), (None, "q"), (True, "q"), (None, "q")]
+    long = "word " * 60 + "penultimate year"
+    assert stated.sentence_in("students", long) == "penultimate year"
 
 
 def test_bars(spark):
-    texts = ["UK nationals only. Security clearance is required.", "No security clearance required", ""]
-    got = values(spark, R.bars_stated(F.col("t")), texts)
-    assert [[(b.kind, b.quote) for b in x] for x in got] == [[("nationality", "UK nationals only."), ("clearance", "Security clearance is required.")], [], []]
-    stated = F.array(F.struct(F.lit("clearance").alias("kind"), F.lit("SC").alias("quote")))
-    assert [[b.kind for b in x] for x in values(spark, R.resolve_bars(stated, F.col("t")), texts)] == [["clearance", "nationality"], ["clearance"], ["clearance"]]
+    hard = ["UK nationals only.", "Must be a British citizen.", "Candidates must hold active SC clearance.", "Saudi passport required", "You must be eligible to obtain DV", "Open to UAE and GCC nationals only", "Security clearance is required for this post.", "Nationality: Saudi", "Nous cherchons"]
+    soft = [
+        "No security clearance required", "UAE nationals are encouraged to apply", "SC clearance is desirable", "A UK national or have the right to work in the UK", "Process security clearance applications", "Security Vetting team", "Do you hold security clearance? (Yes/No)",
+        "Our customers hold active SC clearance", "BPSS security clearance", "You may need to gain SC clearance depending on the role", "without regard to race or UK nationals only", "security clearance analyst", "Nationality: UAE / Any",
+    ]
+    got = readings(spark, hard + soft)
+    kinds = [("n" if r.nationality else "") + ("c" if r.clearance else "") for r in got]
+    assert kinds == ["n", "n", "c", "n", "c", "n", "c", "n", ""] + [""] * len(soft)
+    assert got[0].nationality == "UK nationals only." and got[2].clearance == "Candidates must hold active SC clearance."
+    run_on = "We are a large firm and " * 8 + "all staff must hold active SC clearance and " + "more words follow here " * 20
+    quote = stated.bar_in("clearance", run_on)
+    assert quote.startswith("hold active SC clearance") or quote.startswith("active SC clearance")
+    assert len(quote) <= 120 and quote in run_on
+    bars = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit("q").alias("quote")) for k in ("other", "work_auth", "other", "clearance", "other")])
+    df = spark.createDataFrame([("UK nationals only.",)], "t string").select(R.resolve_bars(bars, stated.read(F.lit(""), F.col("t"))).alias("b"))
+    assert [b.kind for b in df.first().b] == ["clearance", "other", "work_auth", "other", "nationality"]
 
 
 def test_years_stated(spark):
-    from veritab.functions import extract
-
-    texts = ["You have 3-5 years in audit.", "Up to 2 years. At least 4 years needed.", "5 years preferred; a degree.", "We have 30 years of history. Our team has 10 years.", "Aged 18 years old", "0 years", "20 years", "3 years or a relevant degree", None, "Within the last 2 years", "Must have 2+ yrs"]
-    got = values(spark, extract.years_stated(F.col("t")), texts)
-    assert [(x.n, x.quote) if x else None for x in got] == [(3, "You have 3-5 years in audit."), (4, "At least 4 years needed."), None, None, None, None, None, None, None, None, (2, "Must have 2+ yrs")]
-    assert values(spark, extract.graduation_year(F.col("t")), ["Graduating in summer 2027.", "Founded 2019. We hire graduates", None]) == [2027, None, None]
+    rows = {
+        "You have 3-5 years of experience in audit.": (3, "You have 3-5 years of experience"), "Up to 2 years of experience. At least 4 years of experience needed.": (4, "At least 4 years of experience"), "5 years of experience preferred": None, "Our team has 10 years of experience": None,
+        "Aged 18 years old": None, "0 years of experience": None, "20 years experience": None, "3 years of experience or a relevant degree": None, "Within the last 2 years as a clerk": None, "Must have 2+ yrs experience": (2, "2+ yrs experience"),
+        "Experience (3+ years)": (3, "Experience (3+ years)"), "Seniority: 5+ years": (5, "Seniority: 5+ years"), "Years of experience: 3-5": (3, "Years of experience: 3-5"), "2 years and gives you hands-on experience": None, "2 year graduate programme, gaining experience": None,
+        "Acme has 10 years of experience": None, "someone who has 5 years of experience": (5, "5 years of experience"), "mentored by an engineer with 8+ years of experience": None, "reports to the CFO and requires 5+ years of experience": (5, "5+ years of experience"),
+        "Preferred qualifications:\n3+ years of experience": None, "3 years as an Associate leads to VP": None, "4+ years in a data role": (4, "4+ years in a data role"), "max. 2 years experience": None, "2 years of experience or less": None, "": None,
+    }
+    assert {t: stated.years_in(t) for t in rows} == rows
+    assert [(r.years, r.years_quote or None) for r in readings(spark, list(rows))] == [x or (None, None) for x in rows.values()]
+    assert [stated.range_in(q) for q in ("0-2 years", "a team of 2-5; 5 years", "Experience: Minimum 2-3", "7 - 5 years", "0.5-2 yrs", "")] == [(0, 2), None, (2, 3), None, (0, 2), None]
+    assert [stated.no_least(n, q) for n, q in ((3, "up to 3 years"), (3, "not less than 3 years"), (27, "27 years old"), (27, "age limit of 27"), (3, "3 years"), (4, "3 years"))] == [True, False, True, True, False, False]
+    body = "You will need 3+ years of experience."
+    assert [stated.settled_years(v, q, "", body) for v, q in ((5, "3-5 years"), (2, "0-2 years"), (5, "5+ years overall, 2-3 years in Python"), (None, ""), (2, "up to 2 years"))] == [(3, "3-5 years"), (3, "3+ years of experience"), (5, "5+ years overall, 2-3 years in Python"), (3, "3+ years of experience"), (3, "3+ years of experience")]
 
 
 def test_support(spark):
-    rows = [("clearance", "SC required"), ("clearance", "sc required"), ("nationality", "all nationalities welcome regardless of origin"), ("nationality", "UK citizens"), ("other", "x"), ("language", None)]
+    rows = [("clearance", "SC required"), ("clearance", "sc required"), ("nationality", "all nationalities welcome regardless of origin"), ("nationality", "UK citizens"), ("other", "x"), ("other", "you must drive"), ("language", None)]
     df = spark.createDataFrame(rows, "k string, q string")
-    assert [r[0] for r in df.select(R.bar_supported(F.col("k"), F.col("q"))).collect()] == [True, False, False, True, True, False]
-    df = spark.createDataFrame([(2027, "graduating 2027"), (2027, "in 12027, graduate"), (2027, "room 2027"), (None, "")], "y int, q string")
-    assert [r[0] for r in df.select(R.graduation_supported(F.col("y"), F.col("q"))).collect()] == [True, False, False, True]
-    assert values(spark, R.bars_stated(F.col("t")), ["Security clearance is required or you are willing to apply.", "UK nationals only, desirable"]) == [[], []]
+    assert [r[0] for r in df.select(R.bar_supported(F.col("k"), F.col("q"))).collect()] == [True, False, False, True, False, True, True]
+    assert [stated.names_bar(k, q or "") for k, q in rows] == [True, False, False, True, False, True, True]
+    df = spark.createDataFrame([(2027, "graduating 2027"), (2027, "in 12027, graduate"), (2027, "room 2027"), (2027, "2027 Graduate Programme"), (None, "")], "y int, q string")
+    assert [r[0] for r in df.select(R.graduation_supported(F.col("y"), F.col("q"))).collect()] == [True, False, False, False, True]
+
 
+def test_levels_fields_and_programmes(spark):
+    titles = {"Senior Analyst Internship": "graduate_entry", "Jr Staff Engineer": "junior", "Senior Director of Data": "lead_principal", "Lead Generation Executive": None, "Lead Cloud Data Engineer": "lead_principal", "Tech Lead - Payments": "lead_principal", "Staff Accountant": None, "Mid-Senior clerk": "senior", "Mid-level clerk": "mid", "Internal Auditor": None}
+    assert values(spark, extract.first_row(F.col("t"), extract.LEVELS), list(titles)) == list(titles.values())
+    fields = {"ML Engineer, Data Platform": "ai_llm", "Software Engineer, Data Platform": "data_engineering", "Data Science Consultant": "data_science", "Quantitative Developer, Backend": "quant", "DevOps Consultant": "software", "Finance Project Analyst": "finance", "Marketing Analyst": None}
+    assert values(spark, extract.first_row(F.col("t"), extract.FIELDS), list(fields)) == list(fields.values())
+    programmes = {"Summer Internship": True, "Placement Officer": False, "Graduate Data Science Programme": True, "International Sales": False, "Off-cycle Analyst": True, "Trainee Accountant": False}
+    assert values(spark, extract.is_programme(F.col("t")), list(programmes)) == list(programmes.values())
 
-def test_years_and_words(spark):
-    df = spark.createDataFrame([(None, 3), (5, 3), (2, 3), (4, None)], "a int, b int")
-    assert [r[0] for r in df.select(R.resolve_years(F.col("a"), F.col("b"))).collect()] == [3, 3, 2, 4]
+
+def test_total_due(spark):
+    df = spark.createDataFrame([(90.0, "Subtotal 90", "Subtotal 90. Amount now due: £1,100.50"), (90.0, "Total 90", "Amount due £100"), (90.0, "VAT 90", "Amount due 30 days from"), (None, "", "Total due £5")], "v double, q string, t string")
+    got = df.select(extract.total_not_subtotal(F.struct(F.col("v").alias("value"), F.col("q").alias("quote")), [F.lit(None).cast("string"), F.col("t")]).alias("f")).collect()
+    assert [(r.f.value, r.f.quote) for r in got] == [(1100.5, "Amount now due: £1,100.50"), (90.0, "Total 90"), (90.0, "VAT 90"), (None, "")]
+
+
+def test_plain_words(spark):
     assert values(spark, R.plain_words(F.col("t")), ["Société ﬁne ＡB", None]) == [["societe", "fine", "ab"], []]
+    assert values(spark, extract.graduation_year(F.col("t")), ["Graduating in summer 2027.", "Founded 2019. We hire graduates", None]) == [2027, None, None]
 
 
 def test_verdict_order(spark):

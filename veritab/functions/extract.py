@@ -1,49 +1,49 @@
-"""Level and field of a posting by ordered word lists: the first row with a hit decides."""
+"""Level and field of a posting by ordered tables of phrases: the first row with a hit decides."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Own word lists, in order.
-LEVELS = (("intern", "intern(ship)?|placement"), ("graduate", "graduate|entry.level|trainee"), ("lead", "lead|principal|head of"), ("senior", "senior|sr"), ("mid", "mid.?level|intermediate"))
-FIELDS = (("data", "data|analytics?"), ("software", "software|developer|programmer"), ("finance", "finance|accounting|audit"), ("design", "design(er)?"), ("sales", "sales|account executive"))
+from . import phrases as P
+from .text import PLAIN, TYPOGRAPHIC, text_of
 
+LEVELS, FIELDS = P.LEVELS, P.FIELDS
 
-def first_row(text: Column, rows) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    folded = F.lower(F.coalesce(text, F.lit("")))
-    for name, words in rows:
-        out = out.when(folded.rlike(f"\\b({words})\\b"), F.lit(name))
-    return out
 
+def says(c: Column, pattern: str) -> Column:
+    """Whether a text matches a phrase, quotes and dashes plain, case aside."""
+    return F.translate(text_of(c), TYPOGRAPHIC, PLAIN).rlike(f"(?i){pattern}")
 
-#: The most years that are taken for a requirement.
-MOST_YEARS = 14
-_YEARS = "(?<![0-9.])([0-9]{1,2})(?:\\.[0-9]+)?\\s*(?:\\+|(?:-|\u2013|to)\\s*[0-9]{1,2}\\s*\\+?)?\\s*(?:years?|yrs?)\\b(?!'? (?:old|of age))"
-# Own phrases: what makes a count of years no least one, before it; and what makes its sentence no requirement.
-NOT_LEAST = "\\b(up to|less than|fewer than|under|below|no more than|not more than|at most|maximum( of)?|max\\.?|within( the)?( last| past)?|first|next|last|past|previous|spend|gain|after)\\s*$"
-NOT_ASKED = "\\b(preferred|preferably|desirable|desired|ideally|nice to have|a plus|bonus|advantage(ous)?|we have|we've|our (team|company|firm|clients?|founders?) (has|have)|founded|established|in business|history of|or (a |an )?(equivalent |relevant )?(degree|qualification)|(programme|program|contract|placement|visa) (of|lasts|for)|not required|no experience)\\b"
 
+def first_row(c: Column, rows) -> Column:
+    """The name of the first row (name, pattern) that matches; null if none does."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, pattern in rows:
+        out = out.when(says(c, pattern), F.lit(name))
+    return out
 
-def years_stated(text: Column) -> Column:
-    """The first requirement of years in a text, as n and its sentence (200 characters at most): the low end of a range. Null where every count is a most, an age, a preference, someone else's, waived, 0 or above MOST_YEARS."""
 
-    def asked(s: Column) -> Column:
-        low = F.lower(s)
-        n = F.nullif(F.regexp_extract(low, _YEARS, 1), F.lit("")).cast("int")
-        before = F.regexp_extract(low, f"(?s)^(.*?){_YEARS}", 1)
-        return F.when(n.between(1, MOST_YEARS) & ~F.right(before, F.lit(40)).rlike(NOT_LEAST) & ~low.rlike(NOT_ASKED), F.struct(n.alias("n"), F.left(F.trim(s), F.lit(200)).alias("quote")))
+def is_programme(title: Column) -> Column:
+    """Whether a title names a programme that opens every year."""
+    return says(title, P.PROGRAMME_TITLE)
 
-    return F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=[.!?;])(?=\\s|$)|\\n"), asked), lambda x: x.isNotNull()), F.lit(0))
 
+def graduation_year(c: Column) -> Column:
+    """The first year that a sentence names as one of graduating."""
+    return F.nullif(F.regexp_extract(F.lower(text_of(c)), "\\bgraduat(?:e|es|ed|ing|ion)\\b[^.;!?]{0,40}?\\b(20[0-9]{2})\\b", 1), F.lit("")).cast("int")
 
-def years_required(text: Column) -> Column:
-    """The least number of years that any count in a text names, up to MOST_YEARS; null where none is stated. "up to", "maximum" and ages don't count. years_stated() says which is the requirement."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<!up to |max |maximum |maximum of )\\b([0-9]{1,2})\\s*(?:\\+|-|to)?\\s*(?:[0-9]{1,2})?\\s*(?:years?|yrs?)\\b(?! old| of age)"), F.lit(1))
-    return F.array_min(F.filter(F.transform(found, lambda x: x.cast("int")), lambda y: y <= MOST_YEARS))
 
+def total_due(c: Column) -> Column:
+    """The amount that a text calls its total due, and these words."""
+    words = F.nullif(F.regexp_extract(text_of(c), f"(?i){P.TOTAL_DUE}", 0), F.lit(""))
+    amount = F.replace(F.regexp_extract(text_of(c), f"(?i){P.TOTAL_DUE}", 1), F.lit(","), F.lit("")).try_cast("double")
+    return F.struct(F.when(words.isNotNull(), amount).alias("value"), F.coalesce(words, F.lit("")).alias("quote"))
 
-def graduation_year(text: Column) -> Column:
-    """The first year that a sentence names as one of graduating."""
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), "\\bgraduat(?:e|es|ed|ing|ion)\\b[^.;!?]{0,40}?\\b(20[0-9]{2})\\b", 1), F.lit("")).cast("int")
+
+def total_not_subtotal(fact: Column, texts: list[Column]) -> Column:
+    """A fact (value, quote) whose quote speaks of another amount, replaced by the total due of the first text that has one."""
+    totals = [total_due(t) for t in texts]
+    found = F.coalesce(*[F.when(t["value"].isNotNull(), t) for t in totals])
+    other = fact["value"].isNotNull() & says(fact["quote"], P.NOT_THE_TOTAL)
+    return F.when(other & found.isNotNull(), F.struct(found["value"].alias("value"), found["quote"].alias("quote"))).otherwise(fact)

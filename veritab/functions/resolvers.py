@@ -1,4 +1,4 @@
-"""Facts that code finds in a text by itself, to fill or correct an answer's: clauses that stand without a negation, and bars."""
+"""Facts that code finds in a text by itself, to fill or correct an answer's."""
 
 from __future__ import annotations
 
@@ -7,81 +7,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import phrases as P
+from .extract import says
 from .text import text_of
 
-#: How far before a phrase, within its sentence, a negation counts; and the most of a sentence that is quoted.
-REACH, QUOTE = 60, 200
-NEGATION = "\\b(not|no|never|without|neither|nor|cannot|isn't|aren't|doesn't|don't)\\b"
+#: Bars that nothing gets past; they are never cut for room.
+STRUCTURAL = ("nationality", "clearance")
+BARS = "array<struct<kind:string,quote:string>>"
 
-# Own phrases.
-STUDENTS = "(only open to|must be|for) (an? )?(current |enrolled |penultimate.year )?(undergraduates?|students?)\\b|currently enrolled (at|in)"
-GRADUATES = "(graduates?|recent graduates?) (are |may |can )?(eligible|welcome|apply)|open to graduates|hold a degree"
-BARS = (("nationality", "\\b(nationals?|citizens?) only\\b|must be a [a-z]+ (national|citizen)"), ("clearance", "\\bsecurity clearance (is )?(required|essential|needed)|must hold [a-z]+ clearance"))
-# Own phrases: what makes a sentence that names a bar none, and the words that a quoted bar of a kind must have.
-NOT_A_BAR = "\\b(preferred|desirable|an advantage|willing to|(able|eligible) to (obtain|gain|undergo)|regardless of|equal opportunit(y|ies)|without discrimination|or (settled status|(the )?right to work))\\b"
-BAR_WORDS = {"nationality": "\\b(nationals?|nationality|citizens?(hip)?|passport)\\b", "clearance": "\\b(clearance|cleared|vetting|vetted)\\b|\\b(?-i:SC|DV)\\b", "work_auth": "\\b(right to work|visas?|sponsor(ship)?|permit|authori[sz]ed)\\b", "language": "\\b(fluent|fluency|native|speak(er|ing|s)?|proficien(t|cy)|language)\\b", "licence": "\\b(licen[cs]ed?|certifi(ed|cate|cation)|registered)\\b"}
-FAIRNESS = "\\b(equal opportunit(y|ies)|regardless of|without regard to|discriminat(e|ion)|diversity)\\b"
 
+def resolve_student(stated: Column, quote: Column, read: Column) -> Column:
+    """Whether only students may apply, and the words for it: what the text says of graduates takes back a yes; what it says of students makes one."""
+    graduates, students = read["graduates"], read["students"]
+    yes = F.coalesce(stated, F.lit(False))
+    said = lambda v, q: F.struct(v.alias("value"), text_of(q).alias("quote"))
+    return F.when(graduates.isNotNull() & yes, said(F.lit(False), graduates)).when(graduates.isNull() & ~yes & students.isNotNull(), said(F.lit(True), students)).otherwise(said(stated, quote))
 
-def sentences(c: Column) -> Column:
-    return F.split(text_of(c), "(?<=[.!?;])(?=\\s|$)|\\n")
 
+def bars_stated(read: Column) -> Column:
+    """At most one bar of each structural kind, with the words that state it."""
+    return F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), read[k].alias("quote")) for k in STRUCTURAL]), lambda b: b["quote"].isNotNull())
 
-def unnegated_sentence(c: Column, pattern: str, exclude: str | None = None) -> Column:
-    """The first sentence with a match that no negation comes shortly before; null if there is none. A sentence with `exclude` is passed over."""
 
-    def stands(s: Column) -> Column:
-        low = F.lower(s)
-        before = F.regexp_extract(low, f"(?s)^(.*?)(?:{pattern})", 1)
-        ok = low.rlike(pattern) & ~F.right(before, F.lit(REACH)).rlike(NEGATION)
-        return ok & ~low.rlike(exclude) if exclude else ok
+def resolve_bars(stated: Column, read: Column, most: int = 5) -> Column:
+    """The answer's bars and those of kinds that it doesn't name. Where there is no room for all, the answer's structural ones go before its others."""
+    have = F.coalesce(stated, F.array().cast(BARS))
+    kinds = F.transform(have, lambda b: b["kind"])
+    found = F.filter(bars_stated(read), lambda b: ~F.array_contains(kinds, b["kind"]))
+    hard = lambda b: b["kind"].isin(*STRUCTURAL)
+    ordered = F.when(F.size(have) + F.size(found) > most, F.concat(F.filter(have, hard), F.filter(have, lambda b: ~hard(b)))).otherwise(have)
+    return F.when(F.size(found) == 0, have).otherwise(F.concat(F.slice(ordered, F.lit(1), F.greatest(most - F.size(found), F.lit(0))), found))
 
-    return F.left(F.trim(F.get(F.filter(sentences(c), stands), F.lit(0))), F.lit(QUOTE))
 
-
-def students_only(c: Column) -> Column:
-    return unnegated_sentence(c, STUDENTS, GRADUATES)
-
-
-def graduates_eligible(c: Column) -> Column:
-    return unnegated_sentence(c, GRADUATES)
-
-
-def resolve_student(stated: Column, c: Column) -> Column:
-    """students only: what the text says of graduates wins, then what it says of students, then the answer."""
-    return F.when(graduates_eligible(c).isNotNull(), F.lit(False)).when(students_only(c).isNotNull(), F.lit(True)).otherwise(stated)
-
-
-def resolve_years(stated: Column, found: Column) -> Column:
-    """The years that a text asks for, where the answer has none or more than these."""
-    return F.when(found.isNotNull() & (stated.isNull() | (stated > found)), found).otherwise(stated)
-
-
-def bars_stated(c: Column) -> Column:
-    """At most one bar of each kind, with the sentence that states it."""
-    one = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), unnegated_sentence(c, pattern, NOT_A_BAR).alias("quote"))
-    return F.filter(F.array(*[one(k, p) for k, p in BARS]), lambda b: b["quote"].isNotNull())
+def bar_supported(kind: Column, quote: Column) -> Column:
+    """Whether a quote speaks of the kind of bar that it is given for; one of another kind must require something; a statement of equal opportunity never does."""
+    spoken = F.when(kind == "other", says(quote, P.REQUIRES))
+    for name, words in P.BAR_WORDS.items():
+        spoken = spoken.when(kind == name, says(quote, words))
+    return spoken.otherwise(F.lit(True)) & ~says(quote, P.EQUAL_OPPORTUNITY)
 
 
-def resolve_bars(stated: Column, c: Column, most: int = 5) -> Column:
-    """The answer's bars and those of kinds that it doesn't name."""
-    kinds = F.transform(stated, lambda b: b["kind"])
-    return F.slice(F.concat(stated, F.filter(bars_stated(c), lambda b: ~F.array_contains(kinds, b["kind"]))), 1, most)
+def year_in(year: Column, quote: Column) -> Column:
+    """Whether a quote states a year as a whole number; one that isn't stated needs none."""
+    return year.isNull() | F.array_contains(F.regexp_extract_all(text_of(quote), F.lit("(\\d+)"), F.lit(1)), year.cast("string"))
 
 
-def bar_supported(kind: Column, quote: Column) -> Column:
-    """Whether a quote speaks of the kind of bar that it is given for; a statement of fairness never does. Unknown kinds need none of these words."""
-    text = text_of(quote)
-    spoken = F.lit(True)
-    for name, words in BAR_WORDS.items():
-        spoken = F.when(kind == name, text.rlike(f"(?i){words}")).otherwise(spoken)
-    return spoken & ~F.lower(text).rlike(FAIRNESS)
+def graduation_supported(year: Column, quote: Column) -> Column:
+    """Whether a quote states the year and speaks of graduating, not of a programme's name."""
+    return year.isNull() | (year_in(year, quote) & says(quote, P.GRADUATION))
 
 
-def graduation_supported(year: Column, quote: Column) -> Column:
-    """Whether a quote states the year, as a whole number, and speaks of graduating; an unstated year needs no quote."""
-    text = F.lower(text_of(quote))
-    return year.isNull() | (F.array_contains(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), year.cast("string")) & text.rlike("graduat|class of|degree|final.year"))
+def student_supported(stated: Column, quote: Column) -> Column:
+    """Whether a yes is about who may apply, and not about whom the role serves."""
+    return ~(F.coalesce(stated, F.lit(False)) & says(quote, P.STUDENTS_SERVED))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

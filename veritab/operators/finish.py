@@ -1,51 +1,84 @@
-"""Postings' facts after the quote check: corrected from the text in a fixed order, with a count of what each step changed."""
+"""Postings' facts: the quote check, then corrections from the text in a fixed order, with a count of what each step changed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract, resolvers
-from ..functions.text import text_of
+from ..functions import extract, resolvers, stated
+from ..functions import phrases as P
+from ..functions.text import fold, text_of
+
+#: What changes() counts.
+STEPS = ("quotes", "years_set", "years_cleared", "bars", "student", "level", "field")
 
-STEPS = ("years", "bars", "student", "level", "field")
 
+def check(df: DataFrame, title: str = "title", body: str = "description") -> DataFrame:
+    """df with facts cleared whose quote stands in neither the title nor the text, or doesn't support them; quotes_rejected: whether any was.
 
-def range_low(quote: Column) -> Column:
-    """The low end of a range of years in a quote; null without one, or with a low end that is not the smaller."""
-    bounds = lambda i: F.nullif(F.regexp_extract(F.lower(text_of(quote)), "(?<![0-9.])([0-9]{1,2})(?:\\.[0-9]+)?\\s*(?:-|\\u2013|\\u2014|to)\\s*([0-9]{1,2})(?:\\.[0-9]+)?\\s*\\+?\\s*(?:years?|yrs?|yoe)\\b", i), F.lit("")).cast("int")
-    return F.when(bounds(1) < bounds(2), bounds(1))
+    Facts: level, years_required, student_only, graduation_year and field, each
+    with its quote (level_quote and so on; years_quote, student_quote,
+    graduation_quote), and bars (kind, quote); null columns may be missing.
+    """
+    texts = [fold(F.col(title)), fold(F.col(body))]
 
+    def stands(quote: Column) -> Column:
+        q = fold(quote)
+        return (q != "") & (F.contains(texts[0], q) | F.contains(texts[1], q))
 
-def resolved_years(stated: Column, quote: Column, text: Column) -> Column:
-    """Years asked for: the low end of the range that the answer quotes (none if that is 0), null where the quote speaks of a most or an age, else the answer's, else the text's."""
-    low = range_low(quote)
-    most = F.lower(text_of(quote)).rlike("\\b(up to|no more than|at most|max(imum)?( of)?|under|less than)\\b[^.;]{0,20}[0-9]|[0-9]\\s*years?( old| of age)")
-    return F.when(stated.isNull(), extract.years_stated(text)["n"]).when(most, F.lit(None)).when(low.isNotNull() & (low < stated), F.nullif(low, F.lit(0))).otherwise(stated)
+    named = {"level": "level_quote", "years_required": "years_quote", "student_only": "student_quote", "graduation_year": "graduation_quote", "field": "field_quote"}
+    also = {"student_only": resolvers.student_supported, "graduation_year": resolvers.graduation_supported}
+    made, rejected = {}, F.lit(False)
+    for fact, quote in named.items():
+        if fact not in df.columns or quote not in df.columns:
+            continue
+        ok = stands(F.col(quote))
+        if fact in also:
+            ok = ok & also[fact](F.col(fact), F.col(quote))
+        made |= {fact: F.when(ok, F.col(fact)), quote: F.when(ok, F.col(quote)).otherwise("")}
+        rejected = rejected | (~ok & (F.col(fact).isNotNull() | (text_of(F.col(quote)) != "")))
+    bars = F.coalesce("bars", F.array().cast(resolvers.BARS))
+    kept = F.filter(bars, lambda b: stands(b["quote"]) & resolvers.bar_supported(b["kind"], b["quote"]))
+    return df.withColumns(made | {"bars": kept, "quotes_rejected": rejected | (F.size(kept) < F.size(bars))})
 
 
-def resolved_row(title: Column, quote: Column, stated: Column, rows, least_words: int = 2) -> Column:
-    """A level or field: what the title says, else what a quote of some words says, else the answer's."""
-    told = F.when(F.size(F.split(F.trim(text_of(quote)), "\\s+")) >= least_words, extract.first_row(quote, rows))
-    return F.coalesce(extract.first_row(title, rows), told, stated)
+def resolved_row(title: Column, quote: Column, said: Column, rows, least_words: int = 2) -> tuple[Column, Column]:
+    """A level or field and where it is from: what the title says; else the answer's, where its quote has two words; else what such a quote says."""
+    in_title = extract.first_row(title, rows)
+    enough = F.size(F.filter(F.split(F.trim(text_of(quote)), "\\s+"), lambda w: w != "")) >= least_words
+    told = F.when(enough, F.coalesce(said, extract.first_row(quote, rows)))
+    return F.coalesce(in_title, told), F.when(in_title.isNotNull(), "title").when(told.isNotNull(), "text").otherwise("none")
 
 
 def finish(df: DataFrame, title: str = "title", body: str = "description") -> DataFrame:
-    """df (years_required, years_quote, bars, student_only, level, level_quote, field, field_quote: checked facts) with them corrected and changed: the steps that changed something, in order."""
+    """df (checked facts: years_required, years_quote, bars, student_only, student_quote, level, level_quote, field, field_quote) with them corrected, level_source, and changed: what the steps did, in order."""
     t, b = F.col(title), F.col(body)
-    new: dict[str, tuple[str, Callable[[], Column]]] = {
-        "years": ("years_required", lambda: resolved_years(F.col("years_required"), F.col("years_quote"), b)),
-        "bars": ("bars", lambda: resolvers.resolve_bars(F.coalesce("bars", F.array().cast("array<struct<kind:string,quote:string>>")), F.concat_ws(". ", t, b))),
-        "student": ("student_only", lambda: resolvers.resolve_student(F.col("student_only"), b)),
-        "level": ("level", lambda: resolved_row(t, F.col("level_quote"), F.col("level"), extract.LEVELS)),
-        "field": ("field", lambda: resolved_row(t, F.col("field_quote"), F.col("field"), extract.FIELDS)),
-    }
-    before = {column: F.col(f"__was_{column}") for column, _ in new.values()}
-    df = df.withColumns({f"__was_{c}": F.col(c) for c in before}).withColumns({c: make() for c, make in new.values()})
-    changed = F.array_compact(F.array(*[F.when(F.size(F.array_except(F.transform("bars", lambda x: x["kind"]), F.coalesce(F.transform(before["bars"], lambda x: x["kind"]), F.array().cast("array<string>")))) > 0 if c == "bars" else ~F.col(c).eqNullSafe(before[c]), F.lit(step)) for step, (c, _) in new.items()]))
-    return df.withColumn("changed", changed).drop(*[f"__was_{c}" for c in before])
+    none = F.lit(None).cast("string")
+    column = lambda name, otherwise: F.col(name) if name in df.columns else otherwise
+    df = df.withColumn("__read", stated.read(t, b, F.col("years_required"), F.col("years_quote")))
+    read = F.col("__read")
+    student = resolvers.resolve_student(F.col("student_only"), column("student_quote", none), read)
+    # Of a title with an analytic word, "other" is no field.
+    field_said = F.when((F.col("field") == "other") & extract.says(t, P.ANALYTIC_TITLE), none).otherwise(F.col("field"))
+    field_quote = F.when((F.col("field") == "other") & extract.says(t, P.ANALYTIC_TITLE), F.lit("")).otherwise(F.col("field_quote"))
+    level, source = resolved_row(t, F.col("level_quote"), F.col("level"), extract.LEVELS)
+    field, field_source = resolved_row(t, field_quote, field_said, extract.FIELDS)
+    bars = F.coalesce("bars", F.array().cast(resolvers.BARS))
+    by_title = lambda is_from, quote: F.when(is_from == "title", F.left(t, F.lit(stated.QUOTE))).when(is_from == "text", quote).otherwise("")
+    new = {
+        "years_required": read["years"].cast("int"), "years_quote": read["years_quote"], "bars": resolvers.resolve_bars(bars, read), "student_only": student["value"], "student_quote": student["quote"],
+        "level": level, "level_source": source, "level_quote": by_title(source, F.col("level_quote")), "field": field, "field_quote": by_title(field_source, field_quote),
+    }
+    was = {c: F.col(f"__was_{c}") for c in ("years_required", "bars", "student_only", "level", "field")}
+    df = df.withColumns({f"__was_{c}": F.col(c) for c in was}).withColumns(new)
+    kinds = lambda c: F.transform(F.coalesce(c, F.array().cast(resolvers.BARS)), lambda x: x["kind"])
+    years = F.col("years_required")
+    did = {
+        "quotes": column("quotes_rejected", F.lit(False)), "years_set": years.isNotNull() & ~years.eqNullSafe(was["years_required"]), "years_cleared": years.isNull() & was["years_required"].isNotNull(),
+        "bars": F.size(F.array_except(kinds(F.col("bars")), kinds(was["bars"]))) > 0, "student": ~F.col("student_only").eqNullSafe(was["student_only"]), "level": ~F.col("level").eqNullSafe(was["level"]), "field": ~F.col("field").eqNullSafe(was["field"]),
+    }
+    changed = F.array_compact(F.array(*[F.when(did[s], F.lit(s)) for s in STEPS]))
+    return df.withColumn("changed", changed).drop("__read", *[f"__was_{c}" for c in was])
 
 
 def changes(finished: DataFrame) -> DataFrame:

@@ -11,16 +11,51 @@ from pyspark.sql import functions as F
 from .guard import check_quotes, parse_answers
 from .rules import decide
 
-CASE = "id string, text string, fields map<string,string>, tags array<string>, expect struct<facts: map<string, map<string, string>>, outcome: string>, model_facts string, as_of date, offline_only boolean, note string"
+CASE = "id string, text string, fields map<string,string>, tags array<string>, expect struct<facts: map<string, map<string, string>>, outcome: string>, model_facts string, as_of date, offline_only boolean, note string, open_defect string"
 
 
 def read_cases(spark: SparkSession, path: str, texts: list[str], heldout: bool = False) -> DataFrame:
     """Cases of JSON lines (# begins a comment): id, texts, tags, expect, model_facts, as_of, heldout, source (file:line). `text` stands for the first field. A line that is no JSON is an error that names it."""
     lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     lines = lines.filter((F.trim("line") != "") & ~F.startswith(F.ltrim("line"), F.lit("#"))).withColumn("source", F.concat_ws(":", "file", F.col("at") + 1))
+    return _cases(lines, texts, heldout)
+
+
+def _cases(lines: DataFrame, texts: list[str], heldout: bool) -> DataFrame:
     df = lines.withColumn("c", F.from_json("line", CASE)).select("source", "c.*")
     text = lambda i, t: F.coalesce(F.col("fields")[t], F.col("text") if i == 0 else F.lit(""), F.lit(""))
-    return df.select("id", *[text(i, t).alias(t) for i, t in enumerate(texts)], F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "expect", "model_facts", "as_of", F.lit(heldout).alias("heldout"), "source")
+    return df.select("id", *[text(i, t).alias(t) for i, t in enumerate(texts)], F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "expect", "model_facts", "as_of", F.coalesce("open_defect", F.lit("")).alias("open_defect"), F.coalesce("offline_only", F.lit(False)).alias("offline_only"), F.lit(heldout).alias("heldout"), "source")
+
+
+def read_yaml_cases(spark: SparkSession, path: str, texts: list[str], heldout: bool = False) -> DataFrame:
+    """read_cases() of a YAML file: a list of cases, or a mapping with one under `cases`; source names the line on which a case begins. Graded cases are written by hand, so a file of them is read on the driver."""
+    import json
+
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        data, node = yaml.safe_load(text) or [], yaml.compose(text)
+    except yaml.YAMLError as e:
+        raise ValueError(f"{path}: {e}") from e
+    if isinstance(data, dict):
+        data, node = data.get("cases") or [], next((v for k, v in node.value if k.value == "cases"), None)
+    lines = [n.start_mark.line + 1 for n in node.value] if data else []
+    rows = []
+    for at, case in zip(lines, data, strict=True):
+        if not isinstance(case, dict) or "id" not in case:
+            raise ValueError(f"{path}:{at}: a case needs an id")
+        if extra := sorted(set(case) - {"id", "text", "fields", "tags", "expect", "model_facts", "as_of", "offline_only", "note", "open_defect"}):
+            raise ValueError(f"{path}:{at}: unknown {', '.join(extra)}")
+        rows.append((f"{path}:{at}", json.dumps(case, default=str, ensure_ascii=False)))
+    return _cases(spark.createDataFrame(rows, "source string, line string"), texts, heldout)
+
+
+def load_cases(spark: SparkSession, paths: list[str], texts: list[str], heldout: list[str] = ()) -> DataFrame:
+    """Cases of all files, by their endings YAML or JSON lines; those of the second list are held out."""
+    read = lambda p, held: (read_yaml_cases if p.endswith((".yaml", ".yml")) else read_cases)(spark, p, texts, held)
+    return reduce(DataFrame.unionByName, [*[read(p, False) for p in paths], *[read(p, True) for p in heldout]])
 
 
 def check_cases(cases: DataFrame, specs: dict[str, dict], outcomes: frozenset[str]) -> DataFrame:
@@ -141,3 +176,39 @@ def report_markdown(name: str, cases: DataFrame) -> str:
         out += [f"| {title} | {' | '.join(states)} |", "|---" * (len(states) + 1) + "|"]
         out += [f"| {r.k} | {' | '.join(str(r[s]) for s in states)} |" for r in rows.agg(*counts).orderBy("k").collect()] + [""]
     return "\n".join(out).rstrip() + "\n"
+
+
+def headline(model: str, repeats: int, pass_at_1: float) -> list[str]:
+    """The figures of a run that a text about it should quote."""
+    return [f"`{model}`, {repeats} runs", f"pass@1 {pass_at_1:.0%}"]
+
+
+def not_quoted(text: str, figures: list[str]) -> list[str]:
+    """The figures that a text doesn't quote."""
+    return [f for f in figures if f not in text]
+
+
+def unexpected(states: DataFrame, cases: DataFrame) -> DataFrame:
+    """Cases whose state is not what their mark says: a failure without an open defect, or a pass with one."""
+    both = states.join(cases.select("id", "open_defect"), "id")
+    marked = F.col("open_defect") != ""
+    return both.filter((~marked & (F.col("state") != "pass")) | (marked & (F.col("state") == "pass")))
+
+
+def compare_markdown(moves: DataFrame) -> str:
+    """How cases moved between two runs: counts, and the cases that broke or were fixed."""
+    rows = moves.groupBy("move").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("move").isin("broke", "fixed"), F.col("case").cast("string")))).alias("ids")).orderBy("move").collect()
+    return "\n".join(["| Move | Cases | Which |", "|---|---|---|", *[f"| {r['move']} | {r.n} | {', '.join(r.ids)} |" for r in rows]]) + "\n"
+
+
+def case_params(spark: SparkSession, project, path: str) -> list:
+    """A project's cases as parameters of a test, each with its state by its own answer; a case with an open defect is expected to fail. Cases without an answer are left out."""
+    import pytest
+
+    cases = load_cases(spark, [path], project.texts).filter("model_facts is not null")
+    rows = offline(cases, project, dt.date.today()).select("id", "result", "fact_misses", "outcome_miss", "open_defect").orderBy("id").collect()
+    return [pytest.param(r, id=r.id, marks=[pytest.mark.xfail(strict=True, reason=r.open_defect)] if r.open_defect else []) for r in rows]
+
+
+def assert_case(row) -> None:
+    assert row.result == "pass", f"{row.id}: {', '.join(row.fact_misses)} {row.outcome_miss or ''}"

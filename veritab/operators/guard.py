@@ -50,7 +50,8 @@ def quoted(fact: Column, folded_texts: Column, kind: str) -> Column:
 
 def check_quotes(df: DataFrame, specs: dict[str, dict], texts: list[str]) -> DataFrame:
     """df with facts whose quotes don't hold cleared; list entries that don't hold are dropped."""
-    df = df.withColumn("__texts", F.array(*[fold(F.col(t)) for t in texts]))
+    # Without facts there is nothing to look up, and the texts stay unfolded.
+    df = df.withColumn("__texts", F.when(F.col("facts").isNotNull(), F.array(*[fold(F.col(t)) for t in texts])))
     made = []
     for name, spec in specs.items():
         fact = F.col(f"facts.{name}")

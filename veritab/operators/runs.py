@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .guard import check_quotes, parse_answers
@@ -29,28 +31,74 @@ def breaker(calls: DataFrame, ordinal: str, failed: Column, streak: int) -> Data
     return ends.groupBy("end").agg(F.count("*").alias("n")).filter(F.col("n") >= streak).agg(F.min("end").alias("trip"))
 
 
-def run(items: DataFrame, answers: DataFrame, specs: dict[str, dict], rules: RuleSet, as_of: dt.date, texts: list[str], exclude=(), require=(), max_calls: int = 100, resolvers=()) -> DataFrame:
+def run(items: DataFrame, answers: DataFrame, specs: dict[str, dict], rules: RuleSet, as_of: dt.date, texts: list[str], exclude=(), require=(), max_calls: int = 100, resolvers=(), breaker_after: int = 0, max_seconds: float = 0) -> DataFrame:
     """Decides every item from recorded answers.
 
-    items: id, ordinal (total order) and texts; answers: id, line, raw (JSON).
-    Adds status (filtered, deferred, error or decided), outcome, rule, quotes,
-    reason, facts. An item without an answer, or with an invalid one, is an
-    error; beyond max_calls items are deferred. resolvers: functions of a
-    DataFrame with facts, checked again after.
+    items: id, ordinal (total order) and texts; answers: id, line, raw (JSON),
+    and perhaps error (the call failed) and started (seconds since the first
+    call). Adds status (filtered, deferred, error or decided), outcome, rule,
+    quotes, reason, facts. An item without an answer, with a failed call or with
+    an invalid answer is an error. Items are deferred after breaker_after failed
+    calls in a row, beyond max_calls, and where the call began at max_seconds or
+    later; the reason is the first of these. 0: no such limit. resolvers:
+    functions of a DataFrame with facts, checked again after; one that sets
+    resolver_error makes its item an error.
     """
     df = items.withColumn("reason", prefilter_reason([F.col(t) for t in texts], exclude, require))
-    called = df.filter("reason is null").select("id", "ordinal")
-    df = df.join(in_first(called, "id", [F.col("ordinal")], max_calls).filter("within").select(F.col("id").alias("__called")), F.col("id") == F.col("__called"), "left")
-    df = df.join(last_answers(answers).withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").drop("__id")
+    calls = in_first(df.filter("reason is null").select("id", "ordinal"), "id", [F.col("ordinal")], max_calls).filter("within").select(F.col("id").alias("__called"), "ordinal")
+    extra = [c for c in ("error", "started") if c in answers.columns]
+    last = answers.groupBy("id").agg(F.max_by(F.struct("raw", *extra), "line").alias("__a"))
+    calls = calls.join(last, F.col("__called") == F.col("id"), "left").drop("id")
+    stopped = F.lit(None).cast("string")
+    if "started" in extra and max_seconds:
+        stopped = F.when(F.col("__a.started") >= max_seconds, "time limit")
+    if "error" in extra and breaker_after:
+        # The calls are at most max_calls, so they may be numbered.
+        calls = calls.withColumn("__n", F.row_number().over(Window.orderBy("ordinal")))
+        trip = breaker(calls, "__n", F.col("__a.error").isNotNull(), breaker_after)
+        calls = calls.withColumn("__trip", trip.scalar())
+        stopped = F.when(F.col("__n") > F.col("__trip"), "breaker").otherwise(stopped)
+    calls = calls.select("__called", stopped.alias("__stopped"), F.when(stopped.isNull(), F.col("__a.raw")).alias("raw"), (F.when(stopped.isNull(), F.col("__a.error")) if "error" in extra else F.lit(None).cast("string")).alias("__failed"))
+    df = df.join(calls, F.col("id") == F.col("__called"), "left")
     df = check_quotes(parse_answers(df, specs), specs, texts)
     for resolve in resolvers:
         df = check_quotes(resolve(df), specs, texts)
     df = decide(df, rules, as_of)
-    status = F.when(F.col("reason").isNotNull(), "filtered").when(F.col("__called").isNull(), "deferred").when(F.col("raw").isNull() | F.col("invalid"), "error").otherwise("decided")
+    broke = F.col("resolver_error") if "resolver_error" in df.columns else F.lit(None).cast("string")
+    put_off = F.col("__called").isNull() | F.col("__stopped").isNotNull()
+    status = F.when(F.col("reason").isNotNull(), "filtered").when(put_off, "deferred").when(F.col("raw").isNull() | F.col("invalid") | broke.isNotNull(), "error").otherwise("decided")
     df = df.withColumn("status", status)
-    reason = F.when(F.col("status") == "deferred", "call ceiling").when((F.col("status") == "error") & F.col("raw").isNull(), "no recorded answer").when(F.col("status") == "error", "invalid answer").otherwise(F.col("reason"))
+    deferred, error = F.col("status") == "deferred", F.col("status") == "error"
+    reason = F.when(deferred, F.coalesce("__stopped", F.lit("call ceiling"))).when(error & F.col("__failed").isNotNull(), F.col("__failed")).when(error & F.col("raw").isNull(), "no recorded answer").when(error & broke.isNotNull(), broke).when(error, "invalid answer").otherwise(F.col("reason"))
     done = F.col("status") == "decided"
-    return df.withColumns({"reason": reason} | {c: F.when(done, F.col(c)) for c in ("outcome", "rule", "quotes", "facts")}).drop("__called", "raw", "invalid")
+    df = df.withColumns({"reason": reason} | {c: F.when(done, F.col(c)) for c in ("outcome", "rule", "quotes", "facts")})
+    return df.drop("__called", "__stopped", "__failed", "raw", "invalid", "resolver_error")
+
+
+def each_item(function: Callable[[dict, dict], dict], texts: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A resolver from a function of one item's texts and facts that returns facts. What it raises is that item's resolver_error and costs no other."""
+    import json
+
+    def resolve(df: DataFrame) -> DataFrame:
+        kind = df.schema["facts"].dataType
+
+        def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                out = []
+                for row in rows.itertuples(index=False):
+                    try:
+                        out.append((row[0], json.dumps(function(dict(zip(texts, row[2:], strict=True)), json.loads(row[1]))), None))
+                    except Exception as e:
+                        out.append((row[0], None, f"{type(e).__name__} after the answer: {e}"))
+                yield pd.DataFrame(out, columns=["__id", "__facts", "__error"])
+
+        sent = df.filter("facts is not null and raw is not null").select("id", F.to_json("facts", {"ignoreNullFields": "false"}), *[F.col(t).cast("string") for t in texts])
+        made = sent.mapInPandas(run_batches, "__id string, __facts string, __error string")
+        both = df.join(made, F.col("id").cast("string") == F.col("__id"), "left")
+        before = F.col("resolver_error") if "resolver_error" in df.columns else F.lit(None).cast("string")
+        return both.withColumns({"facts": F.when(F.col("__facts").isNotNull(), F.from_json("__facts", kind)).otherwise(F.col("facts")), "resolver_error": F.coalesce(before, F.col("__error"))}).drop("__id", "__facts", "__error")
+
+    return resolve
 
 
 def stats(results: DataFrame) -> DataFrame:

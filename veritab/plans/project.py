@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runs
+from ..operators.judging import plugin
 from ..operators.rules import ALLOWED, FactType, Rule, RuleSet, histogram
 from ..sources import readers
+from ..sources.fetching import read_stdin
 
 SCALARS = ("number", "integer", "text", "bool", "date", "enum")
-READERS = ("jsonl", "csv", "folder", "plugin")
+READERS = ("jsonl", "csv", "folder", "stdin", "plugin")
 #: Readers by name, for items that no built-in reader reads: functions of a session and the items' part of the file.
 PLUGINS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
 _KEYS = {"name", "items", "prefilter", "facts", "rules", "default_outcome", "model", "cache", "resolvers", "dangerous"}
@@ -184,10 +186,13 @@ def read_items(spark: SparkSession, project: Project) -> DataFrame:
         df = readers.read_csv(spark, _at(project, i[kind]))
     elif kind == "folder":
         df = readers.read_folder(spark, _at(project, i[kind]), texts[0])
+    elif kind == "stdin":
+        df = read_stdin(spark, key, texts, i.get("meta", []))
     else:
-        if i[kind] not in PLUGINS:
-            raise ProjectError(f"items: no reader {i[kind]}; known: {', '.join(sorted(PLUGINS)) or 'none'}")
-        df = PLUGINS[i[kind]](spark, i)
+        try:
+            df = plugin("reader", i[kind], PLUGINS)(spark, i)
+        except ValueError as e:
+            raise ProjectError(f"items: {e}") from e
     named = df.select(F.col(key).cast("string").alias("id"), F.monotonically_increasing_id().alias("ordinal"), *[F.coalesce(F.col(t).cast("string"), F.lit("")).alias(t) for t in texts], *[F.col(m) for m in i.get("meta", [])])
     return readers.unique_ids(named)
 
@@ -195,7 +200,7 @@ def read_items(spark: SparkSession, project: Project) -> DataFrame:
 def run_project(project: Project, items: DataFrame, answers: DataFrame, as_of: dt.date) -> DataFrame:
     """Every item with one status, outcome and rule; answers: id, line, raw."""
     p = project.prefilter
-    return runs.run(items, answers, project.specs, project.rules, as_of, project.texts, p.get("exclude_any") or (), p.get("require_any") or (), project.model.get("max_calls", 100), project.resolvers)
+    return runs.run(items, answers, project.specs, project.rules, as_of, project.texts, p.get("exclude_any") or (), p.get("require_any") or (), project.model.get("max_calls", 100), project.resolvers, project.model.get("breaker", 0), 60 * project.model.get("max_minutes", 0))
 
 
 def summary(project: Project, results: DataFrame) -> str:

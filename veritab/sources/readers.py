@@ -72,6 +72,7 @@ class Board:
     posted: tuple[str, ...] = ()
     remote: tuple[str, ...] = ()
     joined_location: bool = False
+    spare_location: str = ""
     uk_dates: bool = False
 
 
@@ -85,6 +86,7 @@ BOARDS = {
     "workday": Board("$.jobPostings", ("externalPath",), ("title",), ("externalPath",), ("locationsText",)),
     "adzuna": Board("$.results", ("id",), ("title",), ("redirect_url",), ("location.display_name",), ("company.display_name",), ("description",), ("created",)),
     "reed": Board("$.results", ("jobId",), ("jobTitle",), ("jobUrl",), ("locationName",), ("employerName",), ("jobDescription",), ("date",), uk_dates=True),
+    "workable_search": Board("$.jobs", ("id",), ("title",), ("url",), ("location.city", "location.subregion", "location.countryName"), ("company.title",), ("description", "requirementsSection"), ("created",), ("workplace",), joined_location=True, spare_location="locations[0]"),
     "jooble": Board("$.jobs", ("id",), ("title",), ("link",), ("location",), ("company",), ("snippet",), ("updated",)),
 }
 
@@ -100,8 +102,10 @@ def postings(payloads: DataFrame, kind: str, label: Column | None = None) -> Dat
         return F.coalesce(*found, F.lit("")) if found else F.lit("")
 
     place = F.concat_ws(", ", *[F.nullif(F.get_json_object("__row", f"$.{p}"), F.lit("")) for p in board.location]) if board.joined_location else first(board.location)
+    if board.spare_location:
+        place = F.coalesce(F.nullif(place, F.lit("")), first((board.spare_location,)))
     posted = F.try_to_timestamp(first(board.posted), F.lit("dd/MM/yyyy")).cast("date") if board.uk_dates else iso_date(first(board.posted))
-    remote = F.lower(first(board.remote)).isin("true", "1") | F.lower(F.concat_ws(" ", place, first(board.title))).rlike("\\bremote\\b")
+    remote = F.lower(first(board.remote)).isin("true", "1", "remote") | F.lower(F.concat_ws(" ", place, first(board.title))).rlike("\\bremote\\b")
     out = df.select(F.lit(kind).alias("source"), F.coalesce(F.nullif(first(board.company), F.lit("")), label if label is not None else F.lit("")).alias("company"), first(board.title).alias("title"), place.alias("location"), first(board.url).alias("url"), first(board.description).alias("description"), posted.alias("posted"), remote.alias("remote"), first(board.raw_id).alias("raw_id"))
     return out.filter("title <> '' and url <> ''")
 

@@ -32,8 +32,11 @@ class Table:
         at = self.version()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{at}") if at else self.spark.createDataFrame([], self.schema)
 
-    def commit(self, rows: DataFrame) -> int:
+    def commit(self, rows: DataFrame, expected: int | None = None) -> int:
+        """Writes the next version. expected: the version that rows were made from; if another run has written since, this one is refused."""
         at = self.version() + 1
+        if expected is not None and expected != at - 1:
+            raise Locked(f"{self.path} is at version {at - 1}, not {expected}")
         rows.write.mode("overwrite").parquet(f"{self.path}/v{at}")
         self.spark.range(1).select(F.lit(at).alias("version")).coalesce(1).write.mode("append").parquet(f"{self.path}/CURRENT")
         return at
@@ -167,14 +170,118 @@ def window_since(rows: DataFrame, mark: Column, modified: str = "lastmod", slack
     return rows.filter(F.col(modified).isNull() | (F.col(modified) >= F.date_sub(mark, slack_days)))
 
 
-def emit_once(stream: DataFrame, key: str, output: str, checkpoint: str, state: Table, now: dt.date):
-    """A streaming query that appends each key's first row to output, then commits the state. A batch that is run again replaces its own output, so a crash between the two repeats no row."""
+class Log:
+    """Keys in a folder, a part for each batch that brought them: written once, never rewritten."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of earlier batches."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            rows = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.schema)
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+
+def emit_once(stream: DataFrame, key: str, output: str, checkpoint: str, log: Log, now: dt.date):
+    """A streaming query that writes each key's first row to output, and then its key to the log.
+
+    A batch is held against the keys of earlier batches only, and replaces its
+    own output and keys. So one that is run again, wherever the first run
+    stopped, gives the same rows: none is repeated and none is lost.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        fresh = unseen(df.dropDuplicates([key]), state.read(), key)
+        fresh = unseen(df.dropDuplicates([key]), log.read(before=number), key)
         path = f"{output.rstrip('/')}/batch={number}"
         fresh.drop("days_away").write.mode("overwrite").parquet(path)
-        done = df.sparkSession.read.parquet(path).select(F.col(key), F.lit(now).alias("last_seen"))
-        state.commit(state.read().unionByName(done))
+        log.put(df.sparkSession.read.parquet(path).select(F.col(key), F.lit(now).alias("last_seen")), number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def days_off(scanned: DataFrame, seen: DataFrame, now: Column, gap_days: int, title: str = "title", key: str = "uid") -> DataFrame:
+    """uid and days_away of seen postings of yearly programmes that no scan has listed for more than gap_days; one a key. A last_seen that is no time brings nothing back."""
+    from ..functions.extract import is_programme
+
+    then = F.col("__last").try_cast("timestamp")
+    old = seen.select(F.col(key).alias("__key"), F.col("last_seen").cast("string").alias("__last"))
+    both = scanned.filter(is_programme(F.col(title))).join(old, F.col(key) == F.col("__key")).filter(then < now - F.make_dt_interval(F.lit(gap_days)))
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
+    return both.groupBy(key).agg(F.max(F.floor(seconds / 86400)).cast("int").alias("days_away"))
+
+
+def appended(history: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A history with a run's rows; a row of the same keys is replaced, so a run that is recorded twice counts once."""
+    return merge(history, rows, keys)
+
+
+def kept_days(retention: int, cache_days: int) -> int:
+    """Days that an answer is kept: never fewer than it may be used; 0 keeps all."""
+    return 0 if 0 in (retention, cache_days) else max(retention, cache_days)
+
+
+def prune_report(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """Rows removed from each table, one row a table."""
+    count = lambda tables, n: [t.agg(F.count("*").alias(n)).withColumn("table", F.lit(k)) for k, t in tables.items()]
+    unite = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(unite(parts[1:]))
+    return unite(count(before, "had")).join(unite(count(after, "has")), "table").select("table", (F.col("had") - F.col("has")).alias("removed"))
+
+
+def with_known_names(marks: DataFrame, pages: DataFrame) -> DataFrame:
+    """marks (url, state, company, title) with the company and title of the page kept for a url where the mark gives none."""
+    known = pages.groupBy(F.col("url").alias("__url")).agg(*[F.max(F.nullif(F.col(c), F.lit(""))).alias(f"__{c}") for c in ("company", "title")])
+    both = marks.join(known, F.col("url") == F.col("__url"), "left")
+    return both.select("url", "state", *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}"), F.lit("")).alias(c) for c in ("company", "title")])
+
+
+class Locked(RuntimeError):
+    """Another run writes to the same state."""
+
+
+class TooNew(RuntimeError):
+    """The state was written by a later version of the library."""
+
+
+def run_lock(spark: SparkSession, path: str):
+    """A context in which this run alone writes to a folder of state: a file that can be created only once, on any file system that Spark writes to."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def held():
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/LOCK")
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at.getParent())
+        if not files.createNewFile(at):
+            raise Locked(f"{path} is in use; delete {at} if its run is gone")
+        try:
+            yield
+        finally:
+            files.delete(at, False)
+
+    return held()
+
+
+def migrated(rows: DataFrame, version: int, steps: list) -> DataFrame:
+    """Rows of an older layout brought to the newest, step by step; steps[i] takes layout i to i + 1. A layout that is newer than all steps is refused."""
+    if version > len(steps):
+        raise TooNew(f"layout {version}; this library knows layouts up to {len(steps)}")
+    for step in steps[version:]:
+        rows = step(rows)
+    return rows
+
+
+def record_scan(table: Table, shown: DataFrame, recorded: DataFrame, output: str, counters: DataFrame | None = None, dry: bool = False) -> dict[str, DataFrame]:
+    """Ends a scan: its output first, then what it has seen, merged; a dry run writes neither. Returns the tables as they are after it, or would be: seen, and counters without the keys that were dealt with."""
+    seen = upsert_seen(table.read(), recorded)
+    if not dry:
+        finish_run(table, seen, shown, output)
+        seen = table.read()
+    return {"seen": seen} | ({"counters": forget(counters, recorded)} if counters is not None else {})
