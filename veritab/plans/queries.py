@@ -131,11 +131,6 @@ def keyword_score(spark, sf_dir):
     return scored.select("doc_id", "keyword_score", F.size("blocker_hits").alias("n_blockers"))
 
 
-@query("""SELECT s_suppkey, contains(' ' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' supplier 000000007 ') AS agency, n_name IN ('NATION_1', 'NATION_10', 'NATION_11', 'NATION_12', 'NATION_13', 'NATION_14', 'NATION_15', 'NATION_16', 'NATION_17', 'NATION_18', 'NATION_19') AS located FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
-def agency_and_location(spark, sf_dir):
-    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return both.select("s_suppkey", screening.run_of_words(F.col("s_name"), ["Supplier 000000007"]).alias("agency"), F.contains(F.lower("n_name"), F.lit("nation_1")).alias("located"))
-
 
 @query("SELECT s_suppkey, left(sha256(lower(s_name || '|' || n_name)), 16) AS uid, left(sha256(lower(s_name)), 8) AS short FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def uid_hash(spark, sf_dir):
@@ -161,11 +156,6 @@ def near_dup_bucketed(spark, sf_dir):
     return screening.merge_near(jobs).select("uid", "company", "title")
 
 
-@query("""SELECT p_partkey, lower(replace(p_brand, '#', ' ')) AS company, 'oslo' AS city, list_aggregate(list_sort(list_distinct(list_transform(string_split(p_name || ' gears', ' '), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END))), 'string_agg', ' ') AS words FROM part""")
-def dedup_keys(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", X.company_key(F.concat("p_brand", F.lit(" Ltd. | makers"))).alias("company"), X.city_key(F.lit("UK, Greater Oslo Area, Norway")).alias("city"), F.array_join(X.title_words(F.concat("p_name", F.lit(" gears"))), " ").alias("words"))
-
 
 @query("SELECT doc_id, CASE WHEN n_chars >= 2000 THEN 'candidate' WHEN trim(text) = '' THEN 'thin' ELSE 'reject' END AS gate FROM documents")
 def gate_three_way(spark, sf_dir):
@@ -177,23 +167,6 @@ def call_ceiling(spark, sf_dir):
     return screening.in_first(table(spark, sf_dir, "orders"), "o_orderkey", [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100).select("o_orderkey", "within")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'rule' WHEN l_discount > 0.08 THEN 'pushed under' WHEN l_quantity < 3 THEN 'thin' WHEN l_tax > 0.06 THEN 'near' END AS hidden FROM lineitem WHERE l_returnflag = 'R' OR l_discount > 0.08 OR l_quantity < 3 OR l_tax > 0.06")
-def hidden_labels(spark, sf_dir):
-    label = F.when(F.col("l_returnflag") == "R", "rule").when(F.col("l_discount") > 0.08, "pushed under").when(F.col("l_quantity") < 3, "thin").when(F.col("l_tax") > 0.06, "near")
-    return table(spark, sf_dir, "lineitem").withColumn("hidden", label).filter("hidden is not null").select("l_orderkey", "l_linenumber", "hidden")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate IS NULL OR o_orderdate >= DATE '1998-01-01' - 365 OR o_orderpriority = '5-LOW'")
-def stale_filter(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    fresh = F.col("o_orderdate").isNull() | (F.col("o_orderdate").cast("date") >= F.date_sub(F.lit(AS_OF), 365)) | (F.col("o_orderpriority") == "5-LOW")
-    return o.filter(fresh).select("o_orderkey")
-
-
-@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), '\\b(economy)\\b') THEN 'intern' WHEN regexp_matches(lower(p_type), '\\b(large|promo)\\b') THEN 'senior' END AS level, CASE WHEN regexp_matches(lower(p_name), '\\b(gear|bolt)s?\\b') THEN 'metal' WHEN regexp_matches(lower(p_name), '\\b(ring)\\b') THEN 'jewel' END AS field FROM part")
-def level_and_field(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", extract.first_row(F.col("p_type"), (("intern", "economy"), ("senior", "large|promo"))).alias("level"), extract.first_row(F.col("p_name"), (("metal", "(gear|bolt)s?"), ("jewel", "ring"))).alias("field"))
 
 
 # Quotes and answers.
@@ -212,18 +185,6 @@ def numbers_in_text(spark, sf_dir):
     return df.select("doc_id", F.size("l").alias("n"), F.when(F.size("l") > 0, F.aggregate("l", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
-@query("SELECT o_orderkey, o_totalprice > 100 AS kept FROM orders")
-def number_in_quote_check(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    quote = F.concat(F.lit("total due £"), F.format_number("o_totalprice", 2))
-    return o.select("o_orderkey", X.number_in(F.col("o_totalprice"), quote).alias("kept"))
-
-
-@query("SELECT o_orderkey, year(o_orderdate) = 1997 AS right_year, true AS no_year FROM orders")
-def year_in_quote(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.year_agrees(day, F.lit("due 3 May 1997, ref 11997")).alias("right_year"), X.year_agrees(day, F.lit("due in May")).alias("no_year"))
-
 
 SPECS = {"amount": {"type": "number"}, "status": {"type": "enum", "values": ["O", "F"]}}
 ANSWER_RULES = RuleSet({"amount": FactType("facts.amount.value", "number", quote="facts.amount.quote"), "status": FactType("facts.status.value", "enum", quote="facts.status.quote")}, [Rule("big", {"amount": {"gt": 250000}}, "hold"), Rule("open", {"status": {"is": "O"}}, "wait")], "pay")
@@ -261,11 +222,6 @@ def circuit_breaker(spark, sf_dir):
     return runs.breaker(table(spark, sf_dir, "events"), "event_id", F.col("event_type") == "error", 3)
 
 
-@query("SELECT conv_id, string_agg('## ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
-def multi_field_items(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"])), "\n\n").alias("prompt"))
-
 
 # State.
 

@@ -178,19 +178,6 @@ def source_reports(spark, sf_dir):
 # Facts and keys.
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 14 AND p_size % 2 = 0 THEN p_size WHEN p_size % 2 = 1 AND p_size <= 40 THEN CASE WHEN p_size > 2 THEN 2 ELSE p_size END WHEN p_size % 2 = 1 THEN NULL END AS years_required, p_type LIKE 'LARGE%' AS student_only FROM part""")
-def finished_facts(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    size = F.col("p_size")
-    odd = size % 2 == 1
-    nothing = F.lit(None).cast("string")
-    facts = p.select(
-        "p_partkey", F.col("p_name").alias("title"), F.concat(F.lit("We ask for "), size.cast("string"), F.lit(" years. "), F.when(F.startswith("p_type", F.lit("LARGE")), "For students only.").otherwise("Graduates are welcome.")).alias("description"),
-        F.when(odd, size).alias("years_required"), F.when(odd, F.when(size <= 40, F.lit("2-50 years")).otherwise("up to 50 years")).alias("years_quote"), F.lit(None).cast("array<struct<kind:string,quote:string>>").alias("bars"),
-        F.lit(None).cast("boolean").alias("student_only"), nothing.alias("level"), nothing.alias("level_quote"), nothing.alias("field"), nothing.alias("field_quote"),
-    )
-    return finish.finish(facts).select("p_partkey", "years_required", "student_only")
-
 
 @query("""SELECT doc_id, left(sha256(CAST(to_json([['source', source], ['lang', lang]]) AS VARCHAR)), 16) || ':f:replay:m' AS key FROM documents""")
 def answer_keys(spark, sf_dir):
