@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; parts of a piece up to so many are kept.
-SHORT = 32
-#: Entries of a task's memo of encoded units; beyond, it starts anew.
-MEMO = 200_000
+#: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; the encodings of parts of a piece up to so many are kept.
+SHORT, KEPT = 32, 6
+#: Entries of a worker's memo of encoded units, and of its memos of parts and of pairs; beyond, each starts anew.
+MEMO, PARTS = 300_000, 120_000
 #: Bytes of text in an output batch.
 OUT_BYTES = 4 << 20
 
@@ -94,7 +94,7 @@ class Codec:
         """The encoding of the bytes of two tokens."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > MEMO:
+            if len(self.pairs) > PARTS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merge(self.token[left] + self.token[right])
         return found
@@ -107,6 +107,11 @@ class Codec:
         """The encoding of two neighbours from their own encodings."""
         if not a or not b:
             return a or b
+        l, r = a[-1], b[0]
+        inner = self.pairs.get((l, r)) or self.window(l, r)
+        if inner[0] == l and len(inner) == 2:
+            # The boundary stays, and so does all else: every pair of neighbours encodes to itself.
+            return a + b
         width = 1
         while True:
             left, right = max(0, len(a) - width), min(len(b), width)
@@ -122,8 +127,8 @@ class Codec:
         if found is None:
             half = len(piece) // 2
             found = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
-            if len(piece) <= SHORT:
-                if len(self.parts) > MEMO:
+            if len(piece) <= KEPT:
+                if len(self.parts) > PARTS:
                     self.parts.clear()
                 self.parts[piece] = found
         return found
@@ -166,8 +171,8 @@ class _Memo(dict):
 
     def __missing__(self, unit: str) -> bytes:
         codec = self.codec
-        # ASCII letters alone are one piece, and so is one mark after them.
-        if not unit.isascii():
+        # Letters alone are one piece, and so is one mark after them. Beyond the Latin blocks two versions of Unicode may disagree on what a letter is.
+        if max(unit) >= "\u0250":
             found = codec.unit(self.lead + unit)
         elif unit.isalpha():
             found = b"".join(map(codec.packed.__getitem__, codec.piece((self.lead + unit).encode())))
@@ -195,10 +200,11 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     broadcast: a vocabulary's size does not follow the data.
     """
     with open(rank_file, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+        # A worker keeps what it has loaded of a broadcast, and so its codec and memos, from task to task.
+        kept = docs.sparkSession.sparkContext.broadcast({"ranks": f.read()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(raw.value), pattern)
+        codec = kept.value.get(pattern) or kept.value.setdefault(pattern, Codec(load_ranks(kept.value["ranks"]), pattern))
         out: list[tuple] = []
         size = 0
 
