@@ -13,6 +13,7 @@ import pytest
 from tests.conftest import SF
 from pyspark.sql import functions as F
 
+from veritab.llm.components import with_group
 from veritab.llm import bpe, jaccard, katz, language, mixing, pii, quality, substrings
 
 from .conftest import docs_of
@@ -147,7 +148,10 @@ def test_jaccard(docs, corpus):
     for x, (i, _) in enumerate(sets):
         least[find(x)] = min(least[find(x)], i)
     want = sorted((i, len(s), least[find(x)], degree[x]) for x, (i, s) in enumerate(sets))
-    assert sorted(tuple(r) for r in jaccard.similar_sets(docs).collect()) == want
+    rows = jaccard.similar_sets(docs).collect()
+    assert sorted(tuple(r)[:4] for r in rows) == want
+    # One component_key a component, none for empty sets.
+    assert len({r.component_key for r in rows if r.n_shingles}) == len({find(x) for x, (_, s) in enumerate(sets) if s}) and all(r.component_key is None for r in rows if not r.n_shingles)
 
 
 def test_divide_skip_finds_every_pair():
@@ -161,9 +165,31 @@ def test_divide_skip_finds_every_pair():
 
 
 def test_large_clusters_are_searched_in_tiles(spark, docs, monkeypatch):
-    whole = sorted(map(tuple, jaccard.similar_sets(docs).collect()))
+    four = lambda: sorted(tuple(r)[:4] for r in jaccard.similar_sets(docs).collect())
+    whole = four()
     monkeypatch.setattr(jaccard, "BLOCK", 4)
-    assert sorted(map(tuple, jaccard.similar_sets(docs).collect())) == whole
+    assert four() == whole
+    monkeypatch.setattr(jaccard, "GROUPED", 1)
+    assert four() == whole
+
+
+def test_a_percolating_cluster_is_searched_by_cells(spark, monkeypatch):
+    """A chain of documents that share passages, most of them not similar; each set goes to the cells of its own posted shingles only."""
+    import random
+
+    rng = random.Random(7)
+    passages = [[f"p{i}w{k}" for k in range(30)] for i in range(81)]
+    texts = [" ".join(passages[i] + passages[i + 1]) for i in range(80)]
+    texts += [t.replace(t.split()[-1 - rng.randrange(2)], "changed") for t in texts[::5]]
+    df = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    four = lambda: sorted(tuple(r)[:4] for r in jaccard.similar_sets(df).collect())
+    whole = four()
+    assert sum(r[3] > 0 for r in whole) == 32 and len({r[2] for r in whole}) == 80
+    seen = []
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "GROUPED", 0)
+    monkeypatch.setattr(jaccard, "with_group", lambda rows, *a: seen.append(rows.columns) or with_group(rows, *a))
+    assert four() == whole and ["v", "root", "g", "groups", "cell"] in seen
 
 
 def test_mixing(docs, corpus):

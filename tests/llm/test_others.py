@@ -251,6 +251,18 @@ def test_pipeline(spark):
     assert len(C.STAGES) == 5 and C.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
 
 
+def test_one_row_stays_of_each_group(spark, corpus):
+    """Rows without id, and rows that share an id but not their text, are judged by row."""
+    import corpus_pipeline as C
+
+    from .conftest import docs_of
+
+    text, near, other = "one two three four five six seven eight nine ten " * 6, "one two three four five six seven eight nine ten " * 6 + "x", "quite another text of its own with some more words in it"
+    rows = [(None, text, "en", "a"), (None, text, "en", "a"), (9, near, "en", "a"), (5, other, "en", "b"), (5, text, "en", "c"), (None, other + " y", "fr", "b"), (7, "", "en", "a"), (7, "", "en", "a"), (8, None, "en", "a")]
+    got = sorted(((r.doc_id, r.text) for r in C.unique(spark, docs_of(spark, rows), SF).collect()), key=str)
+    assert got == sorted([(5, text), (5, other), (7, ""), (7, ""), (8, None)], key=str)
+
+
 def test_stages_take_odd_documents(spark, corpus):
     import corpus_pipeline as C
 

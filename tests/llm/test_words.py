@@ -73,3 +73,17 @@ def test_each_bucket_has_a_partition_of_its_own(spark, n):
     assert sorted(spark_hash(keys).astype(np.int64) % n) == list(range(n))
     got = spark.createDataFrame([(int(k),) for k in keys], "k int").select(F.hash("k").alias("h")).collect()
     assert [r.h for r in got] == spark_hash(keys).tolist()
+
+
+def test_tables_go_when_they_are_no_longer_needed(spark, monkeypatch):
+    from veritab.llm import _packed
+
+    before = _packed.made()
+    first, second = (_packed.written(spark.range(3)) for _ in range(2))
+    kept = _packed._made[-1]
+    assert _packed.made() == before + 2 and _packed.discard(spark, before, (kept,)) == 1
+    assert second.count() == 3 and _packed.made() == before + 1
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://host:7077", raising=False)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="share"):
+            _packed.shared_dir(spark)

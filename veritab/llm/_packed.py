@@ -309,11 +309,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
-    """Deletes the tables that written() has made and no result needs any more; the number deleted. What was returned lazily from them must have been written before."""
-    gone = [p for p in _made if p not in keep]
+def made() -> int:
+    """How many tables written() has made so far."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, after: int, keep: tuple[str, ...] = ()) -> int:
+    """Deletes the tables made since made() was `after`, but those to keep; the number deleted. What was made from them lazily must have been written before."""
+    gone = [p for p in _made[after:] if p not in keep]
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made[:] = [p for p in _made if p in keep]
+    _made[after:] = [p for p in _made[after:] if p in keep]
     return len(gone)

@@ -11,7 +11,10 @@ packed messages (see _packed), equal sets counting once: a shingle with one
 set can't be shared, and a document with fewer than T shared shingles has no
 partner. The remaining documents post their rarest shingles; documents that
 meet there, directly or through others, form clusters. Clusters are searched
-whole, large ones in tiles of two blocks.
+whole, large ones in tiles of two blocks. One that is larger still, as chains of
+shared passages make, is searched by the posted shingles themselves: a set goes
+to the cells of its own, so its copies are bounded by its own length and not by
+the cluster's; a pair that meets in several cells counts in the first.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .components import components, with_group
 WORDS, PERCENT = 5, 80
 #: Documents of a tile's block, and of a task that searches small clusters.
 BLOCK = 1024
+#: Blocks from which on a cluster is searched by cells, and cells to a block.
+GROUPED, CELLS = 32, 64
 #: Weight of the long lists' share; the larger, the fewer lists are set aside.
 MU = 0.01
 
@@ -36,7 +41,7 @@ _U = np.uint64
 _ASK = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("length", pa.binary())])
 _ASK_SQL, _ANSWER_SQL = "slot int, bucket int, chunk int, keys binary, sets binary", "chunk int, bucket int, length binary"
-_SETS = "doc_id long, n long, v long, shared array<long>, rare int"
+_SETS = "doc_id long, text_key long, n long, v long, shared array<long>, rare int"
 _LINKS = "v long, root long, links long"
 
 
@@ -131,7 +136,7 @@ def _survivors(docs: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(kinds, kind="stable")
         shared.append(hashes[order[np.searchsorted(kinds[order], 1) :]].view(np.int64))
     rare = np.maximum(count - needed(sets.size) + 1, 0)
-    return pa.table({"doc_id": docs["doc_id"], "n": pa.array(sets.size), "v": pa.array(sets.digest.view(np.int64)), "shared": pa.array(shared, pa.list_(pa.int64())), "rare": pa.array(rare, pa.int32())})
+    return pa.table({"doc_id": docs["doc_id"], "text_key": docs["text_key"], "n": pa.array(sets.size), "v": pa.array(sets.digest.view(np.int64)), "shared": pa.array(shared, pa.list_(pa.int64())), "rare": pa.array(rare, pa.int32())})
 
 
 def divide_skip(size: np.ndarray, shared: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -176,13 +181,15 @@ def divide_skip(size: np.ndarray, shared: list[np.ndarray], side: np.ndarray | N
 
 def _search(table: pa.Table) -> pa.Table:
     """Searches the clusters and tiles of a task; a row for each document with links there: a tree edge, and links counted with copies."""
-    table = table.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("v", "ascending")])
-    key = np.stack([table[c].to_numpy() for c in ("root", "i", "j")])
+    names = ("root", "g", "i", "j")
+    table = table.sort_by([(c, "ascending") for c in (*names, "v")])
+    key = np.stack([table[c].to_numpy() for c in names])
     cuts = np.append(np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))), key.shape[1])
     out: list[tuple[int, int, int]] = []
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = table.slice(a, b - a)
-        v, size, copies, block = (part[c].to_numpy() for c in ("v", "n", "copies", "block"))
+        v, size, copies, block, rare = (part[c].to_numpy() for c in ("v", "n", "copies", "block", "rare"))
+        groups, own = int(part["groups"][0].as_py()), int(key[1, a])
         flat = part["shared"].combine_chunks()
         values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
         shared = [values[x:y] for x, y in zip(offsets, offsets[1:], strict=False)]
@@ -193,8 +200,13 @@ def _search(table: pa.Table) -> pa.Table:
                 parent[x] = x = parent[parent[x]]
             return x
 
+        def first_meeting(x: int, y: int, shared=shared, rare=rare, groups=groups, own=own) -> bool:
+            return not groups or int(np.intersect1d(shared[x][: rare[x]] % groups, shared[y][: rare[y]] % groups).min()) == own
+
         links = np.zeros(len(v), np.int64)
-        for x, y in divide_skip(size, shared, None if key[1, a] == key[2, a] else block):
+        for x, y in divide_skip(size, shared, None if key[2, a] == key[3, a] else block):
+            if not first_meeting(x, y):
+                continue
             links[x] += copies[y]
             links[y] += copies[x]
             p, q = find(x), find(y)
@@ -207,15 +219,17 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     """Links documents whose sets of five-word shingles are similar to 0.8 or more.
 
     docs: columns doc_id and text; others are ignored. A row for each row:
-    doc_id, n_shingles, component_id (the smallest doc_id reachable by links)
-    and n_links (documents linked with this one, copies included). Texts are
+    doc_id, n_shingles, component_id (the smallest doc_id reachable by links),
+    n_links (documents linked with this one, copies included), text_key (a hash
+    of the text) and component_key (one for all rows of a component, also for
+    those without doc_id; null for empty sets). Texts are
     lower-cased (A-Z). With fewer than five words the whole sequence is the one
     shingle; without words, or null, the set is empty and linked with nothing.
     Rows of the same doc_id are documents each. Rows without doc_id link as
     others do but name no component; one of such rows alone has none (null).
     """
     chunks, buckets = shares(docs)
-    texts = chunked(docs, chunks)
+    texts = chunked(docs, chunks, F.xxhash64("text").alias("text_key"))
     asked = texts.groupBy("chunk").applyInArrow(lambda t: _send(t, buckets), _ASK_SQL)
     answers = asked.groupBy("slot").applyInArrow(_lengths, _ANSWER_SQL)
     rows = written(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_survivors, _SETS))
@@ -226,20 +240,31 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     lists = posted.groupBy("shingle").agg(F.min("v").alias("m"), F.count("*").alias("c")).filter("c > 1").select("shingle", "m")
     clusters = components(posted.join(lists, "shingle").select(F.col("v").alias("a"), F.col("m").alias("b")))
     clusters = written(clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct()))
-    clusters = with_group(clusters, clusters.count(), "root", F.col("node"), F.count("*"), F.sum, "__n").withColumn("blocks", F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int")).drop("__n")
-    tasks = max(1, sets.count() // BLOCK)
-    placed = sets.join(written(clusters.withColumnRenamed("node", "v")).hint("merge"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    clusters = with_group(clusters, clusters.count(), "root", F.col("node"), F.count("*"), F.sum, "__n")
+    clusters = written(clusters.select(F.col("node").alias("v"), "root", F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    none = F.lit(0).cast("long")
+    cells = clusters.filter(F.col("blocks") <= GROUPED).select("v", "root", none.alias("g"), none.alias("groups"), "blocks")
+    large = clusters.filter(F.col("blocks") > GROUPED).withColumn("groups", F.col("blocks").cast("long") * CELLS).drop("blocks")
+    n_cells = sets.count()
+    if not large.isEmpty():
+        at = posted.join(large.hint("merge"), "v").select("v", "root", F.pmod("shingle", F.col("groups")).alias("g"), "groups").distinct()
+        at = written(at.withColumn("cell", F.xxhash64("root", "g")))
+        n_cells += at.count()
+        at = with_group(at, n_cells, "cell", F.col("v"), F.count("*"), F.sum, "__n").filter("__n > 1")
+        cells = cells.unionByName(at.select("v", "root", "g", "groups", F.ceil(F.col("__n") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    tasks = max(1, n_cells // BLOCK)
+    placed = sets.join(written(cells).hint("merge"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "i", "j"))
-    found = written(placed.select(task.alias("task"), "root", "i", "j", "block", "v", "n", "copies", "shared").groupBy("task").applyInArrow(_search, _LINKS))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root", "g"), F.lit(tasks))).otherwise(F.xxhash64("root", "g", "i", "j"))
+    found = written(placed.select(task.alias("task"), "root", "g", "groups", "i", "j", "block", "v", "n", "copies", "rare", "shared").groupBy("task").applyInArrow(_search, _LINKS))
     labels = components(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
     labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
     labels = written(labels.join(classes.select(F.col("v").alias("node"), "least").hint("merge"), "node"))
     named = with_group(labels, labels.count(), "root", F.col("node"), F.min("least"), F.min, "component")
     linked = found.groupBy("v").agg(F.sum("links").alias("links"))
-    each = classes.join(written(named.select(F.col("node").alias("v"), "component")).hint("merge"), "v", "left").join(linked.hint("merge"), "v", "left")
+    each = classes.join(written(named.select(F.col("node").alias("v"), "component", "root")).hint("merge"), "v", "left").join(linked.hint("merge"), "v", "left")
     # Written, so that the last join has an exchange on either side and Spark can split the rows of a large group of copies.
-    each = written(each.select("v", F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(each.hint("merge"), "v", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    each = written(each.select("v", F.coalesce("root", "v").alias("root"), F.coalesce("component", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    out = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("v")).alias("v")).join(each.hint("merge"), "v", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_key", F.col("root").alias("component_key"))

@@ -11,6 +11,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words without repeats of 20 words and more, as counts and a digest."""
     from .substrings import remove_repeats
 
     out = remove_repeats(_table(spark, sf_dir, "documents"))
@@ -18,12 +19,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability by a Katz model of the others, and by the base model."""
     from .katz import score
 
     return score(_table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids, and the bytes that they decode to, as digests."""
     import public_tokenizers
 
     from .bpe import encode_decode
@@ -33,18 +36,21 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's component of similar ones."""
     from .jaccard import similar_sets
 
-    return similar_sets(_table(spark, sf_dir, "documents"))
+    return similar_sets(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
     from .mixing import mix_sources
 
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's main language, by models of the labelled ones that aren't held out."""
     from .language import held_out, identify, train
 
     docs = _table(spark, sf_dir, "documents")
@@ -53,12 +59,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's main text."""
     from .pages import extract_main_text
 
     return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's personal data: base matches counted and digested, and all spans."""
     from .pii import KINDS, find_personal_data, joined
 
     out = find_personal_data(_table(spark, sf_dir, "documents"))
@@ -71,6 +79,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's measures, the base rules' verdict and the table's."""
     from .quality import quality_rules
 
     out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,12 +87,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each hundredth one."""
     from .neighbours import nearest
 
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of corpus_pipeline.run()."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
