@@ -189,10 +189,31 @@ def not_quoted(text: str, figures: list[str]) -> list[str]:
 
 
 def unexpected(states: DataFrame, cases: DataFrame) -> DataFrame:
-    """Cases whose state is not what their mark says: a failure without an open defect, or a pass with one."""
+    """Cases whose state breaks a build, and why: one that could not be graded, a failure without an open defect, or a pass with one."""
     both = states.join(cases.select("id", "open_defect"), "id")
-    marked = F.col("open_defect") != ""
-    return both.filter((~marked & (F.col("state") != "pass")) | (marked & (F.col("state") == "pass")))
+    marked, state = F.col("open_defect") != "", F.col("state")
+    why = F.when(state == "inconclusive", "inconclusive").when(marked & (state == "pass"), "passes: remove its open_defect").when(~marked & state.isin("fail", "flaky"), state)
+    return both.withColumn("why", why).filter("why is not null")
+
+
+def harness_misses(value: Column, values: Column, rule: Column, expect: Column) -> Column:
+    """Why a finished fact (value, or values of a list) and a rule miss what a case of a harness expects: expect has value, value_max, value_in, rule and rule_not; null ones are not expected."""
+    number = lambda c: c.try_cast("double")
+    wrong = {
+        "value": expect["value"].isNotNull() & ~value.eqNullSafe(expect["value"]), "value_max": expect["value_max"].isNotNull() & F.coalesce(number(value) > number(expect["value_max"]), F.lit(False)),
+        "value_in": expect["value_in"].isNotNull() & ~F.arrays_overlap(F.coalesce(values, F.array().cast("array<string>")), expect["value_in"]),
+        "rule": expect["rule"].isNotNull() & ~rule.eqNullSafe(expect["rule"]), "rule_not": expect["rule_not"].isNotNull() & rule.eqNullSafe(expect["rule_not"]),
+    }
+    return F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in wrong.items()]))
+
+
+def save_run(spark: SparkSession, path: str, attempts: DataFrame, meta: dict, page: str) -> None:
+    """A graded run: its attempts as JSON lines, what it was, and its report."""
+    import json
+
+    attempts.write.mode("overwrite").json(f"{path}/attempts")
+    spark.createDataFrame([(json.dumps(meta, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/run")
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
 
 
 def compare_markdown(moves: DataFrame) -> str:

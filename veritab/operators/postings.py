@@ -26,9 +26,37 @@ class Limits:
     max_years: int | None = None
     skip_fields: tuple[str, ...] = ()
     nationalities: tuple[str, ...] = ()
+    #: Employers for which the rule on fields is left out.
+    exempt: tuple[str, ...] = ()
     least_score: int = 55
 
 
+def company_exempt(company: Column, exempt: tuple[str, ...]) -> Column:
+    """Whether an exempt name stands in a company's as a run of whole words, case and accents aside. Names of other scripts count; one without a word exempts nothing."""
+    from ..functions.resolvers import plain_words
+
+    name = F.concat(F.lit(" "), F.array_join(plain_words(text_of(company)), " "), F.lit(" "))
+    out = F.lit(False)
+    for words in filter(None, (" ".join(_plain(e)) for e in exempt)):
+        out = out | F.contains(name, F.lit(f" {words} "))
+    return out
+
+
+def _plain(text: str) -> list[str]:
+    import re
+    import unicodedata
+
+    folded = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).casefold())
+    return re.findall(r"\w+", "".join(ch for ch in folded if not unicodedata.combining(ch)))
+
+
+def overlaid(judged: DataFrame, capped: DataFrame, columns: list[str], key: str = "uid") -> DataFrame:
+    """judged with the columns of capped rows in place of theirs."""
+    new = capped.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+    both = judged.join(new, F.col(key) == F.col("__key"), "left")
+    return both.select(*[F.when(F.col("__key").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in judged.columns])
+
+
 def _own(quote: Column, nationalities: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for n in nationalities:
@@ -58,7 +86,8 @@ def verdict(df: DataFrame, limits: Limits) -> DataFrame:
     if limits.max_years is not None:
         fires.append(("years", F.col("years_required") > limits.max_years))
     if limits.skip_fields:
-        fires.append(("field", F.col("field").isin(*limits.skip_fields)))
+        exempt = company_exempt(F.col("company"), limits.exempt) if limits.exempt else F.lit(False)
+        fires.append(("field", F.col("field").isin(*limits.skip_fields) & ~exempt))
     rule = F.when(hard | (F.size(bars) > 0), F.lit("hard_bar"))
     for name, test in fires:
         rule = rule.when(F.coalesce(test, F.lit(False)), F.lit(name))

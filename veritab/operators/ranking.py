@@ -59,9 +59,10 @@ def charged(penalties: Column, weights: dict[str, int]) -> Column:
 def hidden_list(hidden: DataFrame, most: int | None, groups: list[str]) -> DataFrame:
     """Hidden rows (group, reason, score, company, title, url) in the order of groups, and within one by company and title; in_group and in_all count all rows before the cut to the `most` best by score."""
     counts = hidden.groupBy("group").agg(F.count("*").alias("in_group"))
+    # A row for each group that was named, and one for others: as many as the groups.
     kept = hidden if most is None else hidden.orderBy(F.desc("score"), F.lower("company"), F.lower("title"), "url").limit(most)
     at = F.coalesce(F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("group")), F.lit(0))
-    return kept.join(F.broadcast(counts), "group").withColumn("group_rank", F.when(at > 0, at).otherwise(len(groups) + 1)).orderBy("group_rank", "group", F.lower("company"), F.lower("title"), "url")
+    return kept.join(counts, "group").withColumn("group_rank", F.when(at > 0, at).otherwise(len(groups) + 1)).orderBy("group_rank", "group", F.lower("company"), F.lower("title"), "url")
 
 
 def within_budget(cards: DataFrame, room: int, place: str = "place", full: str = "full_bytes", line: str = "line_bytes") -> DataFrame:
@@ -75,6 +76,25 @@ def within_budget(cards: DataFrame, room: int, place: str = "place", full: str =
     return df.withColumn("form", F.when(F.col("__ok"), "full").when(F.col("__spent") <= room, "line").otherwise("left out")).drop("__full", "__ok", "__spent")
 
 
+def fitted(rows: DataFrame, room: int, size: str = "bytes", place: str = "place") -> DataFrame:
+    """The first rows, in order, whose sizes fit the room together. One window over a report's rows, not over the input."""
+    so_far = F.sum(size).over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__so_far", so_far).filter(F.col("__so_far") <= room).drop("__so_far")
+
+
+def most_common(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """Each value with how often it stands, the most frequent first, ties in the order of their first rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first")).orderBy(F.desc("n"), "first")
+
+
+def run_note(judged: Column, shown: Column, deferred: Column, failed: Column) -> Column:
+    """One sentence on how a run went."""
+    return (
+        F.when(judged == 0, "Nothing new was found.").when(failed == judged, "Nothing could be judged.").when(shown == 0, F.format_string("%d judged, none to read.", judged))
+        .otherwise(F.concat(F.format_string("%d of %d to read", shown, judged), F.when(deferred > 0, F.format_string(", %d put off", deferred)).otherwise(""), F.lit(".")))
+    )
+
+
 def outcome_counts(judged: DataFrame, least_score: int) -> DataFrame:
     """One row: how many were shown, put off by reason, caught by a rule, or too low with nothing else to say so; the counts are disjoint."""
     caught = F.col("rule").isNotNull() | F.col("is_blocked")

@@ -52,6 +52,15 @@ def run_of_words(text: Column, terms) -> Column:
     return _any(tests) if tests else F.lit(False)
 
 
+def location_ok(location: Column, remote: Column, p: Profile) -> Column:
+    """Whether a posting's place fits: none is asked for, it can be done from anywhere, it states none, or it holds one that is asked for."""
+    if not p.locations:
+        return F.lit(True)
+    place = F.lower(text_of(location))
+    fits = (place == "") | _any([F.contains(place, F.lit(x.lower())) for x in p.locations])
+    return fits | F.coalesce(remote, F.lit(False)) if p.remote_ok else fits
+
+
 def keyword_score(df: DataFrame, p: Profile, title="title", body="description", company="company", location="location", remote="remote") -> DataFrame:
     """df with keyword_score, keyword_hits, keyword_penalties and blocker_hits.
 
@@ -76,10 +85,7 @@ def keyword_score(df: DataFrame, p: Profile, title="title", body="description",
         score = score - F.when(hit, F.lit(p.agency_penalty)).otherwise(F.lit(0))
         costs.append(F.when(hit, F.lit("posted by an agency")))
     if p.locations:
-        place = F.lower(text_of(has(location)))
-        fits = (place == "") | _any([F.contains(place, F.lit(x.lower())) for x in p.locations])
-        if p.remote_ok and remote in df.columns:
-            fits = fits | F.coalesce(F.col(remote), F.lit(False))
+        fits = location_ok(has(location), F.col(remote) if remote in df.columns else F.lit(False), p)
         score = score - F.when(fits, F.lit(0)).otherwise(F.lit(p.location_penalty))
         costs.append(F.when(~fits, F.lit("location mismatch")))
     bars = [F.when(has_term(blob, t), F.lit(t)) for t in p.hard] + [F.when(run_of_words(has(location), [t]), F.lit(f"location: {t}")) for t in p.excluded_locations]

@@ -440,3 +440,89 @@ def states_of_attempts(spark, sf_dir):
     one = t.select("doc_id", F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("outcome"))
     two = t.select("doc_id", F.when((F.col("quality") == 1) != (F.col("toxic") == 1), "pass").otherwise("fail").alias("outcome"))
     return evaluation.case_states(one.unionByName(two), "doc_id").select("doc_id", "state")
+
+
+# Small parts of reports and postings.
+
+
+@query("""SELECT o_orderkey, o_orderkey % 4 IN (1, 2, 3) AS remote, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS modified, 'Blocked: says "' || CASE WHEN length(o_orderpriority) <= 8 THEN o_orderpriority ELSE rtrim(left(o_orderpriority, 7)) || '…' END || '"' AS reason, ['b', 'a'] AS terms FROM orders""")
+def posting_parts(spark, sf_dir):
+    """Places that mean anywhere, dates of sitemaps, reasons that end in a cut quote, and terms in their first order."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    place = _nth((("Oslo", 0), ("Remote, UK", 0), ("Work from home", 0), ("Anywhere", 0)), 0, n)
+    raw = F.when(n % 3 == 0, F.date_format("o_orderdate", " yyyy-MM-dd'T'HH:mm")).when(n % 3 == 1, F.lit("soon"))
+    return o.select("o_orderkey", X.is_remote(place, F.lit("Clerk")).alias("remote"), X.lastmod_date(raw).alias("modified"), X.quote_reason(F.lit("Blocked: says "), F.col("o_orderpriority"), 24).alias("reason"), X.in_order(F.array(F.lit("b"), F.lit("a"), F.lit("b"), F.lit("c")), 2).alias("terms"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 4 <> 3 AS fits, s_suppkey = 7 AS exempt FROM supplier""")
+def place_and_employer(spark, sf_dir):
+    """Whether a place fits, and whether an employer is exempt from a rule."""
+    from ..operators import postings, screening
+
+    profile = screening.Profile({}, locations=("oslo",))
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    place = _nth((("Greater OSLO", 0), (None, 0), ("Rome", 0), ("Rome", 0)), 0, k)
+    return s.select("s_suppkey", screening.location_ok(place, k % 4 == 2, profile).alias("fits"), postings.company_exempt(F.concat(F.lit("Ünited "), "s_name"), ("united Supplier#000000007", "***")).alias("exempt"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'digest_cap' ELSE c_mktsegment END AS deferred FROM customer""")
+def overlaid_rows(spark, sf_dir):
+    from ..operators import postings
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("deferred"))
+    return postings.overlaid(c, c.filter("c_custkey % 4 = 0").withColumn("deferred", F.lit("digest_cap")), ["deferred"], "c_custkey")
+
+
+@query("""SELECT place FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS place, sum(length(c_mktsegment)) OVER (ORDER BY c_custkey) AS t FROM customer WHERE c_custkey < 500) WHERE t <= 1000""")
+def fitted_rows(spark, sf_dir):
+    """The rows of a report that fit its room."""
+    c = table(spark, sf_dir, "customer").filter("c_custkey < 500")
+    return ranking.fitted(c.select((F.col("c_custkey") + 1).alias("place"), F.length("c_mktsegment").alias("bytes")), 1000).select("place")
+
+
+@query("""SELECT o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1""")
+def most_common(spark, sf_dir):
+    return ranking.most_common(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority"), "priority", "o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS n FROM orders""")
+def harness_grades(spark, sf_dir):
+    """Finished facts against the expectations of a harness: equal, at most, one of, a rule, and not a rule."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    k, none = n % 6, F.lit(None).cast("string")
+    expect = F.struct(F.when(k == 1, "4").when(k == 0, "5").alias("value"), F.when(k == 2, "4").when(k == 5, "5").alias("value_max"), F.when(k == 3, F.array(F.lit("x"))).alias("value_in"), none.alias("rule"), F.when(k == 4, "level").alias("rule_not"))
+    return o.select("o_orderkey", F.size(grading.harness_misses(F.lit("5"), F.array(F.lit("y")), F.lit("level"), expect)).alias("n"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Nothing new was found.' WHEN 1 THEN 'Nothing could be judged.' WHEN 2 THEN '9 judged, none to read.' WHEN 3 THEN '4 of 9 to read, 2 put off.' ELSE '4 of 9 to read.' END AS note FROM nation""")
+def run_notes(spark, sf_dir):
+    t, k = table(spark, sf_dir, "nation"), F.col("n_nationkey") % 5
+    judged = F.when(k == 0, 0).otherwise(9)
+    return t.select("n_nationkey", ranking.run_note(judged, F.when(k >= 3, 4).otherwise(0), F.when(k == 3, 2).otherwise(0), F.when(k == 1, 9).otherwise(0)).alias("note"))
+
+
+def _service(method, url, params, body, headers):
+    """A board without a network: three pages of 20 rows, 45 in all; one query's second page fails, another's paging isn't honoured."""
+    import json
+
+    from ..sources.connectors import HttpError
+
+    if params["what"] == "down" or (params["what"] == "half" and not url.endswith("/1")):
+        raise HttpError(url, 404, "status 404")
+    page = 1 if params["what"] == "stuck" else int(url.rsplit("/", 1)[1])
+    rows = [{"id": f"{params['what']}{i}", "title": f"Clerk {i}", "redirect_url": "http://x", "location": {"display_name": "Oslo"}} for i in range(45)][(page - 1) * 20 : page * 20]
+    return json.dumps({"results": rows, "count": 45})
+
+
+@query("""SELECT 5 AS pages, 4 AS queries, 1 AS failed, 'down: failed: 404; half: page 2 failed, 20 read: 404; stuck: a page repeated rows, 20 read' AS notes""")
+def paged_queries(spark, sf_dir):
+    """Queries of a search service, page by page; what fails or repeats is noted, and the rest is kept."""
+    from ..sources import connectors
+
+    api = dict(connectors.APIS)
+    try:
+        connectors.APIS["adzuna"] = connectors.Api(api["adzuna"].url, {"what": "{query}"}, rows="results", count="count", size=20)
+        pages = connectors.payloads(spark, fetching.Entry("adzuna", "gb", options={"queries": ["all", "half", "stuck", "down"], "pages": 9}), _service)
+    finally:
+        connectors.APIS.update(api)
+    return connectors.page_reports(pages).select(F.col("pages").cast("int"), F.col("queries").cast("int"), F.col("failed").cast("int"), "notes")

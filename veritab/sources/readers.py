@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import iso_date, text_of
+from ..functions.text import is_remote, iso_date, text_of
 
 
 def unique_ids(df: DataFrame, key: str = "id") -> DataFrame:
@@ -105,7 +105,7 @@ def postings(payloads: DataFrame, kind: str, label: Column | None = None) -> Dat
     if board.spare_location:
         place = F.coalesce(F.nullif(place, F.lit("")), first((board.spare_location,)))
     posted = F.try_to_timestamp(first(board.posted), F.lit("dd/MM/yyyy")).cast("date") if board.uk_dates else iso_date(first(board.posted))
-    remote = F.lower(first(board.remote)).isin("true", "1", "remote") | F.lower(F.concat_ws(" ", place, first(board.title))).rlike("\\bremote\\b")
+    remote = F.lower(first(board.remote)).isin("true", "1", "remote") | is_remote(place, first(board.title))
     out = df.select(F.lit(kind).alias("source"), F.coalesce(F.nullif(first(board.company), F.lit("")), label if label is not None else F.lit("")).alias("company"), first(board.title).alias("title"), place.alias("location"), first(board.url).alias("url"), first(board.description).alias("description"), posted.alias("posted"), remote.alias("remote"), first(board.raw_id).alias("raw_id"))
     return out.filter("title <> '' and url <> ''")
 

@@ -42,6 +42,32 @@ class Table:
         return at
 
 
+    def put(self, rows: DataFrame, keys: list[str]) -> int:
+        """Commits the table with rows put in by key."""
+        at = self.version()
+        return self.commit(merge(self.read(), rows.select(*self.read().columns), keys), expected=at)
+
+
+def record_answers(answers: DataFrame, path: str) -> None:
+    """Appends answers (id, raw), kept ones included, as JSON lines, so a run that stops half way keeps what it paid for."""
+    answers.select("id", "raw").write.mode("append").json(path)
+
+
+def backup(table: Table, folder: str, day: dt.date, keep: int) -> list[str]:
+    """Copies a table's current version to a folder of the day, and deletes all copies but the newest `keep`; the names of those left. The copy is read back and counted before any is deleted."""
+    spark, rows = table.spark, table.read()
+    to = f"{folder.rstrip('/')}/{day.isoformat()}"
+    rows.write.mode("overwrite").parquet(to)
+    if spark.read.schema(table.schema).parquet(to).count() != rows.count():
+        raise OSError(f"{to}: the copy is not whole")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in files.listStatus(at))
+    for name in names[: -max(keep, 1)]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+    return names[-max(keep, 1) :]
+
+
 def unseen(scanned: DataFrame, seen: DataFrame, key: str = "uid", reopen_days: int | None = None, now: Column | None = None, reopens: Column | None = None) -> DataFrame:
     """Rows whose key was never seen; with reopen_days also those for which reopens holds and that were away longer. Adds days_away."""
     old = seen.select(F.col(key).alias("__key"), F.col("last_seen").alias("__last"))
