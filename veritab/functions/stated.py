@@ -63,6 +63,17 @@ READINGS = {
 }
 
 
+#: Words of which one stands in every text that a reading's shapes match.
+HINTS = {
+    "graduates": ("graduat", "completed"), "students": ("penultimate", "currently", "first", "1st", "returning", "students"), "years": ("year", "yr", "experience"),
+    "nationality": ("national", "citizen", "emirati", "saudi", "family", "passport"), "clearance": ("clear", "vetting", "uksv", "nppv", "edv", "sc", "dv"),
+}
+
+
+def hinted(name: str, low: str) -> bool:
+    return any(w in low for w in HINTS[name])
+
+
 def _last_end(pattern: re.Pattern[str], text: str) -> int:
     return max((m.end() for m in pattern.finditer(text)), default=0)
 
@@ -181,7 +192,7 @@ def settled_years(value: int | None, quote: str, title: str, body: str) -> tuple
             return value, quote
         if ends[0] > 0:
             return ends[0], quote
-    return years_in(title) or years_in(body) or (None, "")
+    return next((x for t in (title, body) if hinted("years", t.lower()) and (x := years_in(t))), (None, ""))
 
 
 STATED = T.StructType(
@@ -195,7 +206,8 @@ def _read(title: pd.Series, body: pd.Series, value: pd.Series, quote: pd.Series)
     for t, b, v, q in zip(title, body, value, quote, strict=True):
         t, b, q = t or "", b or "", q or ""
         years, words = settled_years(None if pd.isna(v) else int(v), q, t, b)
-        found = [sentence_in(n, t) or sentence_in(n, b) for n in ("graduates", "students")] + [bar_in(n, t) or bar_in(n, b) for n in ("nationality", "clearance")]
+        texts = [(x, x.lower()) for x in (t, b) if x]
+        found = [next((y for x, low in texts if hinted(n, low) and (y := read(n, x))), None) for n, read in (("graduates", sentence_in), ("students", sentence_in), ("nationality", bar_in), ("clearance", bar_in))]
         rows.append((years, words, *found))
     out = pd.DataFrame(rows, columns=STATED.names)
     return out.assign(years=out["years"].astype("Int64"))

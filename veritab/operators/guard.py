@@ -70,6 +70,8 @@ def fact_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema["facts"].dataType[name].dataType
 
 
+#: Passages up to so many are broadcast; of more, passages and texts are shuffled by anchor.
+FEW = 100_000
 #: The most characters of a short passage's first word that are looked up.
 PIECE = 64
 
@@ -77,8 +79,8 @@ PIECE = 64
 def contained(texts: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage", width: int = 6) -> DataFrame:
     """texts joined with the passages that their folded text contains.
 
-    Anchors turn the containment into equi-joins, and nothing is broadcast by
-    hint. A passage of three words or more is looked up by a run of at most
+    Anchors turn the containment into equi-joins; those of up to FEW passages go
+    to the texts, so the runs of the texts are not shuffled. A passage of three words or more is looked up by a run of at most
     `width` of its inner words (its first and last word may be parts of longer
     ones) among the runs of each text; a shorter one by its first word among
     the parts of the text's distinct words that are as long. The run widths and
@@ -107,7 +109,8 @@ def contained(texts: DataFrame, passages: DataFrame, text: str = "text", passage
     # The words are bound once a text: inside the lambda itself they would be split anew for each run.
     grams = F.get(F.transform(F.array(F.split("__text", " ")), anchors), F.lit(0))
     probes = folded_texts.withColumn("__anchor", F.explode(F.array_distinct(grams)))
-    return probes.join(anchored, "__anchor").filter(F.contains("__text", F.col("__passage"))).drop("__anchor", "__text", "__passage")
+    few = keys.limit(FEW + 1).count() <= FEW
+    return probes.join(F.broadcast(anchored) if few else anchored, "__anchor").filter(F.contains("__text", F.col("__passage"))).drop("__anchor", "__text", "__passage")
 
 
 def item_texts(*columns: str) -> Column:

@@ -136,8 +136,16 @@ def merge_near(df: DataFrame, threshold: float = 0.9) -> DataFrame:
         rows = rows.assign(__less=-rows["__length"]).sort_values(["__less", "uid", "url"])
         kept: list[str] = []
         stays = []
+        match = SequenceMatcher(None)
         for title in rows["__title"]:
-            new = not any(SequenceMatcher(None, k, title).ratio() >= threshold for k in kept)
+            # What is known of the second text is kept; lengths and letters rule out most pairs before their blocks are looked for.
+            match.set_seq2(title)
+            new = True
+            for k in kept:
+                match.set_seq1(k)
+                if match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold:
+                    new = False
+                    break
             stays.append(new)
             if new:
                 kept.append(title)
