@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; the encodings of parts of a piece up to so many are kept.
 SHORT, KEPT = 32, 6
-#: Entries of a worker's memo of encoded units, and of its memos of parts and of pairs; beyond, each starts anew.
-MEMO, PARTS = 300_000, 120_000
+#: Entries of a task's memo of encoded units, and of its memos of parts and of pairs; beyond, each starts anew.
+MEMO, PARTS = 250_000, 100_000
 #: Bytes of text in an output batch.
 OUT_BYTES = 4 << 20
 
@@ -200,11 +200,10 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     broadcast: a vocabulary's size does not follow the data.
     """
     with open(rank_file, "rb") as f:
-        # A worker keeps what it has loaded of a broadcast, and so its codec and memos, from task to task.
-        kept = docs.sparkSession.sparkContext.broadcast({"ranks": f.read()})
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept.value.get(pattern) or kept.value.setdefault(pattern, Codec(load_ranks(kept.value["ranks"]), pattern))
+        codec = Codec(load_ranks(raw.value), pattern)
         out: list[tuple] = []
         size = 0
 
