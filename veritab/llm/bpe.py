@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; the encodings of parts of a piece up to so many are kept.
 SHORT, KEPT = 32, 6
-#: Entries of a task's memo of encoded units, and of its memos of parts and of pairs; beyond, each starts anew.
-MEMO, PARTS = 250_000, 100_000
+#: Entries of a generation of a task's memo of encoded units, of which the last two are kept; and of its memos of parts and of pairs, which then start anew.
+MEMO, PARTS = 130_000, 100_000
 #: Bytes of text in an output batch.
 OUT_BYTES = 4 << 20
 
@@ -168,8 +168,18 @@ class _Memo(dict):
 
     def __init__(self, codec: Codec, lead: str) -> None:
         self.codec, self.lead = codec, lead
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
+        found = self.before.get(unit) or self.encoded(unit)
+        if len(unit) <= 64:
+            if len(self) >= MEMO:
+                self.before = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+    def encoded(self, unit: str) -> bytes:
         codec = self.codec
         # Letters alone are one piece, and so is one mark after them. Beyond the Latin blocks two versions of Unicode may disagree on what a letter is.
         if max(unit) >= "\u0250":
@@ -180,10 +190,6 @@ class _Memo(dict):
             found = self[unit[:-1]] + codec.packed[codec.ranks[unit[-1].encode()]]
         else:
             found = codec.unit(self.lead + unit)
-        if len(unit) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[unit] = found
         return found
 
 
