@@ -481,6 +481,28 @@ def test_rows_without_id(spark, op):
     assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 3
 
 
+def test_rows_without_id_of_the_row_operators(spark):
+    """Operators that judge each row by itself: rows without id, equal rows, null and empty texts."""
+    df = docs_of(spark, [(None, "Call +1 (319) 555-5132 now", None, None), (None, "Call +1 (319) 555-5132 now", None, "x"), (None, None, None, None), (7, "", None, "x"), (7, "  ", "en", "x")])
+    model = language.train(docs_of(spark, [(1, "the cat sat on the mat", "en", "a"), (2, "le chat est sur la table", "fr", "a")]))
+    made = {
+        "bpe": bpe.encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select("doc_id", F.col("n_tokens").cast("string").alias("x")),
+        "language": language.identify(df, model).select("doc_id", F.col("lang_pred").alias("x")),
+        "pii": pii.find_personal_data(df).select("doc_id", F.size("base").cast("string").alias("x")),
+        "quality": quality.quality_rules(df).select("doc_id", F.col("n_words").cast("string").alias("x")),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert sorted((r.doc_id is None for r in rows)) == [False, False, True, True, True], name
+        assert len({r.x for r in rows}) >= 2, name
+
+
+def test_empty_tables_of_the_row_operators(spark, docs):
+    none = docs.limit(0)
+    assert bpe.encode_decode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert language.identify(none, language.train(none)).count() == 0 and language.train(none) == {}
+
+
 def test_repeats_digest(docs):
     r = substrings.remove_repeats(docs).select("kept", substrings.digest("kept").alias("d")).first()
     assert r.d == hashlib.sha256(r.kept.encode()).hexdigest()

@@ -26,6 +26,8 @@ from ._packed import Distinct, Tokeniser, bucket_bounds, chunked, from_gaps, gap
 
 #: Counts above this are taken as they are.
 RELIABLE = 5
+#: Bits of a pair's hash. Of n distinct pairs about n / 2 ** 60 share one with another, whose counts are then one: one in a million at 10 ** 12 pairs.
+PAIR_BITS = 60
 
 _U = np.uint64
 #: The hashes of the end of a text and of what stands before its first word.
@@ -197,7 +199,7 @@ def _ask_pairs(docs: pa.Table, buckets: int) -> pa.Table:
     s = Stream(docs)
     pairs = s.pairs()
     counts = np.add.reduceat(s.trains[s.doc][pairs.order].astype(np.uint32), pairs.at).astype(np.uint32)
-    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda b, x: gaps(in_bucket(x, b, buckets, 64)), pairs.values, _planes, counts)
+    return _asks(docs["chunk"][0].as_py(), pairs.values, buckets, lambda b, x: gaps(in_bucket(x, b, buckets, PAIR_BITS)), pairs.values, _planes, counts)
 
 
 def _report_contexts(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
