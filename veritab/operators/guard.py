@@ -70,8 +70,8 @@ def fact_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema["facts"].dataType[name].dataType
 
 
-#: Passages up to so many are broadcast; of more, passages and texts are shuffled by anchor.
-FEW = 100_000
+#: Passages up to so many, and of so many characters together, are broadcast; of more, passages and texts are shuffled by anchor.
+FEW, FEW_CHARS = 100_000, 32 << 20
 #: The most characters of a short passage's first word that are looked up.
 PIECE = 64
 
@@ -109,7 +109,8 @@ def contained(texts: DataFrame, passages: DataFrame, text: str = "text", passage
     # The words are bound once a text: inside the lambda itself they would be split anew for each run.
     grams = F.get(F.transform(F.array(F.split("__text", " ")), anchors), F.lit(0))
     probes = folded_texts.withColumn("__anchor", F.explode(F.array_distinct(grams)))
-    few = keys.limit(FEW + 1).count() <= FEW
+    n, chars = keys.agg(F.count("*"), F.sum(F.length("__passage"))).first()
+    few = n <= FEW and (chars or 0) <= FEW_CHARS
     return probes.join(F.broadcast(anchored) if few else anchored, "__anchor").filter(F.contains("__text", F.col("__passage"))).drop("__anchor", "__text", "__passage")
 
 
