@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veritab.llm import katz, substrings
+from veritab.llm import jaccard, katz, substrings
 from veritab.llm._packed import Distinct, Tokeniser, bucket_bounds, from_gaps, gaps, in_bucket, slots, spark_hash
 
 
@@ -87,3 +87,13 @@ def test_tables_go_when_they_are_no_longer_needed(spark, monkeypatch):
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(ValueError, match="share"):
             _packed.shared_dir(spark)
+
+
+def test_marks_round_trip():
+    rng = np.random.default_rng(3)
+    marks = np.sort(rng.integers(1, 1 << 48, 300, np.uint64))
+    for n in (0, 1, 50, 5000):
+        which = rng.integers(0, len(marks) + 1, n)
+        packed = jaccard._pack_marks(which, marks)
+        assert (jaccard._marks(packed) == np.append(np.uint64(0), marks)[which]).all()
+        assert len(packed) <= 1 + 6 * n

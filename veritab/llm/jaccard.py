@@ -20,6 +20,7 @@ the cluster's; a pair that meets in several cells counts in the first.
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -80,30 +81,48 @@ class Sets:
 
 
 #: Bits of a shingle's hash within its bucket, and bytes of a set's mark, that are sent. Shingles taken for one another are told apart later; marks must tell sets apart.
-KEY_BITS, MARK_BYTES = 32, 5
+KEY_BITS, MARK_BYTES = 32, 6
+
+
+def _pack_marks(which: np.ndarray, marks: np.ndarray) -> bytes:
+    """The mark of each entry's set: which - 1 is its place among marks, 0 stands for several. As a table of the marks in use and two bytes an entry, where that is shorter."""
+    used = np.flatnonzero(np.bincount(which, minlength=len(marks) + 1))
+    full = np.append(_U(0), marks)
+    if len(used) < 1 << 16 and MARK_BYTES * len(used) + 5 < (MARK_BYTES - 2) * len(which):
+        place = np.zeros(len(full), np.uint64)
+        place[used] = np.arange(len(used))
+        return b"\1" + struct.pack("<I", len(used)) + byte_planes(full[used], MARK_BYTES) + byte_planes(place[which], 2)
+    return b"\0" + byte_planes(full[which], MARK_BYTES)
+
+
+def _marks(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"\0":
+        return from_planes(packed[1:], MARK_BYTES)
+    end = 5 + MARK_BYTES * struct.unpack("<I", packed[1:5])[0]
+    return from_planes(packed[5:end], MARK_BYTES)[from_planes(packed[end:], 2)]
 
 
 def _send(table: pa.Table, buckets: int) -> pa.Table:
     """keys: the shingles' hashes; sets: the mark of the only set that has it in this chunk, 0 for several."""
     table, _ = in_order(table)
     sets = Sets(Tokeniser(lower=True).words(table["text"]))
-    own = np.maximum(sets.digest >> _U(64 - 8 * MARK_BYTES), _U(1))[sets.doc]
+    marks, rank = np.unique(np.maximum(sets.digest >> _U(64 - 8 * MARK_BYTES), _U(1)), return_inverse=True)
     distinct = Distinct(sets.hashes)
-    ordered = own[distinct.order]
+    ordered = rank[sets.doc][distinct.order]
     low, high = (f.reduceat(ordered, distinct.at) if len(ordered) else ordered for f in (np.minimum, np.maximum))
-    only = np.where(low == high, low, _U(0))
+    only = np.where(low == high, low + 1, 0)
     cuts = bucket_bounds(distinct.values, buckets)
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
     keys = [gaps(in_bucket(distinct.values[cuts[b] : cuts[b + 1]], b, buckets, KEY_BITS)) for b in used]
-    marks = [byte_planes(only[cuts[b] : cuts[b + 1]], MARK_BYTES) for b in used]
-    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": keys, "sets": marks}, _ASK, buckets)
+    packed = [_pack_marks(only[cuts[b] : cuts[b + 1]], marks) for b in used]
+    return message({"bucket": used, "chunk": [table["chunk"][0].as_py()] * len(used), "keys": keys, "sets": packed}, _ASK, buckets)
 
 
 def _lengths(table: pa.Table) -> pa.Table:
     """For each shingle, 0 if a single set has it, else a measure of its list's length, up to 255: chunks that have it, twice those with several sets."""
     parts = [from_gaps(x.as_py()) for x in table["keys"]]
     cuts = np.cumsum([0, *map(len, parts)])
-    keys, sets = np.concatenate(parts), np.concatenate([from_planes(x.as_py(), MARK_BYTES) for x in table["sets"]])
+    keys, sets = np.concatenate(parts), np.concatenate([_marks(x.as_py()) for x in table["sets"]])
     order = np.argsort(keys, kind="stable")
     ordered = sets[order]
     at = runs(keys[order])
