@@ -7,8 +7,10 @@ from html import escape
 
 from pyspark.sql import DataFrame
 
-#: The most bytes of a report; mail readers cut longer ones. Rows that are read to the driver at most.
-MOST_BYTES, MOST_ROWS = 90_000, 2_000
+from .ranking import MOST_ROWS
+
+#: The most bytes of a report; mail readers cut longer ones.
+MOST_BYTES = 90_000
 _STYLE = "body{font:16px/1.5 sans-serif;max-width:44em;margin:1em auto}h2{border-bottom:1px solid #ccc}.c{margin:0 0 1em}.m{color:#555}"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .guard import check_quotes, parse_answers
@@ -151,6 +151,36 @@ def offline(cases: DataFrame, project, as_of: dt.date) -> DataFrame:
     return grade(cases, project, as_of, "model_facts")
 
 
+def live(cases: DataFrame, project, backend, system: str, repeats: int, as_of: dt.date) -> DataFrame:
+    """Cases graded on a backend's own answers, each asked `repeats` times: id, attempt, state, why and what grade() adds. A case that wasn't answered, or not by a JSON object, is inconclusive. Cases marked offline_only are left out."""
+    from .guard import item_texts
+    from .judging import ask
+
+    asked = cases.filter(~F.col("offline_only")).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    asked = asked.withColumns({"__ask": F.concat_ws("#", "attempt", "id"), "__prompt": item_texts(*project.texts)})
+    said = ask(asked, backend, system, "__prompt", "__ask").withColumnRenamed("__ask", "__said")
+    return grade(asked.join(said, F.col("__ask") == F.col("__said"), "left").drop("__ask", "__said", "__prompt"), project, as_of)
+
+
+def generated(spark: SparkSession, facts: dict[str, list], rules, as_of: dt.date, most: int = 3, seed: int = 1) -> DataFrame:
+    """Cases whose answers are the rules' own: every combination of the facts' stated values, decided, and at most `most` of each rule, drawn by a hash.
+
+    facts: for each, values or nulls of one type. id, the facts, outcome and
+    rule. The combinations are the product of stated lists, made as a product
+    of numbers, so no table is joined with another.
+    """
+    import math
+
+    sizes = [len(v) for v in facts.values()]
+    df, place = spark.range(math.prod(sizes)), F.col("id")
+    for name, values in facts.items():
+        df = df.withColumn(name, F.get(F.array(*map(F.lit, values)), F.pmod(place, F.lit(len(values))).cast("int")))
+        place = F.floor(place / len(values))
+    done = decide(df, rules, as_of)
+    rank = F.row_number().over(Window.partitionBy("rule", "outcome").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    return done.withColumn("__rank", rank).filter(F.col("__rank") <= most).select("id", *facts, "outcome", "rule")
+
+
 def regrade(attempts: DataFrame, cases: DataFrame, project, as_of: dt.date) -> DataFrame:
     """Saved attempts (id, attempt, raw) graded by the cases as they are now; attempts of cases that are gone drop out."""
     return grade(attempts.select("id", "attempt", "raw").join(cases, "id"), project, as_of)

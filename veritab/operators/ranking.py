@@ -9,6 +9,8 @@ from ..functions.text import text_of
 
 #: Penalties that are no words of the text.
 SYNTHETIC = ("agency", "location")
+#: Rows of a table of a report that are read to the driver at most.
+MOST_ROWS = 2_000
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -114,18 +116,18 @@ def _link(title: str, url: str) -> str:
 
 
 def digest(name: str, shown_rows: DataFrame, hidden: DataFrame, alarms: list[str] = (), shortlist: DataFrame | None = None) -> str:
-    """The report in Markdown: alarms first, then what is shown, what is hidden, and the shortlist. Each table given is bounded by its own cap (shown and hidden_list); text from postings is escaped and only http links are links."""
+    """The report in Markdown: alarms first, then what is shown, what is hidden, and the shortlist. Each table given is bounded by its own cap (shown and hidden_list), and by MOST_ROWS; text from postings is escaped and only http links are links."""
     out = [f"# {name}", ""]
     out += [f"- {_plain(a)}" for a in alarms] + [""] * bool(alarms)
-    rows = shown_rows.filter("place is not null").orderBy("place").collect()
+    rows = shown_rows.filter("place is not null").orderBy("place").limit(MOST_ROWS).collect()
     out += [f"## {len(rows)} to read", ""]
     out += [f"{r.place}. {_link(r.title, r.url)}, {_plain(r.company)} ({r.score}, {r.verdict})" for r in rows] + [""]
-    hid = hidden.collect()
+    hid = hidden.limit(MOST_ROWS).collect()
     if hid:
         out += ["## Hidden by your rules", ""]
         for group in dict.fromkeys(r.group for r in hid):
             of = [r for r in hid if r.group == group]
             out += [f"**{_plain(group)}** ({of[0].in_group})", "", *[f"- {_link(r.title, r.url)}, {_plain(r.company)}: {_plain(r.reason)}" for r in of], ""]
-    if shortlist is not None and (saved := shortlist.collect()):
+    if shortlist is not None and (saved := shortlist.limit(MOST_ROWS).collect()):
         out += ["## Shortlist", "", *[f"- {_link(r.title, r.url)}, {_plain(r.company)}: {r.state}" for r in saved], ""]
     return "\n".join(out).rstrip() + "\n"

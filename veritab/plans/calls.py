@@ -526,3 +526,46 @@ def paged_queries(spark, sf_dir):
     finally:
         connectors.APIS.update(api)
     return connectors.page_reports(pages).select(F.col("pages").cast("int"), F.col("queries").cast("int"), F.col("failed").cast("int"), "notes")
+
+
+# Live evaluation, generated cases, answers by place.
+
+
+def _reads_length(system: str, asked: list[str]) -> list:
+    """A backend without a model: it reads a number off each text, wrongly for some, and doesn't answer others."""
+    out: list = []
+    for p in asked:
+        n = int(p.rsplit(" ", 1)[1])
+        out.append(None if n % 5 == 0 else {"n": {"value": n + (n % 3 == 0), "quote": f"is {n + (n % 3 == 0)}"}})
+    return out
+
+
+_LIVE = RuleSet({"n": FactType("facts.n.value", "integer", quote="facts.n.quote")}, [Rule("large", {"n": {"gt": 500}}, "big")], "small")
+
+
+class _Project:
+    specs, rules, texts, resolvers, dangerous = _SPECS, _LIVE, ["text"], (), frozenset({("big", "small")})
+
+
+@query("""SELECT doc_id, CAST(a AS INTEGER) AS attempt, CASE WHEN doc_id % 5 = 0 THEN 'inconclusive' WHEN doc_id > 500 AND doc_id % 3 = 0 THEN 'fail' ELSE 'pass' END AS result FROM labels, (VALUES (1), (2)) v(a) WHERE doc_id % 7 <> 0""")
+def live_attempts(spark, sf_dir):
+    """Cases asked twice of a backend; a misread number loses its quote, and with it the outcome."""
+    t = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("n is "), "doc_id").alias("text"), (F.col("doc_id") % 7 == 0).alias("offline_only"), F.lit(None).cast("date").alias("as_of"))
+    expect = F.struct(F.create_map().cast("map<string,map<string,string>>").alias("facts"), F.when(F.col("doc_id") > 500, "big").otherwise("small").alias("outcome"))
+    graded = grading.live(t.withColumn("expect", expect), _Project, _reads_length, "", 2, dt.date(2026, 1, 1))
+    return graded.select("doc_id", "attempt", "result")
+
+
+@query("""SELECT outcome, count(*) AS n FROM (SELECT *, CASE WHEN amount IS NULL THEN 'review' WHEN amount > 1000 AND status = 'O' THEN 'hold' ELSE 'pay' END AS outcome FROM (VALUES (1), (500), (2000), (NULL)) a(amount), (VALUES ('O'), ('F')) b(status), (VALUES (1), (2), (3)) c(copy)) GROUP BY 1""")
+def generated_cases(spark, sf_dir):
+    """All combinations of stated facts with the rules' own outcomes."""
+    rules = RuleSet({"amount": FactType("amount", "number"), "status": FactType("status", "enum")}, [Rule("none", {"amount": {"stated": False}}, "review"), Rule("large", {"amount": {"gt": 1000}, "status": {"is": "O"}}, "hold")], "pay")
+    made = grading.generated(spark, {"amount": [1, 500, 2000, None], "status": ["O", "F"], "copy": [1, 2, 3]}, rules, dt.date(2026, 1, 1), most=100)
+    return made.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 2 AS answer FROM orders")
+def answers_by_place(spark, sf_dir):
+    """Answers that go by the places of their requests."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return usage.by_place(o.withColumn("place", F.col("o_orderkey")), o.select(F.col("o_orderkey").alias("place"), (F.col("o_orderkey") * 2).alias("answer"))).select("o_orderkey", "answer")
