@@ -1,6 +1,6 @@
 """All queries of the library; importing the modules registers them."""
 
-from . import calls, reports  # noqa: F401
+from . import calls, more, reports  # noqa: F401
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -187,9 +187,3 @@ def answer_keys(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(regexp_replace(left(t, 219), ' [^ ]*$', '')) || '…' END AS sentence FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""")
 def one_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", keys.one_sentence(F.col("text")).alias("sentence"))
-
-
-@query()
-def plain_words(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", resolvers.plain_words(X.text_of(F.col("text"))).alias("w"))
-    return words.select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_distinct"))
