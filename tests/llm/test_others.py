@@ -121,6 +121,17 @@ def test_labels_are_judged_over_the_host():
     assert texts_of([whole.format(i) for i in range(4)]) == [f"Story {i} of many words more {i}" for i in range(4)]
 
 
+def test_comments_go_however_long():
+    comments = "".join(f"<article class='comment'><p>I think {{0}} {k} and so on and on</p></article>" for k in range(9))
+    page = f"<body><main><article class='post'><p>Short {{0}}</p></article><section class='comments'>{comments}</section>{comments}</main></body>"
+    assert texts_of([page.format(i) for i in range(4)]) == [f"Short {i}" for i in range(4)]
+    # An element with such a label that holds the article stays, and so does the only text there is.
+    page = "<body><div class='sidebar'><article><p>Story {0}</p></article></div></body>"
+    assert texts_of([page.format(i) for i in range(3)]) == [f"Story {i}" for i in range(3)]
+    page = "<body><div class='promo'><p>Story {0} of some length</p></div><p>x</p></body>"
+    assert texts_of([page.format(i) for i in range(3)]) == [f"Story {i} of some length" for i in range(3)]
+
+
 def test_svg_takes_only_itself():
     page = "<body><article><p>one <svg class='i'/> two</p><svg><title>no</title></svg><p>three</p><svg viewBox='0 0 1 1'><p>four</p></article></body>"
     assert texts_of([page]) == ["one two three four"]

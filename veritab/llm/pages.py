@@ -107,7 +107,7 @@ class Node:
                 first = "." + _NUMBER.sub("0", words[0])
             if key == "role" and "main" in words:
                 self.kind = "main"
-            if tag not in ("html", "body", "article", "main") and not (key == "id" and tag in _SLUGGED):
+            if tag not in ("html", "body", "main") and not (key == "id" and tag in _SLUGGED):
                 self.hint = max(self.hint, 2 if not STRONG.isdisjoint(words) else 1 if not WEAK.isdisjoint(words) else 0)
         self.label = f"{self.kind}{first}{'!' * self.hint}"
 
@@ -308,7 +308,7 @@ def infer(pages: list[Node]) -> Group:
     for i, page in enumerate(pages):
         _extend(wrapper, [page], i)
     _weigh(wrapper, len(pages))
-    _judge(wrapper, len(pages), wrapper.varying, False)
+    _judge(wrapper, len(pages), wrapper.varying, False, _has_article(wrapper))
     _weigh(wrapper, len(pages))
     return wrapper
 
@@ -325,20 +325,26 @@ def _weigh(group: Group, pages: int) -> None:
             group.varying, group.chars, group.links = group.varying + c.varying, group.chars + c.chars, group.links + c.links
 
 
-def _judge(group: Group, pages: int, total: int, inside: bool) -> None:
-    """Marks elements that are boilerplate.
+def _has_article(group: Group) -> bool:
+    """Whether an article that no strong label takes back stands below a group."""
+    return any(c.kind in MAIN and c.hint < 2 or c.label != "#" and c.kind not in NEVER and _has_article(c) for c in group.children)
+
+
+def _judge(group: Group, pages: int, total: int, inside: bool, article: bool) -> None:
+    """Marks elements that are boilerplate. article: whether the pages have one at all.
 
     That are those that never are main text, headers outside an article, and
     what a label says is boilerplate: with a weak one only where it never
     varies, some pages lack it, it is half links, or there is but one page.
-    One that holds half of all that varies stays.
+    One that holds half of all that varies stays, if it holds the article or
+    there is none: comments may well be longer than what they are on.
     """
     for c in group.children:
         if c.label == "#":
             continue
         if c.kind in NEVER:
             c.gone = True
-        elif 2 * c.varying > total:
+        elif 2 * c.varying > total and (not article or c.hint < 2 and c.kind in MAIN or _has_article(c)):
             pass
         elif c.kind == "header":
             c.gone = not inside
@@ -349,7 +355,7 @@ def _judge(group: Group, pages: int, total: int, inside: bool) -> None:
         elif c.repeats and 2 * c.pages >= pages > 1 and c.links * 10 >= c.chars * 9 > 0:
             c.gone = True  # a menu without a label
         if not c.gone:
-            _judge(c, pages, total, inside or c.kind in MAIN)
+            _judge(c, pages, total, inside or c.kind in MAIN, article)
 
 
 def container(wrapper: Group) -> Group:
