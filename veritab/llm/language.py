@@ -108,6 +108,13 @@ def _em(doc: np.ndarray, first: np.ndarray, n: np.ndarray, likely: np.ndarray, s
     return share, np.add.reduceat(n * np.log((likely * share[rank]).sum(1)), first)
 
 
+def _ceiling(doc: np.ndarray, first: np.ndarray, n: np.ndarray, likely: np.ndarray, share: np.ndarray, reached: np.ndarray) -> np.ndarray:
+    """What no shares can exceed in log-likelihood: it is concave in them, so from any point it rises by less than its steepest slope there."""
+    rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+    slope = np.add.reduceat(likely * (n / (likely * share[rank]).sum(1))[:, None], first, axis=0).max(1)
+    return reached + np.maximum(slope - np.add.reduceat(n, first), 0.0)
+
+
 def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The index of each document's main language, and its share."""
     docs, langs = len(offsets) - 1, model.shape[0]
@@ -119,9 +126,7 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
     which, n = doc[first], n.astype(float)
     log = model.T[feature]
     single = np.add.reduceat(n[:, None] * log, first, axis=0)
-    top = np.maximum.reduceat(log.max(1), first)
     rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
-    del top
     likely = np.exp(log - log.max(1, keepdims=True))
     shift = np.add.reduceat(n * log.max(1), first)
     share = np.full((len(first), langs), 1.0 / langs)
@@ -129,10 +134,11 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.
     if langs == 1:
         return best, score
     share, full = _em(doc, first, n, likely, share, ROUNDS)
+    full = _ceiling(doc, first, n, likely, share, full)
     cost = 0.5 * OVERLAP * np.log(np.add.reduceat(n, first))
     reached = single.max(1)
     order = np.argsort(-share, axis=1, kind="stable")
-    # No set is likelier than all languages together, so most documents are settled by their first, and no size is tried that its penalty rules out.
+    # No set is likelier than the best shares of all languages, so most documents are settled by their first, and no size is tried that its penalty rules out.
     for size in range(2, langs + 1):
         open_ = full + shift - (size - 1) * cost > reached
         if not open_.any():
