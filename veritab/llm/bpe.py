@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; the encodings of parts of a piece up to so many are kept.
 SHORT, KEPT = 32, 6
 #: Entries of a generation of a task's memo of encoded units, of which the last two are kept; and of its memos of parts and of pairs, which then start anew.
-MEMO, PARTS = 130_000, 100_000
+MEMO, PARTS, PAIRS = 130_000, 150_000, 400_000
 #: Bytes of text in an output batch.
 OUT_BYTES = 4 << 20
 
@@ -47,7 +47,9 @@ class Codec:
         #: A space between two white-space characters, or at the end after one: there, text can't be cut before a space.
         self.odd_space = regex.compile(r"\s (?!\S)").search
         self.pairs: dict[tuple[int, int], list[int]] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        #: The leaves of every tree: single bytes.
+        self.bytes = {bytes([i]): [ranks[bytes([i])]] for i in range(256) if bytes([i]) in ranks}
+        self.parts: dict[bytes, list[int]] = dict(self.bytes)
         #: Each id, packed.
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
         self.plain, self.spaced = _Memo(self, ""), _Memo(self, " ")
@@ -94,7 +96,7 @@ class Codec:
         """The encoding of the bytes of two tokens."""
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) > PARTS:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self.merge(self.token[left] + self.token[right])
         return found
@@ -107,29 +109,29 @@ class Codec:
         """The encoding of two neighbours from their own encodings."""
         if not a or not b:
             return a or b
-        l, r = a[-1], b[0]
-        inner = self.pairs.get((l, r)) or self.window(l, r)
-        if inner[0] == l and len(inner) == 2:
+        left, right = a[-1], b[0]
+        inner = self.pairs.get((left, right)) or self.window(left, right)
+        if inner[0] == left and len(inner) == 2:
             # The boundary stays, and so does all else: every pair of neighbours encodes to itself.
             return a + b
         width = 1
         while True:
-            left, right = max(0, len(a) - width), min(len(b), width)
-            inner = self.window(a[-1], b[0]) if width == 1 else self.merge(b"".join(map(self.token.__getitem__, a[left:] + b[:right])))
-            if (not left or self.stays(a[left - 1], inner[0])) and (right == len(b) or self.stays(inner[-1], b[right])):
-                return a[:left] + inner + b[right:]
+            low, high = len(a) - width, width
+            if (low <= 0 or self.stays(a[low - 1], inner[0])) and (high >= len(b) or self.stays(inner[-1], b[high])):
+                return a[: max(0, low)] + inner + b[high:]
             width *= 2
+            inner = self.merge(b"".join(map(self.token.__getitem__, a[max(0, len(a) - width) :] + b[:width])))
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= 1:
-            return [self.ranks[piece]] if piece else []
         found = self.parts.get(piece)
         if found is None:
-            half = len(piece) // 2
+            if not piece:
+                return []
+            half = len(piece) >> 1
             found = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
             if len(piece) <= KEPT:
                 if len(self.parts) > PARTS:
-                    self.parts.clear()
+                    self.parts = dict(self.bytes)
                 self.parts[piece] = found
         return found
 
