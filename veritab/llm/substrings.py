@@ -171,8 +171,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id, n_words, n_removed, kept (the words left, joined by one space) and
     spans (maximal repeats that were removed, in words, end exclusive).
     Earlier: in a document of smaller id, or before in the same document.
-    Documents without id come last; rows of the same id are in the order of
-    their texts, so of equal rows the first keeps its words. Windows are judged
+    Rows of the same id are in the order of their texts, so of equal rows the
+    first keeps its words. Documents without id come last, in an order that
+    their texts alone decide: by the chunk that a hash of the text deals them
+    to, then by text; so which of them is the earlier may change with the number
+    of chunks, but never that exactly one keeps its words. Windows are judged
     on the input. Null or empty texts have no words.
     """
     chunks, buckets = shares(docs)
