@@ -14,7 +14,7 @@ from ..operators.rules import FactType, Rule, RuleSet, decide
 from ..sources import paging, readers
 from ..streaming import state
 from . import project as P
-from .queries import query, table
+from .queries import ORACLES, query, table
 
 
 def folder(spark: SparkSession) -> str:
@@ -223,3 +223,17 @@ def checked_project(spark, sf_dir):
     n = grading.check_cases(cases, _KEEP.specs, _KEEP.rules.outcomes).count()
     wrong = f"n: {P.argument_problem(_KEEP.specs['n'], 'gt', 'x')}"
     return spark.createDataFrame([(", ".join(sorted(_KEEP.rules.outcomes)), wrong, n)], "outcomes string, wrong string, checked long")
+
+
+@query("SELECT page_id, left(text, 12000) AS body FROM (" + ORACLES["html_to_text"] + ")")
+def page_bodies(spark, sf_dir):
+    """The text of pages whose markup gives none, up to its most."""
+    return table(spark, sf_dir, "pages").select("page_id", X.body_text(F.col("html")).alias("body"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '192.0.2.' || n_nationkey WHEN 1 THEN '10.0.0.1' END AS address FROM nation""")
+def interface_addresses(spark, sf_dir):
+    """The first address of an interface's listing; one with a number above 255 is none."""
+    n = F.col("n_nationkey")
+    listing = F.when(n % 3 == 0, F.concat(F.lit("eth0: up\n  inet6 fe80::1\n  inet 192.0.2."), n, F.lit(" netmask 255.255.255.0"))).when(n % 3 == 1, F.lit("inet 300.1.1.1\ninet addr:10.0.0.1\ninet 10.0.0.2")).otherwise(F.lit("lo: down"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.interface_address(listing).alias("address"))
