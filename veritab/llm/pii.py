@@ -262,7 +262,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         return out.withColumn("spans", F.col("__base")).drop("__key", "__base")
     by_doc = found.filter(F.size("__base") > 0).select("__key", F.explode(_entities(F.col("__base"))).alias("entity")).distinct()
     by_doc = written(_joined(by_doc, disclosing, disclosing.count(), "entity").groupBy("__key").agg(F.collect_set("term").alias("__terms")))
-    out = out.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS // 10 else by_doc, "__key", "left")
+    n_terms = by_doc.agg(F.sum(F.size("__terms") + 1)).first()[0] or 0
+    out = out.join(F.broadcast(by_doc) if n_terms <= BROADCAST_ROWS else by_doc, "__key", "left")
     extra = F.when(F.col("__terms").isNotNull(), F.filter(_terms_found(F.col("text"), F.col("__terms")), lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).otherwise(F.array().cast(_SPANS))
     return out.withColumn("spans", F.concat("__base", extra)).drop("__key", "__base", "__terms")
 
