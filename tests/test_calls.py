@@ -272,3 +272,28 @@ def test_small_text_functions(spark):
     window = usage.model_window(F.create_map(F.lit("a.context_length"), F.lit("5"), F.lit("general.architecture"), F.lit("b"), F.lit("b.context_length"), F.lit("7")))
     assert spark.range(1).select(window).first()[0] == 7
     assert readers.BOARDS["workable_search"].spare_location
+
+
+def test_a_site_is_read_by_its_sitemap(spark):
+    page = lambda n: f'<script type="application/ld+json">{json.dumps({"@type": "JobPosting", "title": f"Clerk {n}", "hiringOrganization": {"name": "Acme"}, "datePosted": "2026-02-03"})}</script>'
+    days = {1: "2026-02-01", 2: "2026-02-02", 3: "2026-02-03", 4: "2026-01-01", 5: "2026-02-05", 6: "2026-02-04"}
+    xml = "<urlset>" + "".join(f"<url><loc>https://s.example/{'news' if n == 5 else 'job'}/{n}</loc><lastmod>{d}</lastmod></url>" for n, d in days.items()) + "</urlset>"
+
+    def send(method, url, params, body, headers):
+        if url.endswith("robots.txt"):
+            return "User-agent: *\nCrawl-delay: 0.01"
+        if url.endswith("sitemap.xml"):
+            return xml
+        n = int(url.rsplit("/", 1)[1])
+        if n in (2, 3):
+            raise connectors.HttpError(url, 404 if n == 2 else 500, "x")
+        return page(n)
+
+    e = fetching.Entry("structured", "s", options={"sitemap": "https://s.example/sitemap.xml", "include": "/job/", "max_pages": 3})
+    cache = spark.createDataFrame([("https://s.example/job/6", dt.date(2026, 2, 4), page(60))], "url string, lastmod date, html string")
+    pages, note = connectors.site_pages(spark, e, "2026-02-01", send, cache)
+    assert {r["loc"][-1]: r.outcome for r in pages.collect()} == {"6": "kept", "3": "failed", "2": "lost"} and note == "read 3 of 4 pages"
+    rows = connectors.site(send, cache)(spark, fetching.Entry("structured", "s", options=e.options | {"max_pages": 9}), None).collect()
+    assert sorted(r.title for r in rows) == ["Clerk 1", "Clerk 4", "Clerk 60"] and {r.company for r in rows} == {"Acme"}
+    with pytest.raises(fetching.Skipped):
+        connectors.site_pages(spark, fetching.Entry("structured", "s"), None, send)

@@ -107,6 +107,14 @@ def test_verdict_order(spark):
     assert got == [("blocked", "hard_bar", 20), ("apply", None, 90), ("skip", "level", 54), ("skip", "hard_bar", 54), ("consider", None, 50), ("skip", None, 10)]
 
 
+def test_places_and_dates_of_markup(spark):
+    node = lambda place, day: json.dumps({"@type": "JobPosting", "title": "Clerk", "jobLocation": place, "datePosted": day})
+    rows = [({"address": {"streetAddress": "SA"}}, "Wed Aug 05 00:00:00 UTC 2026"), ({"address": {"addressLocality": "Oslo", "addressCountry": "NO"}}, "2026-08-05"), ({"name": "Head office"}, "soon")]
+    df = spark.createDataFrame([(f"u{i}", f'<script type="application/ld+json">{node(*x)}</script>') for i, x in enumerate(rows)], "url string, html string")
+    got = {r.url: (r.location, r.posted) for r in postings_in(df).collect()}
+    assert got == {"u0": ("Saudi Arabia", dt.date(2026, 8, 5)), "u1": ("Oslo, NO", dt.date(2026, 8, 5)), "u2": ("Head office", None)}
+
+
 def test_json_ld(spark):
     node = {"@graph": [{"@type": "Thing"}, {"@type": ["http://schema.org/JobPosting"], "title": " Clerk ", "hiringOrganization": {"name": "Acme"}, "jobLocation": [{"address": {"addressLocality": "Oslo", "addressCountry": {"name": "NO"}}}], "description": "&lt;p&gt;one&lt;br&gt;two", "datePosted": "2026-02-03T00:00"}]}
     page = lambda x: f'<html><script type="application/ld+json">{x}</script></html>'

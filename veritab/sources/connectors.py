@@ -220,3 +220,78 @@ def page_reports(pages: DataFrame) -> DataFrame:
         F.count("payload").alias("pages"), F.count_distinct("query").alias("queries"), F.count_distinct(F.when(F.startswith("note", F.lit("failed")), F.col("query"))).alias("failed"),
         F.when(F.count_distinct("query") == 1, F.max("total")).alias("total"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("note") != "", F.concat_ws(": ", F.nullif("query", F.lit("")), "note")))), "; ").alias("notes"),
     )
+
+
+#: Entries of a sitemap, and pages of a site read at once, at most; the name that robots.txt is asked for.
+MOST_ENTRIES, MOST_PAGES, AGENT = 50_000, 200, "veritab"
+
+
+def site_pages(spark: SparkSession, e: Entry, mark: str | None = None, send: Transport | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """Pages of a site by its sitemap (loc, lastmod, html, outcome), and a note if more were listed than are read.
+
+    Options: sitemap, include and exclude (patterns of addresses), max_pages.
+    Only pages modified since the mark, less a day, are read; the newest come
+    first. A page that the cache holds as it was last modified costs no request;
+    the others are read one after another, as far apart as the site's robots.txt
+    asks. outcome: kept, read, lost (gone for good) or failed, which holds the
+    mark back.
+    """
+    from urllib.parse import urlsplit
+
+    from ..streaming.state import window_since
+    from . import paging
+
+    call = send or patient(http)
+    if not (sitemap := e.options.get("sitemap")):
+        raise Skipped("no sitemap")
+    most, parts = int(e.options.get("max_pages", MOST_PAGES)), urlsplit(sitemap)
+    try:
+        robots = call("GET", f"{parts.scheme}://{parts.netloc}/robots.txt", {}, None, {})
+    except Exception:
+        robots = ""
+    wait = max(float(e.options.get("delay", 0)), spark.range(1).select(fetching.crawl_delay(F.lit(robots), AGENT)).first()[0])
+    xml = spark.createDataFrame([(call("GET", sitemap, {}, None, {}),)], "xml string")
+    listed = paging.selected(paging.entries_of(xml, MOST_ENTRIES), e.options.get("include"), e.options.get("exclude"))
+    if mark:
+        listed = window_since(listed, F.lit(mark).cast("date"))
+    total = listed.count()
+    top = listed.orderBy(F.col("lastmod").desc_nulls_last(), "loc").limit(most)
+    held = paging.kept_pages(top, cache) if cache is not None else top.withColumns({"html": F.lit(None).cast("string"), "hit": F.lit(False)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        began = False
+        for rows in batches:
+            out = []
+            for loc in rows["loc"]:
+                if began and wait:
+                    time.sleep(wait)
+                began = True
+                try:
+                    out.append((loc, 200, call("GET", loc, {}, None, {})))
+                except Exception as problem:
+                    out.append((loc, getattr(problem, "status", None), None))
+            yield pd.DataFrame(out, columns=["__loc", "status", "__html"]).astype({"status": "Int64"})
+
+    # One task: a site is asked one thing at a time.
+    read = held.filter("not hit").select("loc").coalesce(1).mapInPandas(run, "__loc string, status int, __html string").persist()
+    pages = held.join(read, F.col("loc") == F.col("__loc"), "left")
+    pages = pages.select("loc", "lastmod", F.coalesce("html", "__html").alias("html"), F.when(F.col("hit"), "kept").otherwise(paging.page_outcome(F.col("status"))).alias("outcome"))
+    return pages, f"read {most} of {total} pages" if total > most else ""
+
+
+def site(send: Transport | None = None, cache: DataFrame | None = None) -> Callable[[SparkSession, Entry, str | None], DataFrame]:
+    """A reader for fetching.SOURCES: the postings that a site's pages hold in their markup."""
+
+    def read(spark: SparkSession, e: Entry, mark: str | None) -> DataFrame:
+        from ..functions.text import is_remote
+        from .structured import postings_in
+
+        pages, _ = site_pages(spark, e, mark, send, cache)
+        found = postings_in(pages.filter("html is not null").select(F.col("loc").alias("url"), "html"))
+        remote = is_remote(F.col("location"), F.col("title"))
+        return found.select(F.lit(e.key).alias("source"), F.when(F.col("company") == "", F.lit(e.label or e.slug)).otherwise(F.col("company")).alias("company"), "title", "location", "url", "description", "posted", remote.alias("remote"), F.col("url").alias("raw_id"))
+
+    return read
+
+
+fetching.SOURCES["structured"] = site()

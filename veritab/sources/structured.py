@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_text, iso_date, squeeze
+from ..functions.text import COUNTRIES, html_text, iso_date, java_date, squeeze
 
 _FOUND = "url string, title string, company string, location string, description string, posted string, raw_id string"
 
@@ -43,7 +43,12 @@ def _place(value) -> str:
     if not isinstance(address, dict):
         return _name(address)
     parts = [_name(address.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
-    return ", ".join(p for p in parts if p) or _name(address.get("streetAddress")) or _name(value)
+    return ", ".join(p for p in parts if p) or _country(_name(address.get("streetAddress")) or _name(value))
+
+
+def _country(name: str) -> str:
+    """The country of a bare two-letter code; anything else as it is."""
+    return COUNTRIES.get(name.upper(), name) if len(name) == 2 else name
 
 
 def _is_posting(node: dict) -> bool:
@@ -157,4 +162,4 @@ def postings_in(pages: DataFrame) -> DataFrame:
     found = pages.filter(F.contains("html", F.lit("JobPosting"))).select("url", "html").mapInPandas(run, _FOUND)
     # Markup may be escaped once: decoding comes before the tags go.
     text = html_text(F.replace(F.replace("description", F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")))
-    return found.withColumns({"title": squeeze(F.col("title")), "company": squeeze(F.col("company")), "location": squeeze(F.col("location")), "description": text, "posted": iso_date(F.col("posted"))}).filter("title <> '' and url <> ''")
+    return found.withColumns({"title": squeeze(F.col("title")), "company": squeeze(F.col("company")), "location": squeeze(F.col("location")), "description": text, "posted": F.coalesce(iso_date(F.col("posted")), java_date(F.col("posted")))}).filter("title <> '' and url <> ''")
