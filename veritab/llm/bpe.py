@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Windows up to so many bytes are re-encoded by looking through all neighbours, longer ones by a heap; the encodings of parts of a piece up to so many are kept.
 SHORT, KEPT = 32, 6
 #: Entries of a generation of a task's memo of encoded units, of which the last two are kept; and of its memos of parts and of pairs, which then start anew.
-MEMO, PARTS, PAIRS = 130_000, 150_000, 400_000
+MEMO, PARTS, PAIRS = 130_000, 120_000, 300_000
 #: Bytes of text in an output batch.
 OUT_BYTES = 4 << 20
 
@@ -54,6 +54,14 @@ class Codec:
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.token))]
         self.plain, self.spaced = _Memo(self, ""), _Memo(self, " ")
 
+    def free(self) -> None:
+        """Empties the memos. They refer to the codec and it to them, so they would else stay until the collector comes round, in a worker that goes on to other tasks."""
+        for memo in (self.plain, self.spaced):
+            memo.before.clear()
+            memo.clear()
+        for table in (self.pairs, self.parts, self.ranks, self.token, self.packed):
+            table.clear()
+
     def merge(self, piece: bytes) -> list[int]:
         """The definition: the neighbouring parts whose union has the lowest rank merge, leftmost first, until none has one."""
         n, ranks = len(piece), self.ranks
@@ -219,17 +227,20 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             ids = [x[1] for x in out]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = codec.encode(text.as_py() or "")
-                out.append((doc_id, ids, codec.decode(ids)))
-                size += 5 * len(ids)
-                if size > OUT_BYTES:
-                    yield flush()
-                    out.clear()
-                    size = 0
-        if out:
-            yield flush()
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = codec.encode(text.as_py() or "")
+                    out.append((doc_id, ids, codec.decode(ids)))
+                    size += 5 * len(ids)
+                    if size > OUT_BYTES:
+                        yield flush()
+                        out.clear()
+                        size = 0
+            if out:
+                yield flush()
+        finally:
+            codec.free()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
